@@ -27,6 +27,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return split_of(doc_id) == 1
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that doesn't clash with those taken (case is ignored, as Spark ignores it)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors once, so that their Python workers can import it."""
     sc = spark.sparkContext
