@@ -129,7 +129,7 @@ class ByteBpe:
     SPACED, SPACED_FAST = regex.compile(r"\s*\S+|\s+"), re.compile(r"\s*\S+|\s+")
     SOLID = regex.compile(r"\S+")
     #: Distinct pieces whose encodings a worker keeps; beyond it only those of the batch at hand stay, so memory is bounded.
-    KEEP = 400_000
+    KEEP = 1_000_000
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -168,7 +168,7 @@ class ByteBpe:
     def _words(self, piece: str) -> list[bytes]:
         """The piece's words; the first two cases are what the pattern gives for most pieces of prose."""
         if self.words:
-            low = piece.lower() if piece.isascii() else "".join(c.lower() for c in piece)
+            low = piece.lower() if "Σ" not in piece else "".join(c.lower() for c in piece)  # str.lower looks around that letter
             if low.isalpha():
                 return [low.encode()]
             if low[-1] in ",." and low[:-1].isalpha():
