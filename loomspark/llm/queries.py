@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, packing, toxicity
+from . import bpe, jaccard, langid, media, packing, toxicity
 from ._common import table
 
 
@@ -27,10 +27,14 @@ def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_iso_media, op3_pair_index_bpe, op5_factorization_toxicity, op7_compression_language, op10_karmarkar_karp_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_iso_media, op3_pair_index_bpe, op5_factorization_toxicity, op7_compression_language, op9_parity_sketch_join, op10_karmarkar_karp_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
