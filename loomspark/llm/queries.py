@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, media, packing, toxicity
+from . import bpe, jaccard, langid, media, packing, pii, secrets, topk, toxicity
 from ._common import table
 
 
@@ -19,14 +19,26 @@ def op3_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -35,6 +47,6 @@ def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_iso_media, op3_pair_index_bpe, op5_factorization_toxicity, op7_compression_language, op9_parity_sketch_join, op10_karmarkar_karp_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_iso_media, op3_pair_index_bpe, op4_boosted_pii, op5_factorization_toxicity, op6_forest_secrets, op7_compression_language, op8_branch_and_bound_topk, op9_parity_sketch_join, op10_karmarkar_karp_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
