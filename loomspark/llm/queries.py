@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, media, packing, pii, secrets, topk, toxicity
+from . import bpe, jaccard, langid, media, packing, pii, quotes, secrets, topk, toxicity
 from ._common import table
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.thread(table(spark, sf_dir, "conversations"))
+
+
 def op2_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.containers(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_iso_media, op3_pair_index_bpe, op4_boosted_pii, op5_factorization_toxicity, op6_forest_secrets, op7_compression_language, op8_branch_and_bound_topk, op9_parity_sketch_join, op10_karmarkar_karp_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quotation_links, op2_iso_media, op3_pair_index_bpe, op4_boosted_pii, op5_factorization_toxicity, op6_forest_secrets, op7_compression_language, op8_branch_and_bound_topk, op9_parity_sketch_join, op10_karmarkar_karp_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
