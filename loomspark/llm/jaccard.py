@@ -14,9 +14,11 @@ publish their empty ones, so no link is lost.
 
 Equal sets are one class from the start. Within a segment's group, members are verified against one pivot
 (then the member with most links so far, round by round), components are merged, and only groups that
-still hold several components go on. What is left after ROUNDS rounds is verified pair by pair across
-components. So a group of copies, however large, costs a few verifications a member, and no link between
-components is missed. Nothing is collected to the driver.
+still hold several components go on. The documents left after ROUNDS rounds are sketched more finely, FINE
+times as many segments: linked ones then differ in d of these at most, so they share one of their d + 1
+rarest. Those pairs are verified across components. So a group of copies, however large, costs a few
+verifications a member, near copies beyond the threshold hardly meet, and no link between components is
+missed. Nothing is collected to the driver.
 
 Null or empty text, or text of white space, has the empty set: it links with nothing. Rows that share a
 doc_id are one node. Rows without doc_id link with nothing and get a null component.
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from ._common import discard, materialise, ship
 from .graph import components
 
-#: Ratio of a band's limits, and rounds of pivots before the rest is verified pair by pair.
-RATIO, ROUNDS = 1.3, 4
+#: Ratio of a band's limits, rounds of pivots before the rest meets by fine sketches, and how much finer these are.
+RATIO, ROUNDS, FINE = 1.3, 2, 4
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values of splitmix64
 
 
@@ -121,6 +123,25 @@ def keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def fine_keys(h: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, d + 1, keys) of the fine sketches: a key for every segment, empty ones included."""
+    n, out = len(h), []
+    limits = _limits(num, den, 1 << 40)
+    first = int(np.searchsorted(limits, n, "right")) - 1
+    last = int(np.searchsorted(limits, n * den // num, "right")) - 1
+    prefix = np.r_[np.uint64(0), np.bitwise_xor.accumulate(mix(h))]
+    top = h >> np.uint64(32)
+    for band in range(first, last + 1):
+        d = 2 * (int(limits[band + 1]) - 1) * (den - num) // (den + num)
+        if not d:
+            continue  # only equal sets link here, and these are one class already
+        m = FINE * (d + 1)
+        cut = np.searchsorted(top, ((np.arange(m + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(m - 1)) // np.uint64(m))
+        place = mix((np.uint64(band) << np.uint64(32)) + np.arange(m, dtype=np.uint64) + _A)
+        out.append((band, d + 1, mix((prefix[cut[1:]] ^ prefix[cut[:-1]]) ^ place).view(np.int64)))
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if not len(a) or not len(b) or den * min(len(a), len(b)) < num * max(len(a), len(b)):
         return False
@@ -177,6 +198,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.select("a", "b", "s", "t").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _rarest(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, key): of each text's fine sketches the d + 1 rarest segments that occur more than once."""
+    import pyarrow as pa
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(parts):
+        for part in parts:
+            for start in range(0, part.num_rows, 500):
+                own = part.slice(start, 500)
+                found = [(i, f) for i, t in zip(own.column(0), own.column(1).to_pylist(), strict=True) for f in fine_keys(shingles(t, k), num, den)]
+                ends = np.cumsum([0, *(len(f[2]) for _, f in found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[2] for _, f in found]) if found else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i, _ in found], own.column(0).type), pa.array([f[0] for _, f in found], pa.int32()), pa.array([f[1] for _, f in found], pa.int32()), lists], ["doc_id", "band", "need", "keys"])
+
+    rows = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, band int, need int, keys array<long>").select("doc_id", "band", "need", F.explode("keys").alias("key")), "fine")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    own = rows.join(counts, "key").groupBy("doc_id", "band", "need").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s"))  # one sketch's segments
+    return own.select("doc_id", F.explode(F.expr("filter(slice(s, 1, need), x -> x.n > 1)")).alias("x")).select("doc_id", "x.key").distinct()
+
+
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
 
@@ -190,18 +232,15 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     groups = materialise(rows.join(shared, "key").select("key", "doc_id", "pivot"), "groups")
 
     texts = materialise(docs.select("doc_id", "text").join(groups.select("doc_id").distinct(), "doc_id"), "texts")
-    links, known, left, pairs = None, None, groups, groups.where("doc_id <> pivot")
+    links, left, pairs = None, groups, groups.where("doc_id <> pivot")
     merged = None
-    for turn in range(ROUNDS + 2):
+    for turn in range(ROUNDS + 1):
         found = pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
         new = materialise(_verified(found, texts, words, num, den), "links")
         links = new if links is None else links.unionByName(new)
-        if merged is not None:
-            known = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
-        else:
-            known = new
+        known = new if merged is None else merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
         merged = components(known)
-        if turn == ROUNDS + 1:
+        if turn == ROUNDS:
             break
         # of the groups, those that still hold several components
         label = left.select("key", "doc_id").join(merged, left["doc_id"] == merged["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -209,14 +248,17 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
         left = materialise(label.join(open_keys, "key"), "left")
         if left.isEmpty():
             break
-        if turn < ROUNDS:
+        if turn < ROUNDS - 1:
             degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
             ranked = left.join(degree, "doc_id", "left").select("key", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("doc_id")).alias("id"), "component").alias("rank"))
             best = ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.id")).alias("pivot"), F.col("rank.component").alias("of"))
             pairs = left.join(best, "key").where("component <> of").select("doc_id", "pivot")
         else:
-            other = left.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("of"))
-            pairs = left.join(other, "key").where("component < of").select("doc_id", "pivot")
+            part = left.select("doc_id", "component").distinct()
+            rare = _rarest(texts.join(part.select("doc_id"), "doc_id", "left_semi"), words, num, den).join(part, "doc_id")
+            rare = materialise(rare, "rare")
+            other = rare.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("of"))
+            pairs = rare.join(other, "key").where("component < of").select("doc_id", "pivot")
     of_set = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
     out = seen.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_set, "sig", "left")
     out = out.join(merged, out["first"] == merged["node"], "left")
