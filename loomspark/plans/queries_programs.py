@@ -1,0 +1,289 @@
+"""Queries of graph, text and decision programs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomspark.functions import text as X
+from loomspark.operators import decision as D
+from loomspark.operators import graph as G
+from loomspark.operators import nlp as N
+from loomspark.plans.registry import WEB_EDGES, read, register, web_links
+from loomspark.plans.shipping import ship
+
+# --- PageRank: four plans, one result ---
+
+
+def _pagerank_sql(rounds: int = 10, alpha: float = 0.15) -> str:
+    parts = [
+        f"e AS MATERIALIZED {WEB_EDGES[1:-1]}",
+        "n AS MATERIALIZED (SELECT src AS page FROM e UNION SELECT dst FROM e)",
+        "o AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY 1)",
+        "r0 AS MATERIALIZED (SELECT page, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)",
+    ]
+    parts[0] = f"e AS MATERIALIZED (SELECT * FROM {WEB_EDGES})"
+    for i in range(rounds):
+        parts.append(
+            f"r{i + 1} AS MATERIALIZED (SELECT n.page, {alpha} / (SELECT count(*) FROM n) + {1 - alpha} * ((SELECT coalesce(sum(rank), 0) FROM r{i} WHERE page NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM n) + coalesce(c.given, 0)) AS rank "
+            f"FROM n LEFT JOIN (SELECT e.dst AS page, sum(r.rank / o.d) AS given FROM e JOIN r{i} r ON r.page = e.src JOIN o ON o.src = e.src GROUP BY 1) c USING (page))"
+        )
+    return f"WITH {', '.join(parts)} SELECT page, round(rank, 9) AS rank FROM r{rounds}"
+
+
+_RANKS = _pagerank_sql()
+
+
+def _ranks(spark, sf_dir, **how):
+    nodes, edges = G.build(web_links(spark, sf_dir))
+    return G.pagerank(nodes, edges, **how).select("page", F.round("rank", 9).alias("rank"))
+
+
+@register(_RANKS)
+def pagerank(spark, sf_dir):
+    return _ranks(spark, sf_dir)
+
+
+@register(_RANKS)
+def pagerank_unscaled(spark, sf_dir):
+    return _ranks(spark, sf_dir, start="one")
+
+
+@register(_RANKS)
+def pagerank_broadcast(spark, sf_dir):
+    return _ranks(spark, sf_dir, strategy="broadcast")
+
+
+@register(_RANKS)
+def pagerank_shuffle(spark, sf_dir):
+    return _ranks(spark, sf_dir, strategy="shuffle")
+
+
+@register(f"SELECT page, rank FROM ({_RANKS}) ORDER BY rank DESC, page LIMIT 100")
+def pagerank_top(spark, sf_dir):
+    return G.top_ranks(_ranks(spark, sf_dir))
+
+
+@register()
+def pagerank_pages(spark, sf_dir):
+    """Over the web pages themselves: links by any anchor, missing targets dangling."""
+    ship(spark)
+    p = read(spark, sf_dir, "pages").select(F.col("url").alias("page"), F.array_distinct(X.links_in(None)(F.col("html"))).alias("targets"))
+    return G.top_ranks(G.pagerank(*G.build(p), iterations=5))
+
+
+# --- searches ---
+
+_LINKS = "(SELECT DISTINCT o_custkey % 200 AS src, o_orderkey % 200 AS dst, 1 + o_orderkey % 7 AS cost FROM orders WHERE o_custkey % 10 < 3)"
+
+
+def _edges(spark, sf_dir):
+    return read(spark, sf_dir, "orders").where("o_custkey % 10 < 3").selectExpr("o_custkey % 200 AS src", "o_orderkey % 200 AS dst", "CAST(1 + o_orderkey % 7 AS DOUBLE) AS cost").distinct()
+
+
+@register(f"WITH RECURSIVE s(node, d) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, d + 1 FROM s JOIN {_LINKS} e ON e.src = s.node WHERE d < 20) SELECT node, min(d) AS distance FROM s GROUP BY node")
+def breadth_first(spark, sf_dir):
+    return G.breadth_first(_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"))
+
+
+@register(f"WITH RECURSIVE s(node, c) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT dst, c + cost FROM s JOIN {_LINKS} e ON e.src = s.node WHERE c < 40) SELECT node, CAST(min(c) AS DOUBLE) AS cost FROM s GROUP BY node")
+def cheapest_paths(spark, sf_dir):
+    return G.cheapest(_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long")).select("node", "cost")
+
+
+_GRID = "(SELECT x, y FROM (SELECT unnest(range(5)) AS x), (SELECT unnest(range(4)) AS y) WHERE NOT (x = 2 AND y < 3))"
+
+
+def _cells(spark):
+    return spark.sql("SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT explode(sequence(0, 4)) AS x) CROSS JOIN (SELECT explode(sequence(0, 3)) AS y) WHERE NOT (x = 2 AND y < 3)")
+
+
+_GRID_EDGES = f"(SELECT a.x || ',' || a.y AS src, b.x || ',' || b.y AS dst FROM {_GRID} a JOIN {_GRID} b ON abs(a.x - b.x) + abs(a.y - b.y) = 1)"
+
+
+@register(f"WITH RECURSIVE s(src, dst, d) AS (SELECT x || ',' || y, x || ',' || y, 0 FROM {_GRID} UNION SELECT s.src, e.dst, d + 1 FROM s JOIN {_GRID_EDGES} e ON e.src = s.dst WHERE d < 14) SELECT src, dst, CAST(min(d) AS DOUBLE) AS cost FROM s GROUP BY 1, 2")
+def grid_all_pairs(spark, sf_dir):
+    return G.all_pairs(G.grid_edges(_cells(spark)))
+
+
+@register()
+def grid_searches(spark, sf_dir):
+    """The four search orders on one small problem; each finds a way."""
+
+    def moves(p):
+        for a, dx, dy in (("North", 0, 1), ("South", 0, -1), ("East", 1, 0), ("West", -1, 0)):
+            x, y = p[0] + dx, p[1] + dy
+            if 0 <= x < 5 and 0 <= y < 4 and not (x == 2 and y < 3):
+                yield (x, y), a, 1.0
+
+    out = []
+    for order in ("depth", "breadth", "cost", "star"):
+        way = G.search((0, 0), lambda p: p == (4, 0), moves, order, lambda p: abs(p[0] - 4) + abs(p[1]))
+        out.append((order, len(way)))
+    return spark.createDataFrame(out, "search string, steps int")
+
+
+@register("SELECT o_custkey AS id, CAST(max(o_orderkey % 50) - min(o_orderkey % 50) + max(o_orderkey % 30) - min(o_orderkey % 30) AS BIGINT) AS bound FROM orders GROUP BY 1")
+def box_heuristic(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").selectExpr("o_custkey AS id", "o_orderkey % 50 AS x", "o_orderkey % 30 AS y")
+    return G.box_heuristic(o.select("id").distinct(), o).select("id", "bound")
+
+
+@register()
+def greedy_tour(spark, sf_dir):
+    tour = G.greedy_tour(G.grid_edges(_cells(spark)), "0,0", ["4,0", "1,2", "4,3"])
+    return spark.createDataFrame(list(enumerate(tour)), "step int, node string")
+
+
+_LEAVES = "(SELECT n_nationkey, n_regionkey, n_nationkey % 3 AS g, count(*) AS score FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2)"
+
+
+@register(f"SELECT 'root' AS node, CAST(max(v) AS DOUBLE) AS value FROM (SELECT n_regionkey, min(score) AS v FROM {_LEAVES} GROUP BY 1) UNION ALL SELECT 'r' || n_regionkey, CAST(min(score) AS DOUBLE) FROM {_LEAVES} GROUP BY n_regionkey")
+def minimax(spark, sf_dir):
+    leaves = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").cast("double").alias("score")).join(read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
+    rows = leaves.select(F.concat(F.lit("n"), "s_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.lit(2).alias("level"), F.lit(None).cast("string").alias("kind"), "score")
+    inner = rows.select(F.col("parent").alias("node"), F.lit("root").alias("parent"), F.lit(1).alias("level"), F.lit("min").alias("kind"), F.lit(None).cast("double").alias("score")).distinct()
+    root = spark.createDataFrame([("root", None, 0, "max", None)], "node string, parent string, level int, kind string, score double")
+    return G.game_values(rows.unionByName(inner).unionByName(root), 2).where("node NOT LIKE 'n%'")
+
+
+@register("SELECT 'root' AS node, round(avg(v), 6) AS value FROM (SELECT n_regionkey, max(score) AS v FROM " + _LEAVES + " GROUP BY 1)")
+def expectimax(spark, sf_dir):
+    leaves = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").cast("double").alias("score")).join(read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
+    rows = leaves.select(F.concat(F.lit("n"), "s_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.lit(2).alias("level"), F.lit(None).cast("string").alias("kind"), "score")
+    inner = rows.select(F.col("parent").alias("node"), F.lit("root").alias("parent"), F.lit(1).alias("level"), F.lit("max").alias("kind"), F.lit(None).cast("double").alias("score")).distinct()
+    root = spark.createDataFrame([("root", None, 0, "mean", None)], "node string, parent string, level int, kind string, score double")
+    return G.game_values(rows.unionByName(inner).unionByName(root), 2).where("node = 'root'").select("node", F.round("value", 6).alias("value"))
+
+
+@register("SELECT c_custkey, round(c_acctbal * 0.5 + coalesce(10 / nullif(c_nationkey, 0)::DOUBLE, 0), 5) AS score FROM customer")
+def board_score(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    return G.board_score(c, {"c_acctbal": 0.5, "1/c_nationkey": 10.0}).select("c_custkey", F.round("score", 5).alias("score"))
+
+
+# --- decisions ---
+
+GRID = [[" ", " ", " ", 1], [" ", "#", " ", -1], ["S", " ", " ", " "]]
+
+
+def _grid_mdp(spark):
+    from loomspark.sources.readers import grid_cells
+
+    return D.grid_transitions(grid_cells(spark, GRID), 0.2)
+
+
+def _values_sql(sweeps: int) -> str:
+    cells = "(SELECT * FROM (VALUES (0,0,'f',0.0),(1,0,'f',0.0),(2,0,'f',0.0),(3,0,'f',0.0),(0,1,'f',0.0),(2,1,'f',0.0),(3,1,'e',-1.0),(0,2,'f',0.0),(1,2,'f',0.0),(2,2,'f',0.0),(3,2,'e',1.0)) AS c(x, y, kind, reward))"
+    dirs = "(VALUES ('north', 0, 1, 0.8), ('north', 1, 0, 0.1), ('north', -1, 0, 0.1), ('south', 0, -1, 0.8), ('south', 1, 0, 0.1), ('south', -1, 0, 0.1), ('east', 1, 0, 0.8), ('east', 0, 1, 0.1), ('east', 0, -1, 0.1), ('west', -1, 0, 0.8), ('west', 0, 1, 0.1), ('west', 0, -1, 0.1))"
+    t = f"t AS MATERIALIZED (SELECT c.x || ',' || c.y AS state, action, CASE WHEN n.x IS NULL THEN c.x || ',' || c.y ELSE n.x || ',' || n.y END AS next, p, 0.0 AS reward FROM {cells} c, {dirs} AS d(action, dx, dy, p) LEFT JOIN {cells} n ON n.x = c.x + dx AND n.y = c.y + dy WHERE c.kind = 'f' UNION ALL SELECT x || ',' || y, 'exit', 'end', 1.0, reward FROM {cells} WHERE kind = 'e')"
+    parts = [t, "s AS MATERIALIZED (SELECT state FROM t UNION SELECT next FROM t)", "v0 AS MATERIALIZED (SELECT state, 0.0::DOUBLE AS value FROM s)"]
+    for i in range(sweeps):
+        parts.append(f"v{i + 1} AS MATERIALIZED (SELECT s.state, coalesce(q.m, 0) AS value FROM s LEFT JOIN (SELECT state, max(q) AS m FROM (SELECT t.state, t.action, sum(t.p * (t.reward + 0.9 * v.value)) AS q FROM t JOIN v{i} v ON v.state = t.next GROUP BY 1, 2) GROUP BY 1) q USING (state))")
+    return f"WITH {', '.join(parts)} SELECT state, round(value, 6) AS value FROM v{sweeps}"
+
+
+@register(_values_sql(10))
+def value_iteration(spark, sf_dir):
+    return D.value_iteration(_grid_mdp(spark), 10).select("state", F.round("value", 6).alias("value"))
+
+
+@register()
+def greedy_policy(spark, sf_dir):
+    t = _grid_mdp(spark)
+    return D.greedy_policy(t, D.value_iteration(t, 10))
+
+
+@register()
+def q_learning(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("learner"), F.col("event_id").alias("step"), F.col("event_type").alias("state"), F.when(F.col("value") > 50, "high").otherwise("low").alias("action"), F.col("event_type").alias("next"), (F.col("value") / 100).alias("reward"))
+    return D.q_learning(e).select("learner", "state", "action", F.round("q", 6).alias("q"))
+
+
+@register()
+def approximate_q(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("learner"), F.col("event_id").alias("step"), F.create_map(F.lit("bias"), F.lit(1.0), F.lit("value"), F.col("value") / 100).alias("features"), F.when(F.col("event_type") != "purchase", F.create_map(F.lit("bias"), F.lit(1.0))).alias("best_next"), F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("reward"))
+    return D.approximate_q(e).select("learner", "feature", F.round("weight", 6).alias("weight"))
+
+
+_MOVES = "(SELECT s_nationkey AS pos, s_suppkey % 25 AS next, count(*) / sum(count(*)) OVER (PARTITION BY s_nationkey) AS p FROM supplier GROUP BY 1, 2)"
+_EMIT = "(SELECT n_nationkey AS pos, (1 + n_regionkey) / 5.0 AS likelihood FROM nation)"
+
+
+@register(
+    f"SELECT b.target, m.next AS pos, round(sum(b.prob * m.p), 9) AS prob FROM (SELECT target, pos, w / sum(w) OVER (PARTITION BY target) AS prob FROM (SELECT r_regionkey AS target, n_nationkey AS pos, likelihood / 25 AS w FROM region, nation, {_EMIT} e WHERE e.pos = n_nationkey)) b JOIN {_MOVES} m USING (pos) GROUP BY 1, 2"
+)
+def forward_filter(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    belief = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("target")).crossJoin(n.select(F.col("n_nationkey").alias("pos"))).withColumn("prob", F.lit(1 / 25))
+    s = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("pos"), (F.col("s_suppkey") % 25).alias("next")).agg(F.count("*").alias("c"))
+    moves = s.join(s.groupBy("pos").agg(F.sum("c").alias("t")), "pos").select("pos", "next", (F.col("c") / F.col("t")).alias("p"))
+    e = n.select(F.col("n_nationkey").alias("pos"), ((1 + F.col("n_regionkey")) / 5).alias("likelihood"))
+    return D.forward_filter(belief, moves, [e]).select("target", "pos", F.round("prob", 9).alias("prob"))
+
+
+@register()
+def particle_filter(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    p = n.select(F.col("n_regionkey").cast("string").alias("target"), F.col("n_nationkey").cast("long").alias("particle"), (F.col("n_nationkey") % 5).cast("string").alias("pos"))
+    moves = {str(i): [(str(i), 0.5), (str((i + 1) % 5), 0.5)] for i in range(5)}
+    return D.belief_of(D.particle_filter(p, {str(i): (i + 1) / 5 for i in range(5)}, moves))
+
+
+@register()
+def sonar_model(spark, sf_dir):
+    return spark.createDataFrame([(d, r, float(p)) for d in (1, 3, 8) for r, p in sorted(D.sonar(d).items())], "distance int, reading int, prob double")
+
+
+@register()
+def greedy_hunt(spark, sf_dir):
+    dist = G.all_pairs(G.grid_edges(_cells(spark)))
+    belief = spark.createDataFrame([("a", "4,0", 0.6), ("a", "0,0", 0.4), ("b", "1,2", 0.5), ("b", "1,1", 0.5)], "target string, pos string, prob double")
+    return D.hunt(belief, dist, "0,3")
+
+
+# --- text programs ---
+
+GRAMMAR = "1 START S .\n3 S NP VP\n1 S S and S\n2 NP the N\n1 NP N\n1 VP V NP\n1 VP V\n2 N merchant\n1 N parcel\n1 V sells\n1 V ships\n0 V idles"
+
+
+@register()
+def grammar_sentences(spark, sf_dir):
+    rows = [(int(w), lhs, rhs) for w, lhs, *rhs in (line.split() for line in GRAMMAR.splitlines())]
+    rules = spark.createDataFrame(rows, "weight int, lhs string, rhs array<string>")
+    return N.sample_sentences(rules, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+
+
+def _pairs(spark):
+    return spark.createDataFrame([(1, "the house is small", "das haus ist klein"), (2, "small is the house", "klein ist das haus"), (3, "the house", "haus das")], "id long, source string, target string")
+
+
+def _dictionary(spark):
+    words = [("the", "das"), ("house", "haus"), ("is", "ist"), ("small", "klein")]
+    return spark.createDataFrame([(a, b, -1.5) for a, b in words], "src string, tgt string, score double")
+
+
+@register()
+def alignments(spark, sf_dir):
+    ship(spark)
+    return N.align(_pairs(spark), _dictionary(spark))
+
+
+@register()
+def alignment_counts(spark, sf_dir):
+    ship(spark)
+    return N.alignment_counts(N.align(_pairs(spark), _dictionary(spark), swap=False))
+
+
+@register("SELECT a.s || '|' || b.s AS state, a.t || '|' || b.t AS next, a.i AS input, b.o AS output FROM (SELECT n_regionkey AS s, n_nationkey AS t, n_name AS i, left(n_name, 1) AS m FROM nation) a JOIN (SELECT n_nationkey AS s, n_regionkey AS t, left(n_name, 1) AS m, lower(n_name) AS o FROM nation) b USING (m)")
+def transducer_composition(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    a = n.select(F.col("n_regionkey").alias("state"), F.col("n_nationkey").alias("next"), F.col("n_name").alias("input"), F.substring("n_name", 1, 1).alias("output"))
+    b = n.select(F.col("n_nationkey").alias("state"), F.col("n_regionkey").alias("next"), F.substring("n_name", 1, 1).alias("input"), F.lower("n_name").alias("output"))
+    return N.compose(a, b)
+
+
+@register()
+def markup_terms(spark, sf_dir):
+    ship(spark)
+    d = read(spark, sf_dir, "documents").select("doc_id", X.bbcode_stripped()(F.concat(F.lit("[b]"), "text", F.lit("[/b] [nation=x][/nation]"))).alias("text"), F.array("lang").alias("tags"), F.array("source").alias("mentions"))
+    return d.select("doc_id", F.size(N.terms(F.col("text"), F.col("tags"), F.col("mentions"))).alias("n_terms"))
