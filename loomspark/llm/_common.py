@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -76,3 +77,9 @@ def discard(df: DataFrame) -> None:
         if "/loomspark/" in name:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that nothing refers to any more, now rather than some time later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

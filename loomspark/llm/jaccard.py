@@ -16,7 +16,8 @@ Equal sets are one class from the start. Within a segment's group, members are v
 (then the member with most links so far, round by round), components are merged, and only groups that
 still hold several components go on. The documents left after ROUNDS rounds are sketched more finely, FINE
 times as many segments: linked ones then differ in d of these at most, so they share one of their d + 1
-rarest. Those pairs are verified across components. So a group of copies, however large, costs a few
+rarest. Of such pairs across components, those whose parity sketches of SKETCH words are near enough are
+verified. So a group of copies, however large, costs a few
 verifications a member, near copies beyond the threshold hardly meet, and no link between components is
 missed. Nothing is collected to the driver.
 
@@ -33,11 +34,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, ship
+from ._common import discard, materialise, release, ship
 from .graph import components
 
 #: Ratio of a band's limits, rounds of pivots before the rest meets by fine sketches, and how much finer these are.
-RATIO, ROUNDS, FINE = 1.3, 2, 4
+RATIO, ROUNDS, FINE = 1.3, 2, 8
+#: 64-bit words of the sketches that candidate pairs of the remainder are compared by.
+SKETCH = 16
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values of splitmix64
 
 
@@ -124,7 +127,10 @@ def keys(h: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def fine_keys(h: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
-    """(band, d + 1, keys) of the fine sketches: a key for every segment, empty ones included."""
+    """(band, own d + 1, keys) of the fine sketches: a key for every segment, empty ones included.
+
+    Segments follow the band's d; how many of them a partner can differ in follows the set's own size.
+    """
     n, out = len(h), []
     limits = _limits(num, den, 1 << 40)
     first = int(np.searchsorted(limits, n, "right")) - 1
@@ -138,10 +144,17 @@ def fine_keys(h: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndar
         m = FINE * (d + 1)
         cut = np.searchsorted(top, ((np.arange(m + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(m - 1)) // np.uint64(m))
         place = mix((np.uint64(band) << np.uint64(32)) + np.arange(m, dtype=np.uint64) + _A)
-        out.append((band, d + 1, mix((prefix[cut[1:]] ^ prefix[cut[:-1]]) ^ place).view(np.int64)))
+        own = (n + min(int(limits[band + 1]) - 1, n * den // num)) * (den - num) // (den + num)
+        out.append((band, own + 1, mix((prefix[cut[1:]] ^ prefix[cut[:-1]]) ^ place).view(np.int64)))
     return out
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: each hash toggles one. Two sketches differ in no more bits than their sets in elements."""
+    bits = np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if not len(a) or not len(b) or den * min(len(a), len(b)) < num * max(len(a), len(b)):
         return False
@@ -199,24 +212,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 
 def _rarest(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, key): of each text's fine sketches the d + 1 rarest segments that occur more than once."""
+    """(doc_id, key, n, w0..): of each text's fine sketches the d + 1 rarest segments that occur more than once, with its parity sketch."""
     import pyarrow as pa
 
     kind = texts.schema["doc_id"].dataType.simpleString()
+    words = [f"w{i}" for i in range(SKETCH)]
 
     def run(parts):
         for part in parts:
             for start in range(0, part.num_rows, 500):
                 own = part.slice(start, 500)
-                found = [(i, f) for i, t in zip(own.column(0), own.column(1).to_pylist(), strict=True) for f in fine_keys(shingles(t, k), num, den)]
-                ends = np.cumsum([0, *(len(f[2]) for _, f in found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[2] for _, f in found]) if found else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i, _ in found], own.column(0).type), pa.array([f[0] for _, f in found], pa.int32()), pa.array([f[1] for _, f in found], pa.int32()), lists], ["doc_id", "band", "need", "keys"])
+                found = []
+                for i, t in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+                    h = shingles(t, k)
+                    found += [(i, band, need, len(h), sketch(h), keys_) for band, need, keys_ in fine_keys(h, num, den)]
+                ends = np.cumsum([0, *(len(f[5]) for f in found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[5] for f in found]) if found else np.empty(0, np.int64)))
+                bits = np.array([f[4] for f in found], np.int64).reshape(-1, SKETCH)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], own.column(0).type), *(pa.array([f[j] for f in found], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()))), *(pa.array(bits[:, j]) for j in range(SKETCH)), lists], ["doc_id", "band", "need", "n", *words, "keys"])
 
-    rows = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, band int, need int, keys array<long>").select("doc_id", "band", "need", F.explode("keys").alias("key")), "fine")
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    own = rows.join(counts, "key").groupBy("doc_id", "band", "need").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s"))  # one sketch's segments
-    return own.select("doc_id", F.explode(F.expr("filter(slice(s, 1, need), x -> x.n > 1)")).alias("x")).select("doc_id", "x.key").distinct()
+    made = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, band int, need int, n long, {', '.join(f'{w} long' for w in words)}, keys array<long>"), "fine")
+    rows = made.select("doc_id", "band", "need", F.explode("keys").alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("c"))
+    own = rows.join(counts, "key").groupBy("doc_id", "band", "need").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))  # one sketch's segments
+    picked = own.select("doc_id", "band", F.explode(F.expr("filter(slice(s, 1, need), x -> x.c > 1)")).alias("x")).select("doc_id", "band", "x.key")
+    return picked.join(made.select("doc_id", "band", "n", *words), ["doc_id", "band"]).drop("band").distinct()
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -230,6 +250,10 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     rows = node.select("doc_id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where("size > 1").select("key", "pivot")
     groups = materialise(rows.join(shared, "key").select("key", "doc_id", "pivot"), "groups")
+    wide, seen = seen, materialise(seen.select("doc_id", "n", "sig"), "sets")
+    discard(wide)
+    del wide, node, rows, shared
+    release(docs.sparkSession)
 
     texts = materialise(docs.select("doc_id", "text").join(groups.select("doc_id").distinct(), "doc_id"), "texts")
     links, left, pairs = None, groups, groups.where("doc_id <> pivot")
@@ -257,8 +281,11 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
             part = left.select("doc_id", "component").distinct()
             rare = _rarest(texts.join(part.select("doc_id"), "doc_id", "left_semi"), words, num, den).join(part, "doc_id")
             rare = materialise(rare, "rare")
-            other = rare.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("of"))
-            pairs = rare.join(other, "key").where("component < of").select("doc_id", "pivot")
+            other = rare.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("m"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(SKETCH)])
+            apart = " + ".join(f"bit_count(w{i} ^ v{i})" for i in range(SKETCH))
+            pairs = rare.join(other, "key").where(f"component < of AND {apart} <= (n + m) * {den - num} div {den + num}").select("doc_id", "pivot")
+    for made in (groups, texts, *([left] if left is not groups else [])):
+        discard(made)
     of_set = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
     out = seen.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_set, "sig", "left")
     out = out.join(merged, out["first"] == merged["node"], "left")

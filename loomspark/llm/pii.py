@@ -232,15 +232,21 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each span becomes its kind in angle brackets; overlapping spans are replaced together, by the first one's kind.
 
-    All columns stay; n_chars, if there, is that of the new text. Null text stays null.
+    All columns stay, whatever their names; n_chars, if there, is that of the new text. Null text stays null.
     """
-    own = docs.select(*docs.columns)
-    out = detect(own.withColumn("_in", F.col(text)), "_in")
+    # the row travels as a struct, so that none of its columns can clash
+    out = detect(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_in")), "_in")
     # merged spans, and then the text between them
     merged = "aggregate(_spans, CAST(array() AS array<struct<s: int, e: int, k: int>>), (a, x) -> CASE WHEN size(a) > 0 AND x.s < element_at(a, -1).e THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(x.e, element_at(a, -1).e), 'k', element_at(a, -1).k))) ELSE concat(a, array(named_struct('s', x.s, 'e', x.e, 'k', x.k))) END)"
     label = f"element_at(array({', '.join(_quote(f'<{k.upper()}>') for k in KINDS)}), _m[i].k + 1)"
     pieces = f"concat(array_join(transform(sequence(0, size(_m) - 1), i -> concat(substring(_in, CASE WHEN i = 0 THEN 1 ELSE _m[i - 1].e + 1 END, _m[i].s - CASE WHEN i = 0 THEN 0 ELSE _m[i - 1].e END), {label})), ''), substring(_in, element_at(_m, -1).e + 1))"
-    out = out.withColumn("_m", F.expr(merged)).withColumn(text, F.expr(f"CASE WHEN size(_spans) = 0 THEN _in ELSE {pieces} END"))
-    if "n_chars" in docs.columns and text == "text":
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = out.withColumn("_m", F.expr(merged)).withColumn("_new", F.expr(f"CASE WHEN size(_spans) = 0 THEN _in ELSE {pieces} END"))
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("_new").alias(name)
+        if name == "n_chars":
+            return F.when(F.size("_spans") > 0, F.char_length("_new").cast(docs.schema[name].dataType)).otherwise(F.col("_row.n_chars")).alias(name)
+        return F.col("_row").getField(name).alias(name)
+
+    return out.select(*map(column, docs.columns))
