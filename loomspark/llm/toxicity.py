@@ -1,10 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its words and of their beginnings, hashed to 2**20 buckets. A score is
-sigmoid(a + b * (w0 + sum of w_i + sum over pairs of <v_i, v_j>)); the pair term lets an insult with a
-group mention weigh more than either does alone. Learning takes a bounded sample of labelled rows (MOST of
+sigmoid(b * (w0 + sum of w_i + sum over pairs of <v_i, v_j>)); the pair term lets an insult with a
+group mention weigh more than either does alone. w0 is the log-odds of the sample and isn't learned, so a
+text without telling terms, an empty one for instance, scores as the sample's share of toxic rows at most. Learning takes a bounded sample of labelled rows (MOST of
 each label) that aren't held out; of its buckets, the machine keeps those that tell the labels apart and
-the most frequent ones. The last fifth of the sample calibrates a and b. All documents are scored whole.
+the most frequent ones. The last fifth of the sample calibrates b. All documents are scored whole.
 
 Null or empty text has no terms and scores as such. Labels that are null, or whose document is missing,
 teach nothing; a document labelled twice counts as toxic if one label says so. With one class only (or no
@@ -49,7 +50,7 @@ class Model:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
-    scale: tuple[float, float] = (0.0, 1.0)
+    scale: float = 1.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Of rows of a 0/1 matrix over slots."""
@@ -61,7 +62,7 @@ class Model:
         own = own[own >= 0]
         s = self.factors[own].sum(0)
         z = self.bias + self.weights[own].sum() + 0.5 * ((s * s).sum() - (self.factors[own] ** 2).sum())
-        return float(1 / (1 + np.exp(-np.clip(self.scale[0] + self.scale[1] * z, -40, 40))))
+        return float(1 / (1 + np.exp(-np.clip(self.scale * z, -40, 40))))
 
 
 def _select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -98,7 +99,7 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
     for i, r in enumerate(rows):
         own = slot[r]
         x[i, own[own >= 0]] = 1
-    par = [np.zeros(1), np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS))]
+    par = [np.full(1, np.log(rate / (1 - rate))), np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS))]
     m, v, t = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par], 0
     for _ in range(EPOCHS):
         for own in np.array_split(rng.permutation(fit_n), max(1, fit_n // 256)):
@@ -106,7 +107,7 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
             s = a @ par[2]
             z = par[0] + a @ par[1] + 0.5 * ((s * s).sum(1) - a @ (par[2] ** 2).sum(1))
             e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[own]) / len(own)
-            grads = [np.array([e.sum()]), a.T @ e + DECAY * par[1], a.T @ (e[:, None] * s) - par[2] * (a.T @ e)[:, None] + DECAY * par[2]]
+            grads = [np.zeros(1), a.T @ e + DECAY * par[1], a.T @ (e[:, None] * s) - par[2] * (a.T @ e)[:, None] + DECAY * par[2]]
             t += 1
             for k, g in enumerate(grads):
                 m[k] += 0.1 * (g - m[k])
@@ -114,14 +115,12 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
                 par[k] -= STEP * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     model = Model(slot, float(par[0][0]), par[1], par[2])
     z, w = model.raw(x[fit_n:].astype(np.float64)), y[fit_n:]
-    a, b = 0.0, 1.0  # the scale: Newton's steps on the held part of the sample, with a weak prior at (0, 1)
+    b = 1.0  # Newton's steps on the held part of the sample, with a weak prior at 1
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(a + b * z, -40, 40)))
-        g = np.array([(p - w).sum() + a, ((p - w) * z).sum() + (b - 1)])
-        q = p * (1 - p)
-        step = np.linalg.solve(np.array([[q.sum() + 1, (q * z).sum()], [(q * z).sum(), (q * z * z).sum() + 1]]), g)
-        a, b = a - step[0], b - step[1]
-    return Model(slot, model.bias, model.weights, model.factors, (float(a), float(b))) if np.isfinite(a + b) and b > 0 else model
+        p = 1 / (1 + np.exp(-np.clip(b * z, -40, 40)))
+        b -= (((p - w) * z).sum() + (b - 1)) / ((p * (1 - p) * z * z).sum() + 1)
+        b = min(max(b, 0.2), 5.0)
+    return Model(slot, model.bias, model.weights, model.factors, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
