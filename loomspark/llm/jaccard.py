@@ -12,7 +12,7 @@ larger partner can be in. Segments without a shingle say nothing and are not joi
 further segments to make up for them, and the few documents with more empty segments than that also
 publish their empty ones, so no link is lost.
 
-Equal sets are one class from the start. Within a segment's group, members are verified against one pivot
+Equal sets are one class from the start; of those that a task meets, only the first publishes keys. Within a segment's group, members are verified against one pivot
 (then the member with most links so far, round by round), components are merged, and only groups that
 still hold several components go on. The documents left after ROUNDS rounds are sketched more finely, FINE
 times as many segments: linked ones then differ in d of these at most, so they share one of their d + 1
@@ -164,22 +164,34 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * same >= num * (len(a) + len(b) - same)
 
 
+#: Sets that a task remembers, to publish the keys of equal ones once.
+REMEMBER = 200_000
+
+
 def _sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, sig, keys) of each row."""
+    """(doc_id, n, sig, keys) of each row; no keys where the task has published those of an equal set, or without id."""
     import pyarrow as pa
 
+    none = np.empty(0, np.int64)
+
     def run(parts):
         from xxhash import xxh3_128_digest
 
+        met: set = set()
         for part in parts:
             for start in range(0, part.num_rows, 1000):
                 own = part.slice(start, 1000)
                 n, sig, found = [], [], []
-                for t in own.column(1).to_pylist():
+                for i, t in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
                     h = shingles(t, k)
                     n.append(len(h))
                     sig.append(xxh3_128_digest(h.tobytes()))
-                    found.append(keys(h, num, den))
+                    new = i is not None and sig[-1] not in met
+                    found.append(keys(h, num, den) if new else none)
+                    if new:
+                        if len(met) >= REMEMBER:
+                            met.clear()
+                        met.add(sig[-1])
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], ["doc_id", "n", "sig", "keys"])
@@ -246,23 +258,25 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     """
     ship(docs.sparkSession)
     seen = materialise(_sketched(docs, words, num, den), "sketches")
-    node = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
-    rows = node.select("doc_id", F.explode("keys").alias("key"))
+    rows = seen.select("doc_id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where("size > 1").select("key", "pivot")
     groups = materialise(rows.join(shared, "key").select("key", "doc_id", "pivot"), "groups")
-    wide, seen = seen, materialise(seen.select("doc_id", "n", "sig"), "sets")
+    wide, seen = seen, materialise(seen.select("doc_id", "n", "sig", (F.size("keys") > 0).alias("published")), "sets")
     discard(wide)
-    del wide, node, rows, shared
+    del wide, rows, shared
     release(docs.sparkSession)
+    of_set = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
+    equal = seen.where("published").select("sig", F.col("doc_id").alias("a")).join(of_set, "sig").where("a <> first").select("a", F.col("first").alias("b"))
 
     texts = materialise(docs.select("doc_id", "text").join(groups.select("doc_id").distinct(), "doc_id"), "texts")
+    release(docs.sparkSession)
     links, left, pairs = None, groups, groups.where("doc_id <> pivot")
     merged = None
     for turn in range(ROUNDS + 1):
         found = pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
         new = materialise(_verified(found, texts, words, num, den), "links")
         links = new if links is None else links.unionByName(new)
-        known = new if merged is None else merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
+        known = new.unionByName(equal) if merged is None else merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
         merged = components(known)
         if turn == ROUNDS:
             break
@@ -286,7 +300,8 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
             pairs = rare.join(other, "key").where(f"component < of AND {apart} <= (n + m) * {den - num} div {den + num}").select("doc_id", "pivot")
     for made in (groups, texts, *([left] if left is not groups else [])):
         discard(made)
-    of_set = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
+    del new, found, pairs, known, links
+    release(docs.sparkSession)
     out = seen.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_set, "sig", "left")
     out = out.join(merged, out["first"] == merged["node"], "left")
     final = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))
