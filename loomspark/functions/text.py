@@ -129,35 +129,29 @@ _BBCODE = re.compile(r"\[(/?)([^\]=/][^\]=]*)(?:=([^\]]*))?\]")
 
 
 def strip_bbcode(raw: str | None) -> str:
-    """Text without BBCode. A [nation=x] or [region=x] keeps x where no text follows up to its end tag."""
+    """Text without BBCode. A [nation=x] or [region=x] that is never closed leaves x in its place; a closed one what it holds."""
     text = html.unescape(html.unescape(raw or ""))
     out: list[str] = []
-    waiting: tuple[int, str] | None = None  # place and name of a mention that may yet have no text of its own
+    waiting: tuple[int, str] | None = None  # place and name of a mention that may yet be closed
     at = 0
 
-    def settle():
+    def settle() -> None:
         nonlocal waiting
         if waiting:
             out.insert(*waiting)
         waiting = None
 
     for m in _BBCODE.finditer(text):
-        if m.start() > at:
-            out.append(text[at : m.start()])
+        out.append(text[at : m.start()])
         at = m.end()
-        name = m[2].strip().lower()
-        mention = name in ("nation", "region")
-        if m[1]:
-            if mention and waiting and len(out) > waiting[0]:
-                waiting = None
-            elif not mention or waiting:
-                settle()
-        else:
-            settle()
-            if mention and m[3]:
-                waiting = (len(out), m[3])
-    if at < len(text):
-        out.append(text[at:])
+        mention = m[2].strip().lower() in ("nation", "region")
+        if mention and m[1]:
+            waiting = None
+            continue
+        settle()
+        if mention and m[3]:
+            waiting = (len(out), m[3])
+    out.append(text[at:])
     settle()
     return "".join(out)
 
