@@ -10,16 +10,19 @@ def source(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream gets a watermark, which needs timestamps with a zone; a batch stays as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def daily_means(events: DataFrame, late: str = "1 day") -> DataFrame:
     """(day, event_type, n, mean) by tumbling days; the same plan serves batch and stream."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("day"), "event_type", "n", "mean")
+    return _timed(events, late).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("day"), "event_type", "n", "mean")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """(user_id, start, end, n) of sessions that end after a gap."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    return e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return _timed(events, late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def running_means(events: DataFrame) -> DataFrame:
