@@ -14,10 +14,11 @@ publish their empty ones, so no link is lost.
 
 Equal sets are one class from the start; of those that a task meets, only the first publishes keys. Within a segment's group, members are verified against one pivot
 (then the member with most links so far, round by round), components are merged, and only groups that
-still hold several components go on. The documents left after ROUNDS rounds are sketched more finely, FINE
-times as many segments: linked ones then differ in d of these at most, so they share one of their d + 1
-rarest. Of such pairs across components, those whose parity sketches of SKETCH words are near enough are
-verified. So a group of copies, however large, costs a few
+still hold several components go on. What is left after ROUNDS rounds meets pair by pair across components,
+inside a join that lets only those through whose parity sketches of SKETCH words are near enough; these are
+verified. That join compares at most MEMBERS rows with each: documents of larger groups are sketched more
+finely, FINE times as many segments, of which linked ones differ in d at most, so that they share one of
+their d + 1 rarest and meet by these instead. So a group of copies, however large, costs a few
 verifications a member, near copies beyond the threshold hardly meet, and no link between components is
 missed. Nothing is collected to the driver.
 
@@ -38,7 +39,9 @@ from ._common import discard, materialise, release, ship
 from .graph import components
 
 #: Ratio of a band's limits, rounds of pivots before the rest meets by fine sketches, and how much finer these are.
-RATIO, ROUNDS, FINE = 1.3, 2, 8
+RATIO, ROUNDS, FINE = 1.3, 2, 4
+#: Members up to which a group's remainder meets by its own key.
+MEMBERS = 1000
 #: 64-bit words of the sketches that candidate pairs of the remainder are compared by.
 SKETCH = 16
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values of splitmix64
@@ -223,32 +226,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.select("a", "b", "s", "t").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, w0..): size and parity sketch of each text's set."""
+    import pyarrow as pa
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    names = [f"w{i}" for i in range(SKETCH)]
+
+    def run(parts):
+        for part in parts:
+            for start in range(0, part.num_rows, 1000):
+                own = part.slice(start, 1000)
+                sets = [shingles(t, k) for t in own.column(1).to_pylist()]
+                bits = np.array([sketch(h) for h in sets], np.int64).reshape(-1, SKETCH)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(bits[:, j]) for j in range(SKETCH))], ["doc_id", "n", *names])
+
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, {', '.join(f'{w} long' for w in names)}")
+
+
 def _rarest(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, key, n, w0..): of each text's fine sketches the d + 1 rarest segments that occur more than once, with its parity sketch."""
+    """(key, doc_id): of each text's fine sketches the d + 1 rarest segments that occur more than once."""
     import pyarrow as pa
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    words = [f"w{i}" for i in range(SKETCH)]
 
     def run(parts):
         for part in parts:
             for start in range(0, part.num_rows, 500):
                 own = part.slice(start, 500)
-                found = []
-                for i, t in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
-                    h = shingles(t, k)
-                    found += [(i, band, need, len(h), sketch(h), keys_) for band, need, keys_ in fine_keys(h, num, den)]
-                ends = np.cumsum([0, *(len(f[5]) for f in found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[5] for f in found]) if found else np.empty(0, np.int64)))
-                bits = np.array([f[4] for f in found], np.int64).reshape(-1, SKETCH)
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], own.column(0).type), *(pa.array([f[j] for f in found], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()))), *(pa.array(bits[:, j]) for j in range(SKETCH)), lists], ["doc_id", "band", "need", "n", *words, "keys"])
+                found = [(i, f) for i, t in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True) for f in fine_keys(shingles(t, k), num, den)]
+                ends = np.cumsum([0, *(len(f[2]) for _, f in found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[2] for _, f in found]) if found else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], own.column(0).type), pa.array([f[0] for _, f in found], pa.int32()), pa.array([f[1] for _, f in found], pa.int32()), lists], ["doc_id", "band", "need", "keys"])
 
-    made = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, band int, need int, n long, {', '.join(f'{w} long' for w in words)}, keys array<long>"), "fine")
+    made = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, band int, need int, keys array<long>"), "fine")
     rows = made.select("doc_id", "band", "need", F.explode("keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("c"))
     own = rows.join(counts, "key").groupBy("doc_id", "band", "need").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))  # one sketch's segments
-    picked = own.select("doc_id", "band", F.explode(F.expr("filter(slice(s, 1, need), x -> x.c > 1)")).alias("x")).select("doc_id", "band", "x.key")
-    return picked.join(made.select("doc_id", "band", "n", *words), ["doc_id", "band"]).drop("band").distinct()
+    return own.select("doc_id", F.explode(F.expr("filter(slice(s, 1, need), x -> x.c > 1)")).alias("x")).select("x.key", "doc_id").distinct()
+
+
+def _remainder(left: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, pivot): pairs across components, of groups left (key, doc_id, component), that may link."""
+    members = left.groupBy("key").agg(F.count("*").alias("members"))
+    sized = left.join(members, "key")
+    large = materialise(sized.where(F.col("members") > MEMBERS).select("doc_id", "component").distinct(), "large")
+    rows = sized.where(F.col("members") <= MEMBERS).select("key", "doc_id", "component")
+    if not large.isEmpty():
+        rows = rows.unionByName(_rarest(texts.join(large.select("doc_id"), "doc_id", "left_semi"), k, num, den).join(large, "doc_id").select("key", "doc_id", "component"))
+    bits = materialise(_sketches(texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi"), k), "bits")
+    one = materialise(rows.join(bits, "doc_id"), "remainder")
+    other = one.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("m"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(SKETCH)])
+    apart = " + ".join(f"bit_count(w{i} ^ v{i})" for i in range(SKETCH))
+    return one.join(other, "key").where(f"component < of AND {apart} <= (n + m) * {den - num} div {den + num}").select("doc_id", "pivot")
 
 
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -292,12 +322,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
             best = ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.id")).alias("pivot"), F.col("rank.component").alias("of"))
             pairs = left.join(best, "key").where("component <> of").select("doc_id", "pivot")
         else:
-            part = left.select("doc_id", "component").distinct()
-            rare = _rarest(texts.join(part.select("doc_id"), "doc_id", "left_semi"), words, num, den).join(part, "doc_id")
-            rare = materialise(rare, "rare")
-            other = rare.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("m"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(SKETCH)])
-            apart = " + ".join(f"bit_count(w{i} ^ v{i})" for i in range(SKETCH))
-            pairs = rare.join(other, "key").where(f"component < of AND {apart} <= (n + m) * {den - num} div {den + num}").select("doc_id", "pivot")
+            pairs = _remainder(left, texts, words, num, den)
     for made in (groups, texts, *([left] if left is not groups else [])):
         discard(made)
     del new, found, pairs, known, links

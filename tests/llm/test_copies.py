@@ -53,8 +53,9 @@ def texts():
     return [*rows, (7, None), (8, ""), (9, "  \t"), (10, "A b c d"), (11, "a B  c\nd"), (12, "x"), (13, "X"), (12, "x"), (14, "É é"), (15, "é é"), (16, " ".join(f"w{i}" for i in range(30_000))), (None, "A b c d")]
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_classes_are_those_of_all_pairs(spark, texts, k, num, den):
+@pytest.mark.parametrize(("k", "num", "den", "members"), [(3, 90, 100, 1000), (3, 90, 100, 10), (5, 80, 100, 1000)])
+def test_classes_are_those_of_all_pairs(spark, texts, monkeypatch, k, num, den, members):
+    monkeypatch.setattr(jaccard, "MEMBERS", members)  # 10: the large groups' way as well
     df = spark.createDataFrame([(*r, 1, "x") for r in texts], "doc_id long, text string, n int, component string")
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(df, k, num, den).collect()}
     want = brute(texts, k, num, den)
