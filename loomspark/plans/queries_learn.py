@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import vectors as V
-from loomspark.operators.ml import bayes, kmeans, linear, margins, mixture, neighbours, trees
+from loomspark.operators.ml import bayes, images, kmeans, linear, margins, mixture, neighbours, trees
 from loomspark.plans.registry import FEATURES, ITEMS, item_features, read, register, vectors
 
 X3 = FEATURES[:3]
@@ -400,3 +400,15 @@ def library_margins(spark, sf_dir):
 @register("SELECT lang, count(*) AS n, round(avg(quality), 6) AS good FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def label_shares(spark, sf_dir):
     return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("good"))
+
+
+@register("SELECT vec_id AS id, CAST(list_sum([CAST(embedding[i + 1] * 255 + 128 > 127.5 AS INT) * CASE WHEN i < 32 THEN 1 ELSE -1 END for i in range(64)]) AS DOUBLE) AS upper_less_lower, CAST(list_sum([CAST(embedding[i + 1] * 255 + 128 > 127.5 AS INT) * CASE WHEN i % 8 < 4 THEN 1 ELSE -1 END for i in range(64)]) AS DOUBLE) AS left_less_right FROM embeddings")
+def haar_features(spark, sf_dir):
+    """The vectors as 8 x 8 images: black where the component isn't negative."""
+    from loomspark.plans.shipping import ship
+
+    ship(spark)
+    v = vectors(spark, sf_dir)
+    pixels = F.unhex(F.array_join(F.transform("features", lambda x: F.when(x * 255 + 128 > 127.5, "FF").otherwise("00")), ""))
+    out = images.haar(v.select("id", F.lit(8).alias("rows"), F.lit(8).alias("cols"), pixels.alias("pixels"), "label"), [(0, 0, 8, 8)])
+    return out.select("id", F.col("features")[0].alias("upper_less_lower"), F.col("features")[1].alias("left_less_right"))

@@ -16,12 +16,11 @@ from loomspark.plans.shipping import ship
 
 def _pagerank_sql(rounds: int = 10, alpha: float = 0.15) -> str:
     parts = [
-        f"e AS MATERIALIZED {WEB_EDGES[1:-1]}",
+        f"e AS MATERIALIZED (SELECT * FROM {WEB_EDGES})",
         "n AS MATERIALIZED (SELECT src AS page FROM e UNION SELECT dst FROM e)",
         "o AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY 1)",
         "r0 AS MATERIALIZED (SELECT page, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)",
     ]
-    parts[0] = f"e AS MATERIALIZED (SELECT * FROM {WEB_EDGES})"
     for i in range(rounds):
         parts.append(
             f"r{i + 1} AS MATERIALIZED (SELECT n.page, {alpha} / (SELECT count(*) FROM n) + {1 - alpha} * ((SELECT coalesce(sum(rank), 0) FROM r{i} WHERE page NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM n) + coalesce(c.given, 0)) AS rank "

@@ -43,14 +43,13 @@ def mean_with_work(spark, sf_dir):
 
 
 @register(
-    """SELECT station, list(struct_pack(period := period, min_avg := min_avg, max_avg := max_avg) ORDER BY period)::VARCHAR AS unused, count(*) AS n,
+    """SELECT station, count(*) AS n,
     string_agg(period || ':' || coalesce(printf('%.3f', min_avg), 'NaN') || ':' || coalesce(printf('%.3f', max_avg), 'NaN'), ',' ORDER BY period) AS series
     FROM (SELECT user_id AS station, strftime(ts, '%Y-%m-%d') AS period, avg(CASE WHEN event_type = 'view' THEN value END) AS min_avg, avg(CASE WHEN event_type = 'click' THEN value END) AS max_avg
-    FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2) GROUP BY station""".replace("list(struct_pack(period := period, min_avg := min_avg, max_avg := max_avg) ORDER BY period)::VARCHAR AS unused, ", "")
+    FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2) GROUP BY station"""
 )
 def time_series(spark, sf_dir):
     series = A.time_series(readings(spark, sf_dir), F.date_format("ts", "yyyy-MM-dd"), "view", "click")
-    show = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("NaN"))
     show = lambda c: F.when(c.isNull(), "NaN").otherwise(F.format_string("%.3f", c))
     return series.select("station", F.size("series").cast("long").alias("n"), F.array_join(F.transform("series", lambda s: F.concat_ws(":", s["period"], show(s["min_avg"]), show(s["max_avg"]))), ",").alias("series"))
 
@@ -159,7 +158,7 @@ def counter_normalised(spark, sf_dir):
     return A.normalised(c).select("key", F.round("value", 6).alias("value"))
 
 
-@register("SELECT key, sum(v) AS value FROM (SELECT l_suppkey AS key, count(*) AS v FROM lineitem GROUP BY 1 UNION ALL SELECT s_suppkey, -1 FROM supplier) GROUP BY key".replace("sum(v)", "CAST(sum(v) AS BIGINT)"))
+@register("SELECT key, CAST(sum(v) AS BIGINT) AS value FROM (SELECT l_suppkey AS key, count(*) AS v FROM lineitem GROUP BY 1 UNION ALL SELECT s_suppkey, -1 FROM supplier) GROUP BY key")
 def counter_difference(spark, sf_dir):
     a = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.count("*").alias("value"))
     b = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.lit(1).cast("long").alias("value"))
@@ -418,7 +417,7 @@ def set_difference(spark, sf_dir):
     return R.unseen(read(spark, sf_dir, "customer").select("c_custkey"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@register(r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z]+')::VARCHAR[]) || ['#' || lang, '@' || source]) AS n FROM documents".replace("len(", "CAST(len(").replace("source]) AS n", "source]) AS INT) AS n"))
+@register("SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]+')::VARCHAR[]) || ['#' || lang, '@' || source]) AS INT) AS n FROM documents")
 def feature_terms(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
@@ -477,7 +476,7 @@ def page_anchors(spark, sf_dir):
     return p.select("page_id", F.size("h").cast("long").alias("n_links"), F.coalesce(F.get("h", F.lit(0)), F.lit("")).alias("first_link"))
 
 
-@register(r"SELECT conv_id, turn, len(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS n FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]|[0-9_''-]')".replace("len(", "CAST(len(").replace("+'))) AS n", "+'))) AS INT) AS n"))
+@register(r"SELECT conv_id, turn, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS INT) AS n FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]|[0-9_''-]')")
 def word_sets(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]|[0-9_'-]"))
     return c.select("conv_id", "turn", F.size(X.word_set(F.col("text"))).alias("n"))
