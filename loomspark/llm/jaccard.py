@@ -40,6 +40,8 @@ from .graph import components
 
 #: Ratio of a band's limits, rounds of pivots before the rest meets by fine sketches, and how much finer these are.
 RATIO, ROUNDS, FINE = 1.3, 2, 4
+#: Parts of the join keys that are grouped one after the other, which bounds the disk that their shuffles take.
+PARTS = 4
 #: Members up to which a group's remainder meets by its own key.
 MEMBERS = 1000
 #: 64-bit words of the sketches that candidate pairs of the remainder are compared by.
@@ -288,12 +290,17 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     """
     ship(docs.sparkSession)
     seen = materialise(_sketched(docs, words, num, den), "sketches")
-    rows = seen.select("doc_id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where("size > 1").select("key", "pivot")
-    groups = materialise(rows.join(shared, "key").select("key", "doc_id", "pivot"), "groups")
+    groups = None
+    for part in range(PARTS):  # one part of the keys after the other: their shuffles don't stand side by side
+        rows = seen.select("doc_id", F.explode(F.expr(f"filter(keys, x -> pmod(x, {PARTS}) = {part})")).alias("key"))
+        shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where("size > 1").select("key", "pivot")
+        found = materialise(rows.join(shared, "key").select("key", "doc_id", "pivot"), "groups")
+        groups = found if groups is None else groups.unionByName(found)
+        del rows, shared, found
+        release(docs.sparkSession)
     wide, seen = seen, materialise(seen.select("doc_id", "n", "sig", (F.size("keys") > 0).alias("published")), "sets")
     discard(wide)
-    del wide, rows, shared
+    del wide
     release(docs.sparkSession)
     of_set = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
     equal = seen.where("published").select("sig", F.col("doc_id").alias("a")).join(of_set, "sig").where("a <> first").select("a", F.col("first").alias("b"))
