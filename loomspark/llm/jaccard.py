@@ -12,8 +12,8 @@ larger partner can be in. Segments without a shingle say nothing and are not joi
 further segments to make up for them, and the few documents with more empty segments than that also
 publish their empty ones, so no link is lost.
 
-Equal sets are one class from the start; of those that a task meets, only the first publishes keys. Within a segment's group, members are verified against one pivot
-(then the member with most links so far, round by round), components are merged, and only groups that
+Equal sets are one class from the start; of those that a task meets, only the first publishes keys. Within a segment's group, members whose sketches are near enough are
+verified against one pivot (then the member with most links so far, round by round), components are merged, and only groups that
 still hold several components go on. What is left after ROUNDS rounds meets pair by pair across components,
 inside a join that lets only those through whose parity sketches of SKETCH words are near enough; these are
 verified. That join compares at most MEMBERS rows with each: documents of larger groups are sketched more
@@ -268,7 +268,7 @@ def _rarest(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return own.select("doc_id", F.explode(F.expr("filter(slice(s, 1, need), x -> x.c > 1)")).alias("x")).select("x.key", "doc_id").distinct()
 
 
-def _remainder(left: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _remainder(left: DataFrame, texts: DataFrame, bits: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, pivot): pairs across components, of groups left (key, doc_id, component), that may link."""
     members = left.groupBy("key").agg(F.count("*").alias("members"))
     sized = left.join(members, "key")
@@ -276,13 +276,20 @@ def _remainder(left: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     rows = sized.where(F.col("members") <= MEMBERS).select("key", "doc_id", "component")
     if not large.isEmpty():
         rows = rows.unionByName(_rarest(texts.join(large.select("doc_id"), "doc_id", "left_semi"), k, num, den).join(large, "doc_id").select("key", "doc_id", "component"))
-    bits = materialise(_sketches(texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi"), k), "bits")
     one = materialise(rows.join(bits, "doc_id"), "remainder")
     other = one.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("of"), F.col("n").alias("m"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(SKETCH)])
     apart = " + ".join(f"bit_count(w{i} ^ v{i})" for i in range(SKETCH))
     return one.join(other, "key").where(f"component < of AND {apart} <= (n + m) * {den - num} div {den + num}").select("doc_id", "pivot")
 
 
+def _near(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose parity sketches are near enough to link: texts of the others needn't meet."""
+    one = bits.select(F.col("doc_id").alias("a"), "n", *[f"w{i}" for i in range(SKETCH)])
+    other = bits.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(SKETCH)])
+    apart = " + ".join(f"bit_count(w{i} ^ v{i})" for i in range(SKETCH))
+    return pairs.join(one, "a").join(other, "b").where(f"{apart} <= (n + m) * {den - num} div {den + num}").select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
 
@@ -306,11 +313,13 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     equal = seen.where("published").select("sig", F.col("doc_id").alias("a")).join(of_set, "sig").where("a <> first").select("a", F.col("first").alias("b"))
 
     texts = materialise(docs.select("doc_id", "text").join(groups.select("doc_id").distinct(), "doc_id"), "texts")
+    bits = materialise(_sketches(texts, words), "bits")
     release(docs.sparkSession)
     links, left, pairs = None, groups, groups.where("doc_id <> pivot")
     merged = None
     for turn in range(ROUNDS + 1):
         found = pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+        found = materialise(_near(found, bits, num, den), "near")
         new = materialise(_verified(found, texts, words, num, den), "links")
         links = new if links is None else links.unionByName(new)
         known = new.unionByName(equal) if merged is None else merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
@@ -329,8 +338,8 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
             best = ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.id")).alias("pivot"), F.col("rank.component").alias("of"))
             pairs = left.join(best, "key").where("component <> of").select("doc_id", "pivot")
         else:
-            pairs = _remainder(left, texts, words, num, den)
-    for made in (groups, texts, *([left] if left is not groups else [])):
+            pairs = _remainder(left, texts, bits, words, num, den)
+    for made in (groups, texts, bits, *([left] if left is not groups else [])):
         discard(made)
     del new, found, pairs, known, links
     release(docs.sparkSession)
