@@ -30,16 +30,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for the pattern to be worth trying.
-NEEDS = {"email": "instr(t, '@') > 0", "ip": r"t RLIKE '[0-9]\\.[0-9]'", "card": "t RLIKE '[0-9][ -]?[0-9]'", "phone": "instr(t, '+') > 0"}
+#: What a text (in `_t`) must hold for the pattern to be worth trying: all that the pattern matches holds it.
+NEEDS = {"email": "instr(_t, '@') > 0", "ip": r"_t RLIKE '[0-9]\\.[0-9]'", "card": "_t RLIKE '[0-9][ -]?[0-9]'", "phone": "instr(_t, '+') > 0"}
 #: The loose generators.
 LOOSE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\s?(?:@|\(at\)|\[at\]|\{at\}| at )\s?[a-z0-9-]{1,63}+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[a-z0-9-]{1,63}+){1,4}+",
-    "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){3,7}(?::?[0-9a-f]{1,4})?(?![0-9a-f:])",
+    "ip": r"(?i)(?<![0-9a-f:])(?:(?:[0-9a-f]{1,4}:){3,7}(?::?[0-9a-f]{1,4})?(?![0-9a-f:])|(?<![g-z_])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6}+)?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6}+)?(?![0-9a-z_:]))",
     "card": r"(?<![0-9])[0-9]{4}(?:[ ._-]?[0-9]{2,7}){2,4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\(?0{0,2}[1-9][0-9]{0,2}\)?[ ./-])?\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,4}(?![0-9])",
 }
-LOOSE_NEEDS = {"email": r"(instr(t, '@') > 0 OR t RLIKE '(?i)[(\\[{]at[)\\]}]' OR t RLIKE '(?i) at [a-z0-9-]+ dot ')", "ip": r"t RLIKE '(?i)[0-9a-f]:[0-9a-f]{1,4}:'", "card": r"t RLIKE '[0-9]{4}[ ._-]?[0-9]'", "phone": r"t RLIKE '[0-9][) ./-]{1,2}[0-9]{3}'"}
+LOOSE_NEEDS = {
+    "email": r"_t RLIKE '(?i)@|[(\\[{]at[)\\]}]| at \\s?[a-z0-9-]+\\s?(?:[.]|[(\\[{]dot[)\\]}]| dot )'",
+    "ip": r"_t RLIKE '(?i)[0-9a-f]:[0-9a-f]{1,4}:|::'",
+    "card": r"_t RLIKE '[0-9]{4}[ ._-]?[0-9]'",
+    "phone": r"_t RLIKE '[0-9][) ./-]{1,2}[0-9]{3}'",
+}
 STEP = 256
 
 
@@ -89,7 +94,7 @@ CONTEXT = {
     "for_ip": r"(?i)(?:\\bip|host|address|server|client|adresse|login)[^\\n]{0,20}$",
     "against": r"(?i)(?:version|release|order|invoice|ref|isbn|issn|section|chapter|page|no|nr|id|serial|sku|part|ratio|score|time|date|since|year|doi|hash|sum|total|\\bv)[^a-z\\n]{0,4}$",
 }
-FEATURES = ["kind", "length", "digits", "letters", "groups", "longest", "luhn", "dots", "colons", "parens", "at_sign", "at_word", "tld", "iin", "date_like", "glued", *CONTEXT]
+FEATURES = ["kind", "length", "digits", "letters", "groups", "longest", "luhn", "dots", "colons", "parens", "at_sign", "at_word", "stops", "tld", "iin", "date_like", "glued", *CONTEXT]
 
 
 def features(t: str) -> str:
@@ -108,7 +113,8 @@ def features(t: str) -> str:
         "colons": "char_length(regexp_replace(x.v, '[^:]', ''))",
         "parens": "CASE WHEN x.v RLIKE '[(]' THEN 1 ELSE 0 END",
         "at_sign": "CASE WHEN instr(x.v, '@') > 0 THEN 1 ELSE 0 END",
-        "at_word": r"CASE WHEN x.v RLIKE '(?i)[(\\[{]at[)\\]}]' THEN 2 WHEN x.v RLIKE '(?i) at .* dot ' THEN 1 ELSE 0 END",
+        "at_word": r"CASE WHEN x.v RLIKE '(?i)[(\\[{]at[)\\]}]' THEN 2 WHEN x.v RLIKE '(?i) at .* dot ' THEN 1 WHEN x.v RLIKE '(?i) at ' THEN 3 ELSE 0 END",
+        "stops": r"CASE WHEN x.v RLIKE '[.]\\s' THEN 1 ELSE 0 END",
         "tld": r"CASE WHEN x.v RLIKE '(?i)(?:[.]|dot[)\\]}]?) ?(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$' THEN 1 ELSE 0 END",
         "iin": "CASE WHEN x.v RLIKE '^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|30)' THEN 1 ELSE 0 END",
         "date_like": r"CASE WHEN x.v RLIKE '^(?:19|20)[0-9]{2}[ ./-][0-9]{2}[ ./-]' OR x.v RLIKE '[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}$' THEN 1 ELSE 0 END",
@@ -125,13 +131,13 @@ def _clean(text: str) -> Column:
 
 def _with_base(docs: DataFrame, text: str) -> DataFrame:
     """Adds `_t` and `_base`: array<struct<s, k, e, v>> sorted by start, then kind."""
-    found = ", ".join(f"transform(filter(CASE WHEN {NEEDS[k].replace('t ', '_t ').replace('(t,', '(_t,')} THEN {spans('_t', BASE[k])} ELSE {NONE} END, x -> {VALID[k]}), x -> named_struct('s', x.s, 'k', {i}, 'e', x.e, 'v', x.v))" for i, k in enumerate(KINDS))
+    found = ", ".join(f"transform(filter(CASE WHEN {NEEDS[k]} THEN {spans('_t', BASE[k])} ELSE {NONE} END, x -> {VALID[k]}), x -> named_struct('s', x.s, 'k', {i}, 'e', x.e, 'v', x.v))" for i, k in enumerate(KINDS))
     return docs.withColumn("_t", _clean(text)).withColumn("_base", F.expr(f"array_sort(concat({found}))"))
 
 
 def _with_proposals(docs: DataFrame) -> DataFrame:
     """Adds `_more`: proposals (k, s, e, v) that overlap no base span, each with its features f."""
-    found = ", ".join(f"transform(CASE WHEN {LOOSE_NEEDS[k].replace('t ', '_t ').replace('(t,', '(_t,')} THEN {spans('_t', LOOSE[k])} ELSE {NONE} END, x -> named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v))" for i, k in enumerate(KINDS))
+    found = ", ".join(f"transform(CASE WHEN {LOOSE_NEEDS[k]} THEN {spans('_t', LOOSE[k])} ELSE {NONE} END, x -> named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v))" for i, k in enumerate(KINDS))
     free = f"filter(concat({found}), x -> NOT exists(_base, b -> b.s < x.e AND x.s < b.e))"
     return docs.withColumn("_more", F.expr(free)).withColumn("_more", F.expr(f"transform(_more, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'v', x.v, 'f', {features('_t')}))"))
 
@@ -146,6 +152,7 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, int]
     d = lambda k: "".join(str(x) for x in rng.integers(0, 10, k))
     w = lambda k: "".join(chr(97 + x) for x in rng.integers(0, 26, k))
     one = lambda *xs: xs[int(rng.integers(len(xs)))]
+    h = lambda k: ":".join(f"{int(x):x}" for x in rng.integers(4096, 65536, k))
 
     def card(k: int) -> str:
         body = one("4", "51", "34", "6011") + d(k)
@@ -159,6 +166,8 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, int]
         good = [
             (one("email ", "contact ", "write to ", ""), f"{w(5)}{one(' (at) ', '(at)', ' [at] ', '[at]')}{w(6)}{one(' (dot) ', '[dot]', '.')}{one('com', 'org', 'de')}"),
             (one("email ", "mail: ", "reach me "), f"{w(5)} at {w(6)} dot {one('com', 'net', 'org')}"),
+            (one("email ", "mail: ", "write to ", ""), f"{w(5)} at {w(6)}.{one('com', 'net', 'org', 'de')}"),
+            (one("ip ", "host ", "server ", ""), one(f"2001:db8::{h(1)}", f"fe80::{h(2)}", f"{h(3)}::{h(1)}", f"{h(2)}::{h(3)}", f"::{d(1)}")),
             (one("phone ", "tel: ", "call ", "mobile "), one(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(4)} {d(3)}")),
             ("", f"({d(3)}) {d(3)}-{d(4)}"),
             (one("ip ", "host ", "server ", ""), ":".join(f"{int(x):x}" for x in rng.integers(4096, 65536, 8))),
@@ -172,6 +181,9 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, int]
             (one("isbn ", "doi ", "part "), f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
             (one("total ", "sum ", ""), f"{d(4)}.{d(4)}.{d(4)}"),
             ("", f"{w(5)} at {w(6)} dot"),
+            ("", f"{w(5)} at {w(6)}. {one(w(5), w(2), 'es', 'de')}"),
+            ("", f"{w(4)} at {w(6)}.{w(5)}"),
+            ("", one("::", "abc::", "::add", "face::", "bad::cafe", "dead::", "c::d")),
             ("", d(16)),
             ("", f"{d(4)} {d(3)} {d(4)}"),
         ]

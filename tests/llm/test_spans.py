@@ -51,6 +51,22 @@ def test_added_spans_and_clean_text(spark):
     assert "phone" not in got[3] and got[4] == ""
 
 
+def test_each_loose_generator_runs_without_other_hints(spark):
+    only = {"john at example dot org": "email", "john at example.org": "email", "john (at) example dot org": "email", "2001:db8::1": "ip", "fe80::1c2f:8a3b": "ip", "2001:db8:85a3::8a2e:370:7334": "ip", "2001:1db8:85a3:1234:5678:8a2e:1370:7334": "ip", "4111.1111.1111.1111": "card", "(269) 555-2801": "phone"}
+    lead = {"email": "please mail ", "ip": "from host ", "card": "by visa ", "phone": "please call "}
+    rows = [(i, f"{lead[k]}{v} today") for i, (v, k) in enumerate(only.items())]
+    rows += [(100, "we met at noon. Then we looked at home. es was late, std::vector and alpha::beta too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    more = {r["doc_id"]: {(x["k"], x["s"], x["e"]) for x in r["_more"]} for r in pii._with_proposals(pii._with_base(df, "text")).collect()}
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    for i, (v, k) in enumerate(only.items()):
+        a = len(lead[k])
+        assert (pii.KINDS.index(k), a, a + len(v)) in more[i], v
+        assert f"{k}:{a}:{a + len(v)}" in got[i].split(","), (v, got[i])
+    assert got[100] == ""
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[0] == "please mail <EMAIL> today"
+
+
 def test_redaction_keeps_every_row_and_column(spark):
     rows = [(1, "mail x@y.com, card 4111111111111111!", 5, "a"), (2, None, 0, "b"), (3, "clean", 5, "c"), (3, "clean", 5, "c"), (None, "1.2.3.4", 7, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _base string")
