@@ -247,8 +247,13 @@ def _sketches(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _rarest(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(key, doc_id): of each text's fine sketches the d + 1 rarest segments that occur more than once."""
+    """(key, doc_id): of each text's fine sketches the d + 1 rarest segments that occur more than once.
+
+    Rows that repeat a doc_id and its set give the segments of one sketch; different sets under one doc_id
+    keep a sketch each.
+    """
     import pyarrow as pa
+    from xxhash import xxh3_64_intdigest
 
     kind = texts.schema["doc_id"].dataType.simpleString()
 
@@ -256,15 +261,17 @@ def _rarest(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         for part in parts:
             for start in range(0, part.num_rows, 500):
                 own = part.slice(start, 500)
-                found = [(i, f) for i, t in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True) for f in fine_keys(shingles(t, k), num, den)]
-                ends = np.cumsum([0, *(len(f[2]) for _, f in found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[2] for _, f in found]) if found else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], own.column(0).type), pa.array([f[0] for _, f in found], pa.int32()), pa.array([f[1] for _, f in found], pa.int32()), lists], ["doc_id", "band", "need", "keys"])
-
-    made = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, band int, need int, keys array<long>"), "fine")
-    rows = made.select("doc_id", "band", "need", F.explode("keys").alias("key"))
+                sets = [(i, shingles(t, k)) for i, t in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True)]
+                found = [(i, s, f) for i, s, h in [(i, xxh3_64_intdigest(h.tobytes()), h) for i, h in sets] for f in fine_keys(h, num, den)]
+                ends = np.cumsum([0, *(len(f[2]) for _, _, f in found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[2] for _, _, f in found]) if found else np.empty(0, np.int64)))
+                own_set = pa.array(np.array([s for _, s, _ in found], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in found], own.column(0).type), own_set, pa.array([f[0] for _, _, f in found], pa.int32()), pa.array([f[1] for _, _, f in found], pa.int32()), lists], ["doc_id", "own", "band", "need", "keys"])
+
+    made = materialise(texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, own long, band int, need int, keys array<long>"), "fine")
+    rows = made.select("doc_id", "own", "band", "need", F.explode("keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("c"))
-    own = rows.join(counts, "key").groupBy("doc_id", "band", "need").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("s"))  # one sketch's segments
+    own = rows.join(counts, "key").groupBy("doc_id", "own", "band", "need").agg(F.array_sort(F.collect_set(F.struct("c", "key"))).alias("s"))  # one sketch's segments
     return own.select("doc_id", F.explode(F.expr("filter(slice(s, 1, need), x -> x.c > 1)")).alias("x")).select("x.key", "doc_id").distinct()
 
 

@@ -62,6 +62,29 @@ def test_classes_are_those_of_all_pairs(spark, texts, monkeypatch, k, num, den,
     assert got == {(i, len(jaccard.shingles(t, k)), want[i] if i is not None else None) for i, t in texts}
 
 
+def test_large_groups_with_repeated_rows(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"v{i}" for i in range(400)]
+    rows, pairs = [], []
+    for n in range(12):
+        a = [f"{w}x{n}" for w in base]
+        b = list(a)
+        for i in rng.sample(range(400), 6):
+            b[i] = "changed"
+        rows += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+        pairs.append((2 * n, 2 * n + 1))
+    rows += [(1, " ".join(f"{w}y" for w in base))] * 3  # another text of that size under one doc_id
+    assert all(brute(rows, 3, 90, 100)[b] == a for a, b in pairs)
+    df = spark.createDataFrame([r for r in rows for _ in range(9)], "doc_id long, text string")
+    keys = defaultdict(set)
+    for r in jaccard._rarest(df, 3, 90, 100).collect():
+        keys[r["doc_id"]].add(r["key"])
+    assert all(keys[a] & keys[b] for a, b in pairs)
+    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(df, 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100)
+
+
 def test_one_of_each_group_stays(spark, texts):
     df = spark.createDataFrame([(*r, "x") for r in texts], "doc_id long, text string, key string")
     kept = jaccard.keep_first(df)
