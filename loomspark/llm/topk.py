@@ -107,8 +107,11 @@ class Best:
                     at = np.flatnonzero(hits[q])
                     s = sums[q, at]
                     if len(at) > 4 * self.k:  # enough of the best, ties at the edge included
-                        edge = np.partition(s, len(s) - self.k - 1)[len(s) - self.k - 1]
-                        at, s = at[s >= edge], s[s >= edge]
+                        other = names[alive[at]] != self.ids[a + q]  # rows of the query's own id are none of them
+                        at, s = at[other], s[other]
+                        if len(at) > self.k:
+                            edge = np.partition(s, len(s) - self.k)[len(s) - self.k]
+                            at, s = at[s >= edge], s[s >= edge]
                     self.offer(a + q, s.astype(np.int64).tolist(), names[alive[at]].tolist())
 
 

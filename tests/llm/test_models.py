@@ -124,6 +124,15 @@ def test_top_k_is_exact(spark, block):
     assert got == brute(rows, 50, 5)
 
 
+def test_top_k_with_repeated_query_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in np.float32(rng.normal(0, 0.2, 8))]) for i in range(200)]
+    rows += [(i, [3 * x for x in rows[i][1]]) for i in (0, 50, 50, 100, 100, 100, 100, 100, 100, 100)]  # of one batch, the best scores of their ids
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df, "vec_id % 50 = 0").collect())
+    assert got == brute(rows, 50, 5)
+
+
 def test_top_k_of_large_and_few_numbers(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 1e6, 5)]) for i in range(60)]
