@@ -2,8 +2,9 @@
 
 A document is the set of its words and of their beginnings, hashed to 2**20 buckets. A score is
 sigmoid(b * (w0 + sum of w_i + sum over pairs of <v_i, v_j>)); the pair term lets an insult with a
-group mention weigh more than either does alone. w0 is the log-odds of the sample and isn't learned, so a
-text without telling terms, an empty one for instance, scores as the sample's share of toxic rows at most. Learning takes a bounded sample of labelled rows (MOST of
+group mention weigh more than either does alone. w0 is the log-odds of all labelled rows that may be learned
+from and isn't learned, and the sample's rows weigh as many of these as they stand for, so that scores mean the
+same at every size. Learning takes a bounded sample of labelled rows (MOST of
 each label) that aren't held out; of its buckets, the machine keeps those that tell the labels apart and
 the most frequent ones. The last fifth of the sample calibrates b. All documents are scored whole.
 
@@ -80,16 +81,21 @@ def _select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.unique(np.r_[telling, frequent[all_[frequent] >= LEAST]])
 
 
-def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
-    """Fit on the sample's buckets; deterministic."""
+def train(rows: list[np.ndarray], labels: list[int], seed: int = 7, totals: tuple[int, int] | None = None) -> Model:
+    """Fit on the sample's buckets; deterministic.
+
+    `totals` counts the clean and the toxic rows that the sample stands for: its rows weigh accordingly.
+    """
     y = np.array(labels, np.float64)
     slot = np.full(1 << BITS, -1, np.int32)
-    rate = (y.sum() + 1) / (len(y) + 2)
+    clean, toxic = totals or (len(y) - y.sum(), y.sum())
+    rate = (toxic + 1) / (clean + toxic + 2)
     if len(set(labels)) < 2:
         return Model(slot, float(np.log(rate / (1 - rate))), np.zeros(1), np.zeros((1, FACTORS)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     rows, y = [rows[i] for i in order], y[order]
+    weight = np.where(y == 1, toxic / y.sum(), clean / (len(y) - y.sum())) * (len(y) / (clean + toxic))  # 1 on average
     fit_n = len(y) - len(y) // 5
     kept = _select(rows[:fit_n], y[:fit_n])
     if not len(kept):
@@ -106,7 +112,7 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
             a = x[own].astype(np.float64)
             s = a @ par[2]
             z = par[0] + a @ par[1] + 0.5 * ((s * s).sum(1) - a @ (par[2] ** 2).sum(1))
-            e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[own]) / len(own)
+            e = weight[own] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[own]) / len(own)
             grads = [np.zeros(1), a.T @ e + DECAY * par[1], a.T @ (e[:, None] * s) - par[2] * (a.T @ e)[:, None] + DECAY * par[2]]
             t += 1
             for k, g in enumerate(grads):
@@ -114,17 +120,17 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
                 v[k] += 0.001 * (g * g - v[k])
                 par[k] -= STEP * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     model = Model(slot, float(par[0][0]), par[1], par[2])
-    z, w = model.raw(x[fit_n:].astype(np.float64)), y[fit_n:]
+    z, w, u = model.raw(x[fit_n:].astype(np.float64)), y[fit_n:], weight[fit_n:]
     b = 1.0  # Newton's steps on the held part of the sample, with a weak prior at 1
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(b * z, -40, 40)))
-        b -= (((p - w) * z).sum() + (b - 1)) / ((p * (1 - p) * z * z).sum() + 1)
+        b -= ((u * (p - w) * z).sum() + (b - 1)) / ((u * p * (1 - p) * z * z).sum() + 1)
         b = min(max(b, 0.2), 5.0)
     return Model(slot, model.bias, model.weights, model.factors, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
-    """Learn from at most `most` labelled rows of each label; held-out rows must not be in `labels`."""
+    """Learn from at most `most` labelled rows of each label, weighted to the share of all; held-out rows must not be in `labels`."""
     ship(docs.sparkSession)
     told = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = told.withColumn("h", F.xxhash64("doc_id"))
@@ -139,7 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
 
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")  # 2 * most rows
     found = sorted((r["h"], r["toxic"], r["terms"]) for r in sample.select("h", "toxic", "text").mapInArrow(run, "h long, toxic int, terms binary").collect())
-    return train([np.frombuffer(t, np.int32) for _, _, t in found], [y for _, y, _ in found])
+    totals = None
+    if max((r["count"] for r in told.groupBy("toxic").count().collect()), default=0) > most:  # else the sample is all there is
+        all_ = {r["toxic"]: r["count"] for r in docs.where("text IS NOT NULL").select("doc_id").join(told, "doc_id").groupBy("toxic").count().collect()}
+        totals = (all_.get(0, 0), all_.get(1, 0))
+    return train([np.frombuffer(t, np.int32) for _, _, t in found], [y for _, y, _ in found], totals=totals)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -100,6 +100,24 @@ def test_pairs_tell_what_no_single_term_tells():
     assert 0.5 * ((s * s).sum() - (m.factors[m.slot[both]] ** 2).sum()) > 0.5  # the pair itself carries weight
 
 
+def test_bias_is_the_share_of_all_labels(labelled):
+    docs, labels = labelled  # 225 toxic and 676 clean rows
+    for most in (6000, 100, 20):
+        m = toxicity.fit(docs, labels, most)
+        assert m.bias == pytest.approx(math.log(226 / 677)), most
+    m = toxicity.fit(docs, labels, 100)
+    assert m.score(toxicity.terms("")) < 0.3 and m.score(toxicity.terms("a nitwit, indeed")) > 0.7
+
+
+def test_a_weighted_sample_is_calibrated_to_the_share():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(np.array([int(rng.random() < (0.7 if i % 2 else 0.3)), *rng.integers(2, 20, 3)], np.int32)) for i in range(4000)]
+    y = [i % 2 for i in range(4000)]
+    m = toxicity.train(rows, y, totals=(90_000, 10_000))
+    p = np.array([m.score(r) for r in rows])
+    assert np.average(p, weights=np.where(np.array(y) == 1, 10_000, 90_000)) == pytest.approx(0.1, abs=0.03)
+
+
 # --- top-k ---
 
 
