@@ -200,7 +200,7 @@ def output_codes(spark, sf_dir):
 
 @register()
 def active_learning(spark, sf_dir):
-    s = _signed(spark, sf_dir).where("id % 5 = 0")
+    s = _signed(spark, sf_dir)
     return spark.createDataFrame([(float(a), float(b)) for a, b in trees.active_learning(s, X3, "label", "id", turns=2, rounds=2)], "labelled double, error double")
 
 
@@ -325,8 +325,7 @@ def parzen_classifier(spark, sf_dir):
 
 @register()
 def relief(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("id % 4 = 0").withColumn("features", F.slice("features", 1, 8))
-    return neighbours.relief(v).select("feature", F.round("score", 6).alias("score"))
+    return neighbours.relief(vectors(spark, sf_dir)).select("feature", F.round("score", 6).alias("score"))
 
 
 @register()
@@ -380,8 +379,9 @@ def one_against_one(spark, sf_dir):
     from loomspark.plans.shipping import ship
 
     ship(spark)
-    v = vectors(spark, sf_dir).where("label < 4")
-    machines = margins.one_against_one(v, [0, 1, 2, 3], most=40)
+    v = vectors(spark, sf_dir)
+    classes = [r["label"] for r in v.select("label").distinct().orderBy("label").collect()]
+    machines = margins.one_against_one(v, classes)
     return margins.vote(v, machines)
 
 
