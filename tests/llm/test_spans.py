@@ -112,6 +112,27 @@ def test_findings(spark):
     assert secrets.scan(df.limit(0)).collect() == []
 
 
+def test_secrets_of_any_length_are_found_whole(spark):
+    rng = random.Random(4)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, want = [], {}
+    for n in (81, 201, 401, 2001, 10_001):
+        some = lambda: "".join(rng.choices(chars, k=n))  # noqa: B023, E731
+        for v in (f"sk_live_{some()}", f"ghp_{some()}", f"xoxb-{some()}", f"password={some()}", f"key {some()}", f"eyJ{some()}.{some()}.{some()}"):
+            want[len(rows)] = (n, v.split(" ")[-1])
+            rows.append((len(rows), f"use {v} now", "src/app.py"))
+    for v in ("1a" * 5000, "password=" + "x" * 3000, "a_b" * 500):
+        rows.append((len(rows), f"use {v} now", "src/app.py"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {}
+    for r in secrets.scan(df).collect():
+        got.setdefault(r["doc_id"], []).append((rows[r["doc_id"]][1][r["start"] : r["end"]], r["secret_sha256"]))
+    for i, (n, v) in want.items():
+        assert [f[0] for f in got.get(i, [])] == [v], (n, v[:12])
+        assert got[i][0][1] == hashlib.sha256(v.encode()).hexdigest()
+    assert not set(got) - set(want)
+
+
 def test_forest_is_better_than_its_generators():
     import numpy as np
 
