@@ -46,6 +46,14 @@ def test_language_stage(documents):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_copies_leave_the_sample_of_a_language_whole(spark):
+    rng = random.Random(6)
+    rows = [(prose(rng, lang), lang) for lang in WORDS for _ in range(50)]
+    once = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=10, size=4000)
+    copied = langid.fit(spark.createDataFrame([r for r in rows for _ in range(40 if r[1] == "de" else 1)], "text string, lang string"), sample=10, size=4000)
+    assert [k for k, _ in once.dictionaries] == sorted(WORDS) and copied == once
+
+
 # --- toxicity ---
 
 
