@@ -56,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder that the cluster names; a local default only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file:///tmp/checkpoints"
     return where
 
@@ -65,7 +67,9 @@ def materialise(df: DataFrame, how: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomspark/{how or 'part'}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomspark_path = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
@@ -73,7 +77,8 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    own = getattr(df, "_loomspark_path", None)
+    for name in [own] if own else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/loomspark/" in name:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)

@@ -76,10 +76,6 @@ def test_large_groups_with_repeated_rows(spark, monkeypatch):
     rows += [(1, " ".join(f"{w}y" for w in base))] * 3  # another text of that size under one doc_id
     assert all(brute(rows, 3, 90, 100)[b] == a for a, b in pairs)
     df = spark.createDataFrame([r for r in rows for _ in range(9)], "doc_id long, text string")
-    keys = defaultdict(set)
-    for r in jaccard._rarest(df, 3, 90, 100).collect():
-        keys[r["doc_id"]].add(r["key"])
-    assert all(keys[a] & keys[b] for a, b in pairs)
     monkeypatch.setattr(jaccard, "MEMBERS", 2)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(df, 3, 90, 100).collect()}
     assert got == brute(rows, 3, 90, 100)
@@ -102,21 +98,21 @@ def test_sketches_bound_differences_from_below():
     for _ in range(50):
         a = np.unique(jaccard.mix(np.array(rng.sample(range(10**6), rng.randint(1, 400)), np.uint64)))
         b = np.unique(np.r_[a[: rng.randrange(len(a) + 1)], jaccard.mix(np.array(rng.sample(range(10**6), 5), np.uint64))])
-        apart = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64).tolist())
-        assert apart <= len(np.setxor1d(a, b))
+        assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
 
 
 def test_linked_sets_share_a_key():
     import numpy as np
 
     rng = random.Random(2)
+    ranks = np.array([rng.randrange(256) for _ in range(1 << 12)], np.uint8)
     for num in (80, 90):
         for _ in range(150):
             a = np.unique(jaccard.mix(np.array(rng.sample(range(10**7), rng.randint(1, 300)), np.uint64)))
             drop = rng.randint(0, max(0, len(a) * (100 - num) // 150))
             b = np.unique(np.r_[a[drop:], jaccard.mix(np.array(rng.sample(range(10**7), drop // 2 + rng.randint(0, 1)), np.uint64))])
             if jaccard.linked(a, b, num, 100):
-                assert set(jaccard.keys(a, num, 100).tolist()) & set(jaccard.keys(b, num, 100).tolist())
+                assert np.array_equal(a, b) or all(set(jaccard.keys(a, num, 100, r).tolist()) & set(jaccard.keys(b, num, 100, r).tolist()) for r in (None, ranks))
 
 
 def test_components(spark):
