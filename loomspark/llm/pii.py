@@ -4,19 +4,23 @@ Base spans come from exact patterns and always stay. On top, loose generators pr
 same kinds (obfuscated addresses, local phone numbers, IPv6, cards of 13 digits or with other separators),
 which may overlap one another and the base. Boosted trees score each proposal by its format and the words
 around it; per kind, a threshold calibrated on held-back examples selects. Proposals that overlap a base
-span, or a better proposal of any kind, give way. Trees are trained on labelled examples that are written
-by rule (EXAMPLES of each kind of case), scored by the same SQL as the documents.
+span, or a better proposal of any kind, give way; of equals, the earlier one stays, then the kind listed first.
+
+Trees are trained on a bounded sample, scored by the same SQL as the documents: cases written by rule (EXAMPLES
+of each), e-mail addresses of the documents themselves rewritten in the loose forms between their own words (they
+are surely personal data), and what the generators propose in documents, which counts as not personal, as loose forms
+are rare in running text. A held-back share of all three calibrates the thresholds. DOCUMENTS and PROPOSALS bound
+what is taken from the documents, by hash of the text; scoring covers all documents whole.
 
 All positions are code points, end exclusive. Null text is empty: no spans. Everything happens in the row
-that holds the text: no shuffle, no explode. Repeated rows give repeated results; other columns are ignored.
+that holds the text: no shuffle, no explode, and time grows with the length and the spans of a text, not with their
+square. Repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
@@ -34,7 +38,7 @@ BASE = {
 NEEDS = {"email": "instr(_t, '@') > 0", "ip": r"_t RLIKE '[0-9]\\.[0-9]'", "card": "_t RLIKE '[0-9][ -]?[0-9]'", "phone": "instr(_t, '+') > 0"}
 #: The loose generators.
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\s?(?:@|\(at\)|\[at\]|\{at\}| at )\s?[a-z0-9-]{1,63}+(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[a-z0-9-]{1,63}+){1,4}+",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\s?(?:@|\(at\)|\[at\]|\{at\}| at )\s?[a-z0-9-]++(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot )\s?[a-z0-9-]++)++",
     "ip": r"(?i)(?<![0-9a-f:])(?:(?:[0-9a-f]{1,4}:){3,7}(?::?[0-9a-f]{1,4})?(?![0-9a-f:])|(?<![g-z_])(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6}+)?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6}+)?(?![0-9a-z_:]))",
     "card": r"(?<![0-9])[0-9]{4}(?:[ ._-]?[0-9]{2,7}){2,4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\(?0{0,2}[1-9][0-9]{0,2}\)?[ ./-])?\(?[0-9]{2,5}\)?[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,4}(?![0-9])",
@@ -52,26 +56,46 @@ def _quote(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans(t: str, pattern: str) -> str:
+def let(name: str, value: str, rest: str) -> str:
+    """A local variable in SQL: a lambda over an array of one."""
+    return f"transform(array({value}), {name} -> {rest})[0]"
+
+
+def spans(t: str, pattern: str, context: bool = False) -> str:
     """SQL for array<struct<s int, e int, v string>>: matches of the pattern with their code points.
 
     Matches are fenced by two characters that the text doesn't hold, the text is cut at the fences, and
     lengths are summed in blocks of STEP parts, so that many matches don't cost the square of their number.
+    With context, `b` holds up to 32 characters since the match before, `a` the character after.
     """
-    parts = f"split(regexp_replace({t}, {_quote(pattern)}, '$0'), '[]')"
+    parts = f"split(regexp_replace({t}, {_quote(pattern)}, '\ue000$0\ue001'), '[\ue000\ue001]')"
     lens = "transform(p, x -> char_length(x))"
     blocks = f"sequence(0, CAST((size(p) - 1) div {STEP} AS INT))"
     sums = f"transform({blocks}, c -> aggregate(slice(n, c * {STEP} + 1, {STEP}), 0, (a, x) -> a + x))"
     offs = "transform(sequence(0, size(m) - 1), c -> aggregate(slice(m, 1, c), 0, (a, x) -> a + x))"
     inner = f"filter(sequence(c * {STEP}, least(size(p) - 1, (c + 1) * {STEP} - 1)), i -> i % 2 = 1)"
     start = f"o[c] + aggregate(slice(n, c * {STEP} + 1, i - c * {STEP}), 0, (a, x) -> a + x)"
-    one = f"named_struct('s', {start}, 'e', {start} + n[i], 'v', p[i])"
+    around = ", 'b', right(p[i - 1], 32), 'a', left(p[i + 1], 1)" if context else ""
+    one = f"named_struct('s', {start}, 'e', {start} + n[i], 'v', p[i]{around})"
     body = f"flatten(transform({blocks}, c -> transform({inner}, i -> {one})))"
+    return let("p", parts, let("n", lens, let("m", sums, let("o", offs, body))))
 
-    def let(name: str, value: str, rest: str) -> str:  # a local variable: a lambda over an array of one
-        return f"transform(array({value}), {name} -> {rest})[0]"
 
-    return let("p", parts, let("n", lens, let("m", sums, let("o", offs, body))))
+def survivors(spans_: str, loser: str) -> str:
+    """SQL for the spans (s, e, ...) of an array that lose to none that overlaps them, sorted.
+
+    `loser` is SQL over two overlapping spans, o and x, of which o sorts first: 1 if x loses, 2 if o does, else 0.
+    Starts and ends are ranked by sorting, so each span looks at those only that begin inside it: spans of a kind don't
+    overlap one another, which makes these few for each place of the text.
+    """
+    ends = "array_sort(concat(transform(S, q -> named_struct('p', q.s, 't', 1, 'i', -1)), transform(S, (q, n) -> named_struct('p', q.e, 't', 0, 'i', n))))"
+    # of each span, how many begin before it ends: the place of its end less the ends before it
+    places = f"filter(transform({ends}, (q, n) -> named_struct('i', q.i, 't', q.t, 'n', n)), q -> q.t = 0)"
+    begun = f"transform(array_sort(transform({places}, (q, m) -> named_struct('i', q.i, 'h', q.n - m))), q -> q.h)"
+    meets = let("o", "S[i]", let("x", "S[j]", f"CASE {loser} WHEN 1 THEN j WHEN 2 THEN i ELSE -1 END"))
+    lost = f"flatten(transform(sequence(0, size(S) - 1), i -> CASE WHEN H[i] > i + 1 THEN transform(sequence(i + 1, H[i] - 1), j -> {meets}) ELSE CAST(array() AS array<int>) END))"
+    kept = f"transform(array_except(sequence(0, size(S) - 1), {lost}), i -> S[i])"
+    return let("S", f"array_sort({spans_})", f"CASE WHEN size(S) < 2 THEN S ELSE {let('H', begun, kept)} END")
 
 
 NONE = "CAST(array() AS array<struct<s: int, e: int, v: string>>)"
@@ -97,10 +121,9 @@ CONTEXT = {
 FEATURES = ["kind", "length", "digits", "letters", "groups", "longest", "luhn", "dots", "colons", "parens", "at_sign", "at_word", "stops", "tld", "iin", "date_like", "glued", *CONTEXT]
 
 
-def features(t: str) -> str:
-    """SQL for a struct of the features of proposal x (k, s, e, v) in text t."""
-    before = f"substring({t}, greatest(1, x.s - 31), least(32, x.s))"
-    around = f"concat(substring({t}, greatest(1, x.s), least(1, x.s)), substring({t}, x.e + 1, 1))"
+def features() -> str:
+    """SQL for a struct of the features of proposal x (k, s, e, v, b, a)."""
+    before, around = "x.b", "concat(right(x.b, 1), x.a)"
     parts = {
         "kind": "x.k",
         "length": "char_length(x.v)",
@@ -137,13 +160,23 @@ def _with_base(docs: DataFrame, text: str) -> DataFrame:
 
 def _with_proposals(docs: DataFrame) -> DataFrame:
     """Adds `_more`: proposals (k, s, e, v) that overlap no base span, each with its features f."""
-    found = ", ".join(f"transform(CASE WHEN {LOOSE_NEEDS[k]} THEN {spans('_t', LOOSE[k])} ELSE {NONE} END, x -> named_struct('k', {i}, 's', x.s, 'e', x.e, 'v', x.v))" for i, k in enumerate(KINDS))
-    free = f"filter(concat({found}), x -> NOT exists(_base, b -> b.s < x.e AND x.s < b.e))"
-    return docs.withColumn("_more", F.expr(free)).withColumn("_more", F.expr(f"transform(_more, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'v', x.v, 'f', {features('_t')}))"))
+    none = "CAST(array() AS array<struct<s: int, e: int, v: string, b: string, a: string>>)"
+    found = ", ".join(f"transform(CASE WHEN {LOOSE_NEEDS[k]} THEN {spans('_t', LOOSE[k], True)} ELSE {none} END, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e, 'v', x.v, 'b', x.b, 'a', x.a, 'base', false))" for i, k in enumerate(KINDS))
+    base = "transform(_base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'v', '', 'b', '', 'a', '', 'base', true))"
+    free = survivors(f"concat(_more, {base})", "(CASE WHEN o.base AND NOT x.base THEN 1 WHEN x.base AND NOT o.base THEN 2 ELSE 0 END)")
+    out = docs.withColumn("_more", F.expr(f"concat({found})"))
+    out = out.withColumn("_more", F.expr(f"CASE WHEN size(_base) = 0 OR size(_more) = 0 THEN _more ELSE filter({free}, x -> NOT x.base) END"))
+    return out.withColumn("_more", F.expr(f"transform(_more, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'v', x.v, 'f', {features()}))"))
 
 
-#: Labelled examples of each case, and the share of them that calibrates the thresholds.
+#: Labelled examples of each case, the share of them that calibrates the thresholds, and the precision these must reach there.
 EXAMPLES, HELD_BACK, PRECISION = 60, 0.3, 0.98
+#: Documents (about) and proposals or addresses in them that are learned from at most.
+DOCUMENTS, PROPOSALS = 4000, 3000
+#: Distinct texts that a sample must hold to tell that what it proposes is rare; a smaller one teaches nothing.
+ENOUGH = 100
+#: Curvature of the loss (a quarter an example at most) that a leaf must have.
+LEAF = 2.0
 
 
 def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, int]]:
@@ -194,18 +227,44 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, int]
     return out
 
 
-@functools.lru_cache(4)
-def _trained(n: int, app: str) -> tuple[float, list, tuple[float, ...]]:
-    spark = SparkSession.getActiveSession()
-    made = examples(n)
+def rewritten(before: str, address: str, after: str, h: int) -> tuple[str, int, int, int]:
+    """An example (text, start, end, 1): an address in one of the loose forms, between the words that stood around it."""
+    name, _, host = address.partition("@")
+    at = (" (at) ", "(at)", " [at] ", " at ", " at ", " {at} ")[h % 6]
+    dot = (" (dot) ", "[dot]", ".", " dot ", ".", " {dot} ")[h % 6]
+    form = name + at + host.replace(".", dot)
+    return f"{before}{form}{after}", len(before), len(before) + len(form), 1
+
+
+def _from_documents(docs: DataFrame, text: str, documents: int, proposals: int) -> tuple[list, list]:
+    """Of a sample of documents: (hash, features...) of what the generators propose, and (before, address, after, hash) of e-mail addresses."""
+    texts = docs.select(F.col(text).alias("x")).where("x IS NOT NULL").withColumn("h", F.xxhash64("x"))
+    n = texts.count()
+    if n < ENOUGH:
+        return [], []
+    own = texts.where(F.pmod("h", F.lit(1_000_003)) < min(1.0, documents / n) * 1_000_003).dropDuplicates(["h"])
+    if own.limit(ENOUGH).count() < ENOUGH:
+        return [], []
+    made = _with_proposals(_with_base(own, "x"))
+    rows = made.select("h", F.explode("_more").alias("x")).select(F.xxhash64("h", "x.s", "x.k").alias("o"), *[f"x.f.{f}" for f in FEATURES])
+    address = F.expr(f"transform({spans('_t', BASE['email'], True)}, x -> struct(x.b, x.v, x.a, x.s))")
+    mails = made.where("exists(_base, x -> x.k = 0)").select("h", F.explode(address).alias("x")).select("x.b", "x.v", "x.a", F.xxhash64("h", "x.s").alias("o"))
+    return [tuple(r) for r in rows.orderBy("o").limit(proposals).collect()], [tuple(r) for r in mails.orderBy("o").limit(proposals).collect()]
+
+
+def train(docs: DataFrame, text: str = "text", n: int = EXAMPLES, documents: int = DOCUMENTS, proposals: int = PROPOSALS) -> tuple[float, list, tuple[float, ...]]:
+    """Log odds to begin with, trees, and the least score of each kind."""
+    spark = docs.sparkSession
+    seen, mails = _from_documents(docs, text, documents, proposals)
+    made = examples(n) + [rewritten(b, v, a, h) for b, v, a, h in mails]
     df = spark.createDataFrame([(i, t, a, b, y) for i, (t, a, b, y) in enumerate(made)], "i int, text string, a int, b int, y int")
     found = _with_proposals(_with_base(df, "text")).select("i", "y", "a", "b", F.explode("_more").alias("x"))
     rows = found.select("i", (F.expr("x.s < b AND a < x.e").cast("int") * F.col("y")).alias("label"), *[f"x.f.{f}" for f in FEATURES]).collect()
-    rows.sort(key=tuple)
+    rows = sorted(map(tuple, rows)) + [(len(made) + i, 0, *r[1:]) for i, r in enumerate(seen)]
     x = np.array([r[2:] for r in rows], float)
     y = np.array([r[1] for r in rows], float)
     held = np.array([(r[0] * 2654435761 % 1000) < 1000 * HELD_BACK for r in rows])
-    start, grown = trees.boost(x[~held], y[~held])
+    start, grown = trees.boost(x[~held], y[~held], least=LEAF)  # single examples, which may be wrong, get no leaf of their own
     z = start + sum(trees.values(t, x) for t in grown)
     limits = []
     for k in range(len(KINDS)):  # the lowest score from which held-back proposals of the kind are right often enough
@@ -217,17 +276,19 @@ def _trained(n: int, app: str) -> tuple[float, list, tuple[float, ...]]:
     return start, grown, tuple(limits)
 
 
-def detect(docs: DataFrame, text: str = "text", n: int = EXAMPLES) -> DataFrame:
-    """Adds `_base` and `_spans` (base and selected ones), arrays of struct<s, k, e, v> by start, then kind; and `_t`."""
-    spark = docs.sparkSession
-    start, grown, limits = _trained(n, spark.sparkContext.applicationId)
+def detect(docs: DataFrame, text: str = "text", n: int = EXAMPLES, model: tuple | None = None) -> DataFrame:
+    """Adds `_base` and `_spans` (base and selected ones), arrays of struct<s, k, e, v> by start, then kind; and `_t`.
+
+    Learns from docs themselves unless a model of train() is given.
+    """
+    start, grown, limits = model or train(docs, text, n)
     names = [f"x.f.{f}" for f in FEATURES]
     z = f"({start:.6f}D + " + " + ".join(trees.sql(t, names) for t in grown) + ")"
     limit = "CASE x.k " + " ".join(f"WHEN {i} THEN {v:.6f}D" for i, v in enumerate(limits)) + " END"
     out = _with_proposals(_with_base(docs, text))
     out = out.withColumn("_more", F.expr(f"filter(transform(_more, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'v', x.v, 'z', {z} - {limit})), x -> x.z >= 0)"))
-    best = "filter(_more, x -> NOT exists(_more, o -> o.s < x.e AND x.s < o.e AND (o.z > x.z OR (o.z = x.z AND (o.s < x.s OR (o.s = x.s AND o.k < x.k))))))"
-    return out.withColumn("_spans", F.expr(f"array_sort(concat(_base, transform({best}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'v', x.v))))"))
+    best = survivors("_more", "(CASE WHEN x.z > o.z THEN 2 ELSE 1 END)")
+    return out.withColumn("_spans", F.expr(f"CASE WHEN size(_more) = 0 THEN _base ELSE array_sort(concat(_base, transform({best}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'v', x.v)))) END"))
 
 
 def _listed(col: str) -> str:
@@ -241,18 +302,38 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *[F.expr(f"CAST(size(filter(_base, x -> x.k = {i})) AS BIGINT)").alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(F.expr(_listed("_base")), 256).alias("base_sha256"), F.expr(_listed("_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+#: Characters of the blocks that a text is cut into to take pieces from.
+PIECE = 1024
+
+
+def _replaced(t: str, spans_: str) -> str:
+    """SQL for text t with its sorted spans as their kinds: runs of overlapping ones as one, by the first one's kind.
+
+    A run begins at a span before whose start all earlier ones have ended: as many ends lie before it as spans.
+    """
+    starts = "array_sort(concat(transform(S, (q, n) -> named_struct('p', q.s, 't', 1, 'n', n)), transform(S, q -> named_struct('p', q.e, 't', 0, 'n', -1))))"
+    runs = f"transform(filter(transform({starts}, (q, n) -> named_struct('t', q.t, 'n', q.n, 'before', n)), q -> q.t = 1 AND q.before = 2 * q.n), q -> q.n)"
+    stop = "array_max(transform(slice(S, C[r] + 1, CASE WHEN r + 1 < size(C) THEN C[r + 1] ELSE size(S) END - C[r]), q -> q.e))"
+    merged = f"transform(sequence(0, size(C) - 1), r -> named_struct('s', S[C[r]].s, 'e', {stop}, 'k', S[C[r]].k))"
+    first, last = f"CAST(f div {PIECE} AS INT)", f"CAST((g - 1) div {PIECE} AS INT)"
+    far = f"concat(substring(B[{first}], f % {PIECE} + 1), array_join(slice(B, {first} + 2, {last} - {first} - 1), ''), left(B[{last}], g - {last} * {PIECE}))"
+    part = f"CASE WHEN g <= f THEN '' WHEN {first} = {last} THEN substring(B[{first}], f % {PIECE} + 1, g - f) ELSE {far} END"
+    piece = lambda a, b: let("f", a, let("g", b, part))
+    label = f"element_at(array({', '.join(_quote(f'<{k.upper()}>') for k in KINDS)}), M[r].k + 1)"
+    pieces = f"array_join(transform(sequence(0, size(M) - 1), r -> concat({piece('CASE WHEN r = 0 THEN 0 ELSE M[r - 1].e END', 'M[r].s')}, {label})), '')"
+    whole = f"concat({pieces}, {piece('element_at(M, -1).e', f'char_length({t})')})"
+    blocks = f"regexp_extract_all({t}, '(?s).{{1,{PIECE}}}', 0)"
+    return let("S", spans_, let("C", runs, let("M", merged, let("B", blocks, whole))))
+
+
+def redact(docs: DataFrame, text: str = "text", model: tuple | None = None) -> DataFrame:
     """Each span becomes its kind in angle brackets; overlapping spans are replaced together, by the first one's kind.
 
     All columns stay, whatever their names; n_chars, if there, is that of the new text. Null text stays null.
     """
     # the row travels as a struct, so that none of its columns can clash
-    out = detect(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_in")), "_in")
-    # merged spans, and then the text between them
-    merged = "aggregate(_spans, CAST(array() AS array<struct<s: int, e: int, k: int>>), (a, x) -> CASE WHEN size(a) > 0 AND x.s < element_at(a, -1).e THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(x.e, element_at(a, -1).e), 'k', element_at(a, -1).k))) ELSE concat(a, array(named_struct('s', x.s, 'e', x.e, 'k', x.k))) END)"
-    label = f"element_at(array({', '.join(_quote(f'<{k.upper()}>') for k in KINDS)}), _m[i].k + 1)"
-    pieces = f"concat(array_join(transform(sequence(0, size(_m) - 1), i -> concat(substring(_in, CASE WHEN i = 0 THEN 1 ELSE _m[i - 1].e + 1 END, _m[i].s - CASE WHEN i = 0 THEN 0 ELSE _m[i - 1].e END), {label})), ''), substring(_in, element_at(_m, -1).e + 1))"
-    out = out.withColumn("_m", F.expr(merged)).withColumn("_new", F.expr(f"CASE WHEN size(_spans) = 0 THEN _in ELSE {pieces} END"))
+    out = detect(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_in")), "_in", model=model)
+    out = out.withColumn("_new", F.expr(f"CASE WHEN size(_spans) = 0 THEN _in ELSE {_replaced('_in', '_spans')} END"))
 
     def column(name: str) -> Column:
         if name == text:
