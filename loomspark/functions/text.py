@@ -34,7 +34,7 @@ def id_form(c: Column) -> Column:
 
 
 def plain_letters(c: Column) -> Column:
-    """Lower case, white space collapsed, all but letters and spaces gone."""
+    """Lower case, white space as single spaces, all but a-z and spaces gone, no space at either end."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), "[^a-z ]", ""))
 
 
@@ -53,8 +53,10 @@ def arcs(tokens_: Column) -> Column:
     return F.transform(tokens_, lambda x, i: F.struct(i.alias("state"), (i + 1).alias("next"), x.alias("symbol")))
 
 
-#: Letters and digits of any script; inner hyphen or underscore; inner apostrophe but for contractions.
-WORD = r"(?U)((?:[^\W_]|(?<=[^\W_])[-_](?=[^\W_])|(?<=\w)'(?=\w)(?!(?i:d|ll|m|re|s|ve)[^\w]))+)"
+_LETTER = r"\p{L}\p{N}"
+#: Runs of letters and digits of any script, joined by single inner hyphens, underscores and apostrophes; an
+#: apostrophe before one of the endings of English contractions joins nothing, if another character follows the ending.
+WORD = rf"(?i)([{_LETTER}]+(?:(?:[-_]|'(?!(?:d|ll|m|re|s|ve)[^{_LETTER}_]))[{_LETTER}]+)*)"
 
 
 def word_set(c: Column) -> Column:
@@ -71,7 +73,7 @@ def url_decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), c)
 
 
-#: Page name of a relative link to a saved page.
+#: Fixed value: the page name of a relative link to a saved page.
 PAGE_LINK = r"^\..*/([^~]+)\.html$"
 
 
@@ -125,35 +127,23 @@ def anchors(page: Column) -> Column:
     return F.regexp_extract_all(page, F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
 
 
-_BBCODE = re.compile(r"\[(/?)([^\]=/][^\]=]*)(?:=([^\]]*))?\]")
+#: A closing tag is a slash and anything, an opening one a name and perhaps a value after an equals sign.
+_TAG = re.compile(r"\[(/[^\]]+|[^\]=/][^\]=]*(?:=[^\]]+)?)\]")
+_MENTIONS = ("nation", "region")
 
 
 def strip_bbcode(raw: str | None) -> str:
-    """Text without BBCode. A [nation=x] or [region=x] that is never closed leaves x in its place; a closed one what it holds."""
-    text = html.unescape(html.unescape(raw or ""))
-    out: list[str] = []
-    waiting: tuple[int, str] | None = None  # place and name of a mention that may yet be closed
-    at = 0
-
-    def settle() -> None:
-        nonlocal waiting
-        if waiting:
-            out.insert(*waiting)
-        waiting = None
-
-    for m in _BBCODE.finditer(text):
-        out.append(text[at : m.start()])
-        at = m.end()
-        mention = m[2].strip().lower() in ("nation", "region")
-        if mention and m[1]:
-            waiting = None
-            continue
-        settle()
-        if mention and m[3]:
-            waiting = (len(out), m[3])
-    out.append(text[at:])
-    settle()
-    return "".join(out)
+    """Text without BBCode tags and opening brackets, entities resolved twice.
+
+    A mention, [nation=x] or [region=x], stands for x unless the next tag closes a mention, which then holds its own text.
+    """
+    pieces = _TAG.split(html.unescape(html.unescape(raw or "")))
+    tags = [tag.lower() for tag in pieces[1::2]]
+    shown = [""]  # before each piece of text: the name of a mention that isn't closed by the tag after it
+    for i, own in enumerate(pieces[1::2]):
+        closed = tags[i + 1 : i + 2] in [[f"/{m}"] for m in _MENTIONS]
+        shown.append(own.partition("=")[2] if tags[i].partition("=")[0] in _MENTIONS and not closed else "")
+    return "".join(mention + text.replace("[", "") for mention, text in zip(shown, pieces[::2], strict=True))
 
 
 def bbcode_stripped():

@@ -74,6 +74,27 @@ def sign_up(x: Column) -> Column:
     return F.when(x >= 0, 1).otherwise(-1)
 
 
+def fixed(x: Column, digits: int = 3) -> Column:
+    """x with so many decimals, rounded as C's printf does: by the exact binary value, ties to even. Null stays null.
+
+    Whether x * 10^digits lies above or below half-way is told by the product's rounding error, which is exact
+    (the factors' high and low halves are multiplied apart). For magnitudes below 1e15 after scaling.
+    """
+    scale = 10**digits
+    a = F.abs(x)
+    big = a * F.lit(134217729.0)  # 2^27 + 1
+    high = big - (big - a)
+    y = a * F.lit(float(scale))
+    error = (high * F.lit(float(scale)) - y) + (a - high) * F.lit(float(scale))
+    k = F.floor(y)
+    part = y - k
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (k % 2 == 1))))
+    n = k + F.when(up, 1).otherwise(0)
+    sign = F.when(x < 0, "-").otherwise("")
+    whole = F.floor(n / scale) if not digits else (n - n % scale) / scale
+    return F.concat(sign, whole.cast("long").cast("string"), *([F.lit("."), F.lpad((n % scale).cast("long").cast("string"), digits, "0")] if digits else []))
+
+
 def bin_of(x: Column, cuts: list[float]) -> Column:
     """0 up to the first cut, i up to cut i + 1, len(cuts) beyond; null stays null."""
     found = reduce(lambda rest, iv: F.when(x <= F.lit(iv[1]), iv[0]).otherwise(rest), reversed(list(enumerate(cuts))), F.lit(len(cuts)))
@@ -97,6 +118,15 @@ def manhattan(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.abs(x1 - x2) + F.abs(y1 - y2)
 
 
+def grid_euclidean(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.hypot(x1 - x2, y1 - y2)
+
+
+def as_label(prediction: Column, cut: float | None = None) -> Column:
+    """A predicted number as a label: the nearest whole number, halves to even; with a cut, 1 from it on and 0 below."""
+    return F.bround(prediction).cast("int") if cut is None else F.when(prediction.isNotNull(), F.when(prediction >= cut, 1).otherwise(0))
+
+
 def one_hot(c: Column, values: list) -> Column:
     """One position a value; null gives all zeros."""
     return F.array(*[F.coalesce((c == F.lit(v)).cast("double"), F.lit(0.0)) for v in values])
@@ -111,10 +141,6 @@ def pick(features: Column, indices: list[int]) -> Column:
     return F.array(*[F.element_at(features, i + 1) for i in indices])
 
 
-def null_if_nan(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
-
-
 def busy_fibonacci(n: int = 17):
     """Arrow UDF that spends time: the n-th Fibonacci number by plain recursion, added as zero to its input."""
     def fib(k: int) -> int:

@@ -39,12 +39,13 @@ def mean_with_work(readings: DataFrame, kind: str, n: int = 17, digits: int = 6)
     return mean_by(readings.where(F.col("type") == kind).withColumn("value", busy_fibonacci(n)(F.col("value").cast("double"))), kind, digits)
 
 
-def time_series(readings: DataFrame, period: Column, low: str = "TMIN", high: str = "TMAX", digits: int = 6) -> DataFrame:
+def time_series(readings: DataFrame, period: Column, low: str = "TMIN", high: str = "TMAX", digits: int | None = 6) -> DataFrame:
     """Per station, its periods in order with the mean low and high of each: array<struct<period, min_avg, max_avg>>.
 
     Means are taken before the lists are built, so a list holds a row for each period, not for each reading.
     """
-    mean = lambda kind: F.round(F.avg(F.when(F.col("type") == kind, F.col("value"))), digits)
+    exact = lambda kind: F.avg(F.when(F.col("type") == kind, F.col("value")))
+    mean = lambda kind: exact(kind) if digits is None else F.round(exact(kind), digits)
     by = readings.where(F.col("type").isin(low, high)).groupBy("station", period.alias("period")).agg(mean(low).alias("min_avg"), mean(high).alias("max_avg"))
     return by.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("period", "min_avg", "max_avg"))).alias("series"))
 
@@ -188,13 +189,47 @@ def page_counters(links: DataFrame) -> DataFrame:
 
 def richest_links(links: DataFrame) -> DataFrame:
     """One row a page: that with most links; of equals, the least list."""
-    return links.groupBy("page").agg(F.max_by("targets", F.size("targets")).alias("targets"))
+    ranked = F.struct((-F.size("targets")).alias("size"), "targets")
+    return links.groupBy("page").agg(F.min(ranked).alias("s")).select("page", "s.targets")
 
 
 def partition_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
 
 
-def trials(runs: DataFrame, value: str = "elapsed_ms") -> DataFrame:
-    """Least, largest and mean of repeated measurements."""
-    return runs.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+def trials(runs: DataFrame, value: str = "elapsed_ms", keys: list[str] | None = None) -> DataFrame:
+    """Least, largest and mean of repeated measurements, of all or of each group."""
+    return runs.groupBy(*(keys or [])).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+
+
+def user_aggregate(rows: DataFrame, keys: list[str], value: str, zero, update, merge, finish, result: str = "double") -> DataFrame:
+    """(keys..., result) of an aggregate given as functions: states are updated within a task, merged across tasks, finished once.
+
+    update(state, value) and merge(state, state) return a state, finish(state) the result. A task sends one state a group.
+    """
+    import pickle
+
+    from pyspark.sql import types as T
+
+    def partial(parts):
+        import pandas as pd
+
+        states: dict = {}
+        for p in parts:
+            for row in p.itertuples(index=False, name=None):
+                states[row[:-1]] = update(states.get(row[:-1], zero), row[-1])
+        yield pd.DataFrame([(*k, pickle.dumps(s)) for k, s in states.items()], columns=[*keys, "_state"])
+
+    def final(parts):
+        import pandas as pd
+
+        states: dict = {}
+        for p in parts:
+            for *k, raw in p.itertuples(index=False, name=None):
+                own = pickle.loads(raw)
+                states[tuple(k)] = merge(states[tuple(k)], own) if tuple(k) in states else own
+        yield pd.DataFrame([(*k, finish(s)) for k, s in states.items()], columns=[*keys, "result"])
+
+    kinds = rows.select(*keys).schema.fields
+    some = rows.select(*keys, value).mapInPandas(partial, T.StructType([*kinds, T.StructField("_state", T.BinaryType())]))
+    return some.repartition(*keys).mapInPandas(final, T.StructType([*kinds, T.StructField("result", T.StructType.fromDDL(f"r {result}").fields[0].dataType)]))

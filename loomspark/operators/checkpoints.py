@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local default only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a local default only where it is unset and Spark runs in one process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (where or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -17,4 +19,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a table written and read again: survives lost executors, and its plan is a scan."""
     path = f"{folder(df.sparkSession)}/loomspark/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that cut() wrote for df; other frames are left alone."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from .checkpoints import cut, discard
 
 
 def grid_transitions(cells: DataFrame, noise: float = 0.2) -> DataFrame:
@@ -36,12 +36,15 @@ def action_values(transitions: DataFrame, values: DataFrame, discount: float = 0
 def value_iteration(transitions: DataFrame, sweeps: int, discount: float = 0.9, every: int = 5) -> DataFrame:
     """(state, value) after so many synchronous sweeps from zero; states without actions keep 0."""
     values = transitions.select("state").union(transitions.select("next")).distinct().withColumn("value", F.lit(0.0))
-    every_state = cut(values.select("state"))
+    every_state, last = cut(values.select("state")), None
     for i in range(sweeps):
         best = action_values(transitions, values, discount).groupBy("state").agg(F.max("q").alias("value"))
         values = every_state.join(best, "state", "left").select("state", F.coalesce("value", F.lit(0.0)).alias("value"))
         if (i + 1) % every == 0:
-            values = cut(values)
+            last, values = last, cut(values)
+            if last is not None:
+                discard(last)
+            last = values
     return values
 
 
@@ -52,6 +55,30 @@ def greedy_policy(transitions: DataFrame, values: DataFrame, discount: float = 0
     return q.join(top, "state").where("q = m").groupBy("state").agg(F.min("action").alias("action"))
 
 
+def epsilon_greedy(q: DataFrame, agents: DataFrame, epsilon: float, seed: int = 1) -> DataFrame:
+    """(id, state, action) of agents (id, state): with probability epsilon any known action, else a best one; equals by chance.
+
+    Chance is a seeded hash of the agent's id. An agent in a state without actions has a null one.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) / 1e6
+    met = agents.withColumn("_any", u < epsilon).join(q, "state", "left")
+    chance = F.xxhash64(F.lit(seed), "id", "action")
+    best = F.max_by("action", F.struct(F.when(F.col("_any"), 0.0).otherwise(F.round("q", 12)).alias("v"), chance.alias("c")))
+    return met.groupBy("id", "state").agg(best.alias("action"))
+
+
+#: Features of an action in a state by name of the extractor, as maps: state, action, place (x, y), then what lies there.
+EXTRACTORS = {
+    "identity": lambda state, action, **_: F.create_map(F.concat_ws("|", state, action), F.lit(1.0)),
+    "coordinates": lambda state, action, x, y, **_: F.create_map(state, F.lit(1.0), F.concat(F.lit("x="), x), F.lit(1.0), F.concat(F.lit("y="), y), F.lit(1.0), F.concat(F.lit("action="), action), F.lit(1.0)),
+    # near: hunters one step away; eats: whether the place holds food and no hunter is near; food: steps to the next food, null if none
+    "simple": lambda near, food, cells, **_: F.map_filter(
+        F.create_map(F.lit("bias"), F.lit(0.1), F.lit("near"), near / 10, F.lit("eats"), F.when((near == 0) & (food == 0), 0.1), F.lit("food"), food / (cells * 10)),
+        lambda k, v: v.isNotNull(),
+    ),
+}
+
+
 # --- sequential learners: episodes run in parallel groups ---
 
 
@@ -116,12 +143,17 @@ def elapse(belief: DataFrame, moves: DataFrame) -> DataFrame:
     return belief.join(moves, "pos").groupBy("target", F.col("next").alias("pos")).agg(F.sum(F.col("prob") * F.col("p")).alias("prob"))
 
 
-def forward_filter(belief: DataFrame, moves: DataFrame, emissions: list[DataFrame]) -> DataFrame:
-    """Observe and elapse for each tick."""
-    for i, e in enumerate(emissions):
-        belief = elapse(observe(belief, e), moves)
-        if i % 4 == 3:
-            belief = cut(belief)
+def forward_filter(belief: DataFrame, moves: DataFrame, emissions: list[DataFrame | None], jail=None) -> DataFrame:
+    """Observe and elapse for each tick; a tick's table is written, so plans have the size of one tick.
+
+    A tick without an emission table (None) is a target that was caught: all of its belief is at `jail`.
+    """
+    for e in emissions:
+        if e is None:
+            belief = belief.select("target").distinct().select("target", F.lit(jail).alias("pos"), F.lit(1.0).alias("prob"))
+            continue
+        last, belief = belief, cut(elapse(observe(belief, e), moves))
+        discard(last)
     return belief
 
 
@@ -154,6 +186,63 @@ def particle_filter(particles: DataFrame, emission: dict, moves: dict, seed: int
     return particles.groupBy("target").applyInPandas(tick, particles.select("target", "particle", "pos").schema)
 
 
+def joint_positions(places: DataFrame, targets: int) -> DataFrame:
+    """(places array): every way to place so many targets: the product of places (pos) with itself, as the operator is defined."""
+    out = places.select(F.array("pos").alias("places"))
+    for _ in range(targets - 1):
+        out = out.crossJoin(places.select("pos")).select(F.concat("places", F.array("pos")).alias("places"))
+    return out
+
+
+def joint_particle_filter(particles: DataFrame, emissions: list[dict | None], moves: dict, seed: int = 1, jail: str | None = None) -> DataFrame:
+    """One tick for particles (particle, places array) of several targets: weigh, resample over all particles, move.
+
+    A particle's weight is the product of emissions[t][place of t]; a target without emissions (None) was caught and
+    is at `jail` in every particle. moves[pos] is a list of (next, p), small by nature. Where all weights are zero,
+    places are drawn afresh. Chance is a seeded hash, so runs agree.
+    """
+    from loomspark.operators.relational import draw
+
+    n = particles.count()
+    if not n:
+        return particles
+    unit = lambda *of: F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 40)) / float(1 << 40)
+    weight = F.lit(1.0)
+    spots = F.col("places")
+    for t, e in enumerate(emissions):
+        if e is None:
+            spots = F.transform(spots, lambda p, i, t=t: F.when(i == t, F.lit(jail)).otherwise(p))
+            continue
+        table = F.create_map(*[F.lit(v) for kv in sorted(e.items()) for v in (kv[0], float(kv[1]))]) if e else None
+        weight = weight * (F.coalesce(table[F.col("places")[t]], F.lit(0.0)) if table is not None else F.lit(0.0))
+    weighed = cut(particles.select("particle", spots.alias("places"), weight.alias("w")))
+    total = weighed.agg(F.sum("w")).first()[0] or 0.0
+    ids = weighed.select(F.col("particle").alias("id"), unit(F.lit("draw"), "particle").alias("u"))
+    if total > 0:
+        drawn = draw(weighed.select(F.col("particle").alias("key"), (F.col("w") / total).alias("prob")), ids)
+        # the sum of shares may end a little below 1: who draws beyond it stays where it was
+        found = ids.join(drawn, "id", "left").select("id", F.coalesce("key", "id").alias("particle")).join(weighed, "particle").select(F.col("id").alias("particle"), "places")
+    else:
+        every = F.array(*[F.lit(p) for p in sorted(moves)])
+        fresh = F.transform("places", lambda p, i: F.element_at(every, (1 + F.pmod(F.xxhash64(F.lit(seed), F.lit("fresh"), "particle", i), F.lit(len(moves)))).cast("int")))
+        found = weighed.select("particle", fresh.alias("places"))
+    to = F.create_map(*[v for p in sorted(moves) for v in (F.lit(p), F.array(*[F.struct(F.lit(q).alias("pos"), F.lit(float(sum(x[1] for x in moves[p][: i + 1]))).alias("upto")) for i, (q, _) in enumerate(moves[p])]))])
+
+    def moved(p, i):
+        options = to[p]
+        first = F.filter(options, lambda o: o["upto"] > unit(F.lit("move"), "particle", i))
+        return F.coalesce(F.when(F.size(first) > 0, first[0]["pos"]), F.element_at(options, -1)["pos"], p)
+
+    return found.select("particle", F.transform("places", moved).alias("places"))
+
+
+def joint_belief(particles: DataFrame) -> DataFrame:
+    """(target, pos, prob): each target's marginal share of positions over particles (particle, places)."""
+    long = particles.select(F.posexplode("places").alias("target", "pos"))
+    total = long.groupBy("target").agg(F.count("*").alias("n"))
+    return long.groupBy("target", "pos").agg(F.count("*").alias("c")).join(total, "target").select("target", "pos", (F.col("c") / F.col("n")).alias("prob"))
+
+
 def belief_of(particles: DataFrame) -> DataFrame:
     total = particles.groupBy("target").agg(F.count("*").alias("n"))
     return particles.groupBy("target", "pos").agg(F.count("*").alias("c")).join(total, "target").select("target", "pos", (F.col("c") / F.col("n")).alias("prob"))
@@ -164,3 +253,11 @@ def hunt(belief: DataFrame, distances: DataFrame, at: str) -> DataFrame:
     place = belief.groupBy("target").agg(F.max("prob").alias("m")).join(belief, "target").where("prob = m").groupBy("target").agg(F.min("pos").alias("pos"))
     reach = distances.where(F.col("src") == at).select(F.col("dst").alias("pos"), "cost")
     return place.join(reach, "pos").orderBy("cost", "target").select("target", "pos", "cost")
+
+
+def hunt_action(belief: DataFrame, distances: DataFrame, steps: DataFrame, at: str) -> DataFrame:
+    """(action, cost): of steps (src, action, dst) from `at`, the one that comes nearest to the nearest likeliest place; ties by name."""
+    goal = hunt(belief, distances, at).limit(1).select(F.col("pos").alias("goal"))
+    after = steps.where(F.col("src") == at).select("action", F.col("dst").alias("src"))
+    reach = after.join(distances, "src").join(goal, F.col("dst") == F.col("goal"))
+    return reach.orderBy("cost", "action").select("action", "cost").limit(1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- weighted grammars ---
@@ -50,8 +50,28 @@ def sample_sentences(rules: DataFrame, ids: DataFrame, start: str = "START", see
     return ids.select(F.col("id").cast("long")).mapInPandas(run, "id long, sentence string")
 
 
+def bigram_rules(tagged: DataFrame, start: str = "S2") -> DataFrame:
+    """(lhs, weight, rhs) of a grammar that walks from tag to tag as often as tagged (id, position, tag, word) does.
+
+    A state `_T` gives a word of tag T and the state of the tag that follows, or the word alone where a sentence ends.
+    """
+    following = F.lead("tag").over(Window.partitionBy("id").orderBy("position"))  # a sentence is a window of its own
+    place = F.row_number().over(Window.partitionBy("id").orderBy("position"))
+    steps = tagged.select("tag", "word", following.alias("then"), place.alias("nr"))
+    state = lambda c: F.concat(F.lit("_"), c)
+    first = steps.where("nr = 1").select(F.lit(start).alias("lhs"), F.array(state(F.col("tag"))).alias("rhs"))
+    move = steps.select(state(F.col("tag")).alias("lhs"), F.when(F.col("then").isNull(), F.array("tag")).otherwise(F.array("tag", state(F.col("then")))).alias("rhs"))
+    word = steps.select(F.col("tag").alias("lhs"), F.array("word").alias("rhs"))
+    return first.unionByName(move).unionByName(word).groupBy("lhs", "rhs").agg(F.count("*").cast("int").alias("weight")).select("lhs", "weight", "rhs")
+
+
 # --- alignment by inversion transduction ---
 
+#: Fixed value: what a word without a partner stands against in a derivation.
+NOTHING = "EPSILON"
+#: Pairs of a dictionary that is sent to the tasks.
+WORDS = 2_000_000
+
 
 class Aligner:
     """Best bracketing of a sentence pair under word scores and rule scores.
@@ -76,8 +96,8 @@ class Aligner:
             for j, t in enumerate(b):
                 if (s, t) in self.scores:
                     best[i, 1, j, 1], how[i, 1, j, 1] = self.scores[s, t], f"{s}/{t}"
-                best[i, 1, j, 0], how[i, 1, j, 0] = self.no_target, f"{s}/EPSILON"
-                best[i, 0, j, 1], how[i, 0, j, 1] = self.no_source, f"EPSILON/{t}"
+                best[i, 1, j, 0], how[i, 1, j, 0] = self.no_target, f"{s}/{NOTHING}"
+                best[i, 0, j, 1], how[i, 0, j, 1] = self.no_source, f"{NOTHING}/{t}"
         for sl in range(n + 1):
             for i in range(n - sl + 1 if sl else n):
                 for tl in range(m + 1):
@@ -119,8 +139,14 @@ class Aligner:
 
 
 def align(pairs: DataFrame, dictionary: DataFrame, swap: bool = True) -> DataFrame:
-    """(id, tree) of pairs(id, source, target); dictionary(src, tgt, score) is broadcast. A chart never leaves its row."""
-    scores = {(r["src"], r["tgt"]): r["score"] for r in dictionary.collect()}
+    """(id, tree) of pairs(id, source, target); a chart never leaves its row.
+
+    dictionary(src, tgt, score) is broadcast, WORDS pairs at most; of equal pairs, the largest score holds.
+    """
+    rows = dictionary.groupBy("src", "tgt").agg(F.max("score").alias("score")).limit(WORDS + 1).collect()
+    if len(rows) > WORDS:
+        raise ValueError(f"a dictionary of more than {WORDS} pairs isn't broadcast")
+    scores = {(r["src"], r["tgt"]): r["score"] for r in rows}
     shared = pairs.sparkSession.sparkContext.broadcast(scores)
 
     def run(parts):
@@ -134,9 +160,13 @@ def align(pairs: DataFrame, dictionary: DataFrame, swap: bool = True) -> DataFra
 
 
 def alignment_counts(trees: DataFrame) -> DataFrame:
-    """Word pairs, words against nothing on either side, and both kinds of brackets."""
-    n = lambda p: F.coalesce(F.sum(F.regexp_count("tree", F.lit(p))), F.lit(0)).cast("long")
-    return trees.agg(F.count("tree").alias("alignments"), n("(?<!EPSILON)/(?!EPSILON)").alias("translations"), n("(?<!EPSILON)/(?=EPSILON)").alias("source_only"), n("(?<=EPSILON)/(?!EPSILON)").alias("target_only"), n(r"\[").alias("in_order"), n("<(?!num>)").alias("reversed"))
+    """Word pairs, words against nothing on either side, and both kinds of brackets, from the tokens of the derivations."""
+    token = trees.select("tree", F.explode_outer(F.split("tree", " ")).alias("x"))
+    left, right = F.regexp_extract("x", "^(.*)/", 1), F.substring_index("x", "/", -1)
+    word = F.instr("x", "/") > 0
+    kind = F.when(F.col("x") == "[", "in_order").when(F.col("x") == "<", "reversed").when(word & (left == NOTHING), "target_only").when(word & (right == NOTHING), "source_only").when(word, "translations")
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("translations", "source_only", "target_only", "in_order", "reversed")]
+    return trees.agg(F.count("tree").alias("alignments")).crossJoin(token.select(kind.alias("kind")).agg(*counts))
 
 
 # --- transducers ---
@@ -155,9 +185,3 @@ def terms(text: Column, tags: Column, mentions: Column) -> Column:
     from loomspark.operators.relational import feature_terms
 
     return feature_terms(word_set(text), tags, mentions)
-
-
-def dictionary_from(spark: SparkSession, path: str) -> DataFrame:
-    from loomspark.sources.readers import translation_dictionary
-
-    return translation_dictionary(spark, path)

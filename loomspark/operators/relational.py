@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 # --- joins ---
 
 
@@ -27,19 +29,19 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest(queries: DataFrame, points: DataFrame, distance: Column, k: int, exclude_self: bool = False) -> DataFrame:
-    """The k points nearest to each query; ties to the smaller point id.
+    """The k points nearest to each query; ties to the smaller point id. Pairs without a distance (null or NaN) don't count.
 
-    queries (q, ...) and points (p, ...) meet block by block: points are dealt over the cluster, the queries
-    go to each of them, and each partition keeps k a query before the final ranking.
+    Every query (q, ...) meets every point (p, ...), as the operator is defined; each task then keeps k a query
+    before rows are shuffled, so what moves grows with the queries, not with the pairs.
     """
     met = queries.join(points, F.col("q") != F.col("p")) if exclude_self else queries.crossJoin(points)
-    near = met.withColumn("distance", distance)
+    near = met.withColumn("distance", distance).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
     w = Window.partitionBy("q").orderBy("distance", "p")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def within(queries: DataFrame, points: DataFrame, distance: Column, radius: float) -> DataFrame:
-    """Pairs nearer than the radius."""
+    """Pairs nearer than the radius; every query is compared with every point."""
     return queries.crossJoin(points).withColumn("distance", distance).where(F.col("distance") < radius)
 
 
@@ -68,28 +70,56 @@ def running_series(rows: DataFrame, key: str, order: str, value: str) -> DataFra
     return rows.withColumn("running", F.sum(value).over(w))
 
 
+def _ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """The rows as a table whose part `_p` holds a range of the order, with their place `_i` in it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    return cut(part.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)))
+
+
+def _starts(spark, sums: list[tuple], names: list[str]) -> DataFrame:
+    """(_p, names...) of sums so far before each part: one row a part."""
+    so_far, out = [0] * len(names), []
+    for p, *own in sorted(sums):
+        out.append((p, *so_far))
+        so_far = [a + (b or 0) for a, b in zip(so_far, own, strict=True)]
+    kind = "double" if any(isinstance(x, float) for row in out for x in row) else "long"
+    return F.broadcast(spark.createDataFrame([(r[0], *map(float if kind == "double" else int, r[1:])) for r in out], f"_p int, {', '.join(f'{n} {kind}' for n in names)}"))
+
+
 def dense_index(rows: DataFrame, order: str, name: str = "idx") -> DataFrame:
     """0, 1, 2, ... in order of a column, without gathering rows in one task.
 
-    Rows are range-partitioned and sorted; counts of partitions (one row each) become offsets.
+    Rows are range-partitioned and written with their place, so numbers hold when an executor is lost; counts of
+    partitions (one row each) become offsets.
     """
-    spark = rows.sparkSession
-    part = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
-    part = part.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
-    part = part.persist()
-    counts = sorted((r["_p"], r["n"]) for r in part.groupBy("_p").agg(F.count("*").alias("n")).collect())
-    start, offsets = 0, []
-    for p, n in counts:
-        offsets.append((p, start))
-        start += n
-    table = spark.createDataFrame(offsets, "_p int, _o long")
-    return part.join(F.broadcast(table), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+    part = _ranged(rows, F.col(order))
+    counts = [tuple(r) for r in part.groupBy("_p").agg(F.count("*")).collect()]
+    return part.join(_starts(rows.sparkSession, counts, ["_o"]), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+
+
+def cumulative(rows: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """Adds running sums (new name = column) in an order of all rows, and as `new name`_before what they were a row earlier.
+
+    Sums run within ranges, from what the ranges before them end with, so neighbours agree to the last bit.
+    """
+    part, names = _ranged(rows, *order), list(sums)
+    w = Window.partitionBy("_p").orderBy("_i")
+    run = part
+    for i, n in enumerate(names):
+        run = run.withColumn(f"_s{i}", F.sum(sums[n]).over(w))
+    ends = [tuple(r) for r in run.groupBy("_p").agg(*[F.max_by(f"_s{i}", "_i") for i in range(len(names))]).collect()]
+    out = run.join(_starts(rows.sparkSession, ends, [f"_o{i}" for i in range(len(names))]), "_p")
+    for i, n in enumerate(names):
+        out = out.withColumn(n, F.col(f"_o{i}") + F.col(f"_s{i}")).withColumn(f"{n}_before", F.coalesce(F.lag(n).over(w), F.col(f"_o{i}")))
+    return out.drop("_p", "_i", *[f"{c}{i}" for c in ("_o", "_s") for i in range(len(names))])
 
 
 def run_groups(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Rows whose value differs from the one before, within the key: adjacent repeats removed."""
+    """Rows whose value differs from the one before, within the key: adjacent repeats removed; null equals null."""
     w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_before", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("_before")) | F.col("_before").isNull()).drop("_before")
+    marked = rows.withColumn("_nr", F.row_number().over(w)).withColumn("_before", F.lag(value).over(w))
+    return marked.where((F.col("_nr") == 1) | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_nr", "_before")
 
 
 def split_candidates(rows: DataFrame, target: str, keys: list[str], value: str = "value") -> DataFrame:
@@ -108,28 +138,34 @@ def split_candidates(rows: DataFrame, target: str, keys: list[str], value: str =
 def roc(scored: DataFrame, score: str = "score", label: str = "label", add_origin: bool = False) -> DataFrame:
     """(threshold, fpr, tpr): rates of the rows that score at least the threshold, one row a distinct score.
 
-    Rows are counted by score first. Without add_origin the curve starts at its first threshold.
+    Rows are counted by score first, then summed up over ranges of scores. Without add_origin the curve starts at
+    its first threshold.
     """
     by = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("f"))
-    w = Window.orderBy(F.desc("threshold"))
-    total = by.agg(F.sum("p").alias("tp"), F.sum("f").alias("tf"))
-    out = by.crossJoin(F.broadcast(total)).select("threshold", (F.sum("f").over(w) / F.nullif(F.col("tf"), F.lit(0))).alias("fpr"), (F.sum("p").over(w) / F.nullif(F.col("tp"), F.lit(0))).alias("tpr"))
+    total = scored.agg(F.sum(label).alias("tp"), F.sum(1 - F.col(label)).alias("tf"))
+    summed = cumulative(by, [F.desc("threshold")], cp="p", cf="f")
+    out = summed.crossJoin(F.broadcast(total)).select("threshold", (F.col("cf") / F.nullif(F.col("tf"), F.lit(0))).alias("fpr"), (F.col("cp") / F.nullif(F.col("tp"), F.lit(0))).alias("tpr"))
     return out.unionByName(scored.sparkSession.sql("SELECT CAST('Infinity' AS DOUBLE) AS threshold, 0.0D AS fpr, 0.0D AS tpr")) if add_origin else out
 
 
 def auc(curve: DataFrame) -> DataFrame:
-    """Area by trapezoids between neighbouring points."""
-    w = Window.orderBy("fpr", "tpr")
-    steps = curve.select(((F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2).alias("a"))
-    return steps.agg(F.sum("a").alias("auc"))
-
-
-def folds(rows: DataFrame, key: str, n: int = 10, blocked: bool = False) -> DataFrame:
-    """Adds `fold`: the row's place in an order fixed by its key's hash, modulo n, or in n blocks."""
-    ordered = dense_index(rows.withColumn("_h", F.xxhash64(key)), "_h", "_at")
+    """Area by trapezoids between neighbouring points: within ranges, and from each range's last point to the next one's first."""
+    part = _ranged(curve.select("fpr", "tpr"), F.col("fpr"), F.col("tpr"))
+    w = Window.partitionBy("_p").orderBy("_i")
+    step = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
+    point = F.struct("fpr", "tpr")
+    parts = part.withColumn("a", step).groupBy("_p").agg(F.sum("a").alias("a"), F.min_by(point, "_i").alias("lo"), F.max_by(point, "_i").alias("hi"))
+    ends = Window.orderBy("_p")  # one row a range
+    before = F.lag("hi").over(ends)
+    joint = (F.col("lo.fpr") - before["fpr"]) * (F.col("lo.tpr") + before["tpr"]) / 2
+    return parts.withColumn("j", joint).agg((F.sum("a") + F.coalesce(F.sum("j"), F.lit(0.0))).alias("s"), F.sum("j").alias("j")).select(F.coalesce("s", "j").alias("auc"))
+
+
+def folds(rows: DataFrame, key: str, n: int = 10, blocked: bool = False, by_hash: bool = True) -> DataFrame:
+    """Adds `fold`: the row's place modulo n, or in n blocks, in an order by its key's hash or by the key itself."""
+    ordered = dense_index(rows.withColumn("_h", F.xxhash64(key)), "_h", "_at") if by_hash else dense_index(rows.withColumn("_h", F.lit(0)), key, "_at")
     if blocked:
-        total = ordered.count()
-        size = -(-total // n) or 1
+        size = -(-rows.count() // n) or 1
         return ordered.withColumn("fold", F.floor(F.col("_at") / size).cast("int")).drop("_h", "_at")
     return ordered.withColumn("fold", (F.col("_at") % n).cast("int")).drop("_h", "_at")
 
@@ -139,17 +175,22 @@ def hash_folds(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 
-def prefix_samples(rows: DataFrame, key: str, sizes: list[int], seed: int = 1) -> DataFrame:
-    """(size, row...) of nested samples: the first so many rows in the order of a seeded hash."""
-    ordered = dense_index(rows.withColumn("_h", F.xxhash64(F.lit(seed), key)), "_h", "_at").drop("_h")
+def prefix_samples(rows: DataFrame, key: str, sizes: list[int], seed: int | None = 1) -> DataFrame:
+    """(size, row...) of nested samples: the first so many rows in the order of a seeded hash, or of the key without a seed."""
+    ordered = dense_index(rows, key, "_at") if seed is None else dense_index(rows.withColumn("_h", F.xxhash64(F.lit(seed), key)), "_h", "_at").drop("_h")
     return ordered.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("_at") < F.col("size")).drop("_at")
 
 
-def draw(distribution: DataFrame, draws: DataFrame, key: str = "key", prob: str = "prob") -> DataFrame:
-    """For each draw (id, u in [0, 1)), the key whose cumulative share first exceeds u."""
-    w = Window.orderBy(key)
-    cdf = distribution.withColumn("_hi", F.sum(prob).over(w)).withColumn("_lo", F.col("_hi") - F.col(prob))
-    return draws.join(F.broadcast(cdf), (F.col("u") >= F.col("_lo")) & (F.col("u") < F.col("_hi"))).select("id", key)
+def draw(distribution: DataFrame, draws: DataFrame, key: str = "key", prob: str = "prob", cells: int = 4096) -> DataFrame:
+    """For each draw (id, u in [0, 1)), the key whose cumulative share first exceeds u; none where the shares end before u.
+
+    Shares are summed in order of the keys; shares and draws meet by the cells of [0, 1) that they lie in.
+    """
+    cdf = cumulative(distribution.select(key, F.col(prob).alias("_w")), [F.col(key)], _hi="_w").withColumnRenamed("_hi_before", "_lo")
+    cell = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * cells)
+    spread = cdf.withColumn("_c", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    met = draws.withColumn("_c", cell(F.col("u"))).join(spread, "_c")
+    return met.where((F.col("u") >= F.col("_lo")) & (F.col("u") < F.col("_hi"))).select("id", key)
 
 
 # --- ranked ---

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import vectors as V
 from loomspark.operators.ml import bayes, images, kmeans, linear, margins, mixture, neighbours, trees
+from loomspark.plans import sql as S
 from loomspark.plans.registry import FEATURES, ITEMS, item_features, read, register, vectors
 
 X3 = FEATURES[:3]
@@ -31,14 +32,32 @@ def ridge_regression(spark, sf_dir):
     return _weights(spark, linear.ridge(item_features(spark, sf_dir), ["quantity"], "price", 2.0))
 
 
-@register()
+_N = len(X3) + 1
+
+
+def _ridge_of(gram: str, penalty: str, carried: str, less: str = "") -> str:
+    """SQL of ridge weights from a gram table g (less the table `less`, if one is named)."""
+    own = lambda c: f"g.{c} - {less}.{c}" if less else f"g.{c}"
+    cells = [f"{own(f'g{i}_{j}')}{f' + {penalty}' if i == j else ''} AS a{i}_{j}" for i in range(_N) for j in range(_N)]
+    return S.solved(f"(SELECT {carried}{', '.join(cells)}, {', '.join(f'{own(f'b{i}')} AS c{i}' for i in range(_N))} FROM {gram})", _N, ", ".join(c.split(" AS ")[-1] for c in carried.rstrip(", ").split(", ")) + ", ")
+
+
+@register(
+    f"WITH tr AS MATERIALIZED {S.gram(f'(SELECT * FROM {ITEMS} WHERE id % 2 = 0)', X3, 'price')}, te AS MATERIALIZED {S.gram(f'(SELECT * FROM {ITEMS} WHERE id % 2 = 1)', X3, 'price')}, "
+    f"w AS MATERIALIZED (SELECT * FROM {_ridge_of('tr g, (SELECT unnest(range(0, 151, 10))::DOUBLE AS penalty)', 'penalty', 'penalty, ')}) "
+    f"SELECT penalty, round({S.squared_error('tr', 'w', _N)}, 6) AS train_mse, round({S.squared_error('te', 'w', _N)}, 6) AS test_mse FROM w, tr, te"
+)
 def penalty_sweep(spark, sf_dir):
     i = item_features(spark, sf_dir)
     s = linear.penalty_sweep(i.where("id % 2 = 0"), i.where("id % 2 = 1"), X3, "price", [float(p) for p in range(0, 151, 10)])
     return s.select("penalty", F.round("train_mse", 6).alias("train_mse"), F.round("test_mse", 6).alias("test_mse"))
 
 
-@register()
+@register(
+    f"WITH f AS MATERIALIZED {S.gram(ITEMS, X3, 'price', 'id % 10')}, t AS MATERIALIZED {S.gram(ITEMS, X3, 'price')}, "
+    f"w AS MATERIALIZED (SELECT * FROM {_ridge_of('t g, f, (SELECT unnest(range(0, 151, 25))::DOUBLE AS penalty)', 'penalty', 'f.grp AS fold, penalty, ', 'f')}) "
+    f"SELECT penalty, round(avg({S.squared_error('f', 'w', _N)}), 8) AS mse FROM w JOIN f ON f.grp = w.fold GROUP BY 1"
+)
 def cross_validation(spark, sf_dir):
     i = item_features(spark, sf_dir).withColumn("fold", (F.col("id") % 10).cast("int"))
     return linear.cross_validated(i, X3, "price", [float(p) for p in range(0, 151, 25)]).select("penalty", F.round("mse", 8).alias("mse"))
@@ -47,7 +66,7 @@ def cross_validation(spark, sf_dir):
 @register()
 def learning_curve(spark, sf_dir):
     i = item_features(spark, sf_dir)
-    return linear.learning_curve(i.where("id % 2 = 0"), X3, "price", i.where("id % 2 = 1"), [50, 100, 500], [1.0, 46.0, 150.0], "id")
+    return linear.learning_curve(i.where("id % 2 = 0"), X3, "price", i.where("id % 2 = 1"), [50, 100, 150, 500], [1.0, 46.0, 150.0], "id")
 
 
 _STEP = f"(SELECT avg(price) AS g0, avg(price * quantity) AS g1, avg(quantity) AS q, avg(quantity * quantity) AS qq FROM {ITEMS})"
@@ -65,7 +84,7 @@ def logistic_step(spark, sf_dir):
     return _weights(spark, linear.gradient_descent(item_features(spark, sf_dir), X3, "label", 1.0, 1, logistic=True), 6)
 
 
-@register()
+@register(f"WITH {S.descent(ITEMS, X3, 'label', 1.0, 10, 0.001)} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(w{i}, 4) AS weight FROM r10" for i, c in enumerate(["bias", *X3])))
 def logistic_descent(spark, sf_dir):
     return _weights(spark, linear.gradient_descent(item_features(spark, sf_dir), X3, "label", 1.0, 10, logistic=True, penalty=0.001))
 
@@ -107,9 +126,9 @@ def stochastic_descent(spark, sf_dir):
 
         g = g.sort_values("id")
         w = linear.stochastic(g[X3].to_numpy(), g["price"].to_numpy(), 0.0125, 3)
-        return pd.DataFrame({"part": g["part"].iloc[:1], "bias": [w[0]], "quantity": [w[1]]})
+        return pd.DataFrame([[g["part"].iloc[0], *w]], columns=["part", "bias", *X3])
 
-    return item_features(spark, sf_dir).withColumn("part", F.pmod("id", F.lit(16))).groupBy("part").applyInPandas(learn, "part long, bias double, quantity double")
+    return item_features(spark, sf_dir).withColumn("part", F.pmod("id", F.lit(16))).groupBy("part").applyInPandas(learn, f"part long, bias double, {', '.join(f'{c} double' for c in X3)}")
 
 
 @register()
@@ -135,14 +154,14 @@ def best_variance_split(spark, sf_dir):
     return trees.best_splits(i, X3, "price", "variance").select("feature", F.round("threshold", 6).alias("threshold"))
 
 
-@register()
+@register(f"WITH {', '.join(S.tree(ITEMS, 't', X3, 'price', 2, 'variance'))} SELECT node AS leaf, count(*) AS n, round(avg(price), 6) AS mean, round(any_value(m), 6) AS predicted FROM t2 JOIN tv USING (node) GROUP BY 1")
 def regression_tree(spark, sf_dir):
     i = item_features(spark, sf_dir)
     t = trees.grow(i, X3, "price", 2)
     return i.withColumn("leaf", t.node()).groupBy("leaf").agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean"), F.round(F.avg(t.predict()), 6).alias("predicted"))
 
 
-@register()
+@register(f"WITH {', '.join(S.tree(ITEMS, 't', FEATURES, 'label', 3, 'entropy'))} SELECT label, CASE WHEN m > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction, count(*) AS n FROM t3 JOIN tv USING (node) GROUP BY 1, 2")
 def classification_tree(spark, sf_dir):
     i = item_features(spark, sf_dir)
     t = trees.grow(i, FEATURES, "label", 3, "entropy")
@@ -156,7 +175,17 @@ def bagged_trees(spark, sf_dir):
     return i.withColumn("prediction", v).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-@register()
+def _boosted_sql(rounds: int) -> str:
+    parts, now = [], f"(SELECT *, price AS r FROM {ITEMS})"
+    for k in range(rounds):
+        name = "uvxyz"[k]
+        parts += S.tree(now, name, X3, "r", 2, "variance")
+        parts.append(f"{name}r AS MATERIALIZED (SELECT t.* EXCLUDE (node, r), r - m AS r FROM {name}2 t JOIN {name}v USING (node))")
+        now = f"{name}r"
+    return f"WITH {', '.join(parts)} SELECT round(avg(r * r), 6) AS mse FROM {now}"
+
+
+@register(_boosted_sql(3))
 def boosted_regression(spark, sf_dir):
     i = item_features(spark, sf_dir)
     return i.agg(F.round(F.avg(F.pow(F.col("price") - trees.gradient_boost(i, X3, "price", 3), 2)), 6).alias("mse"))
@@ -179,7 +208,7 @@ def stump_errors(spark, sf_dir):
     return out.select("feature", F.round("threshold", 6).alias("threshold"), F.round("error", 6).alias("error"))
 
 
-@register()
+@register(f"WITH {S.boosted_stumps(f'(SELECT * EXCLUDE (label), CASE WHEN label = 1 THEN 1 ELSE -1 END AS label FROM {ITEMS})', X3, 3)} SELECT label, CAST(sign(m) AS DOUBLE) AS prediction, count(*) AS n FROM k3 GROUP BY 1, 2")
 def ada_boost(spark, sf_dir):
     s = _signed(spark, sf_dir)
     m = trees.margin(trees.adaboost(s, X3, rounds=3))
@@ -194,8 +223,10 @@ def ada_boost_random(spark, sf_dir):
 
 @register()
 def output_codes(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", "label", *[F.col("features")[i].alias(f"f{i}") for i in range(6)])
-    return v.withColumn("prediction", trees.output_codes(v, [f"f{i}" for i in range(6)], "label", list(range(4)), bits=4, rounds=2)).groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("long")).alias("right"))
+    v = vectors(spark, sf_dir).select("id", "label", *[F.col("features")[i].alias(f"f{i}") for i in range(64)])
+    classes = [r["label"] for r in v.select("label").distinct().orderBy("label").collect()]
+    said = trees.output_codes(v, [f"f{i}" for i in range(64)], "label", classes, bits=6, rounds=2)
+    return v.withColumn("prediction", said).groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("prediction")).cast("long")).alias("right"))
 
 
 @register()
@@ -233,11 +264,11 @@ def _bins_query(kind):
     return run
 
 
-register()(_bins_query("four"))
-register()(_bins_query("nine"))
+register(S.bayes(ITEMS, FEATURES, "four"))(_bins_query("four"))
+register(S.bayes(ITEMS, FEATURES, "nine"))(_bins_query("nine"))
 
 
-@register()
+@register(S.bayes(f"(SELECT * EXCLUDE (price), CASE WHEN id % 5 <> 0 THEN price END AS price FROM {ITEMS})", FEATURES, "bernoulli"))
 def bayes_missing(spark, sf_dir):
     i = item_features(spark, sf_dir).withColumn("price", F.when(F.col("id") % 5 != 0, F.col("price")))
     cuts = bayes.cuts(i, FEATURES, "label")
@@ -254,14 +285,31 @@ def bayes_gaussian(spark, sf_dir):
     return i.select("id", F.round(bayes.gaussian_score(bayes.fit_gaussian(i, fs, "label"), fs), 5).alias("score"))
 
 
-@register()
+def _discriminant_sql(d: list[str]) -> str:
+    stats = ", ".join([*[f"covar_samp({a}, {b}) AS a{i}_{j}" for i, a in enumerate(d) for j, b in enumerate(d)], *[f"avg({c}) FILTER (WHERE label = 1) - avg({c}) FILTER (WHERE label = 0) AS c{i}, avg({c}) FILTER (WHERE label = 1) + avg({c}) FILTER (WHERE label = 0) AS p{i}" for i, c in enumerate(d)]])
+    n = len(d)
+    w = S.solved(f"(SELECT {stats} FROM {ITEMS})", n, "".join(f"p{i}, " for i in range(n)))
+    return f"SELECT label, CAST(({' + '.join(f'w{i} * ({c} - 0.5 * p{i})' for i, c in enumerate(d))} > 0) AS INT) AS prediction, count(*) AS n FROM {ITEMS}, {w} GROUP BY 1, 2"
+
+
+@register(_discriminant_sql(FEATURES))
 def gaussian_discriminant(spark, sf_dir):
     i = item_features(spark, sf_dir)
     s = bayes.discriminant_score(bayes.fit_discriminant(i, FEATURES, "label"), FEATURES)
     return i.withColumn("prediction", (s > 0).cast("int")).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-@register()
+def _region_sql() -> str:
+    from loomspark.plans.queries_relational import _FLAGGED, _FLAGS
+
+    d = 0.8 * len(_FLAGS)
+    sums = ", ".join(f"sum({f}) FILTER (WHERE quality = {v}) AS {f}{v}" for f in _FLAGS for v in (0, 1))
+    p = lambda f, v: f"((coalesce({f}{v}, 0) + 0.8) / (n{v} + {d}))"
+    odds = " + ".join(f"CASE WHEN {f} = 1 THEN ln({p(f, 1)} / {p(f, 0)}) ELSE ln((1 - {p(f, 1)}) / (1 - {p(f, 0)})) END" for f in _FLAGS)
+    return f"SELECT doc_id, round(s, 6) AS log_odds, round(abs(2 / (1 + exp(-s)) - 1), 6) AS margin FROM (SELECT doc_id, ln((n1 + {d}) / (n0 + {d})) + {odds} AS s FROM {_FLAGGED}, (SELECT count(*) FILTER (WHERE quality = 1) AS n1, count(*) FILTER (WHERE quality = 0) AS n0, {sums} FROM {_FLAGGED}))"
+
+
+@register(_region_sql())
 def region_bayes(spark, sf_dir):
     from loomspark.plans.queries_relational import _FLAGS, _flagged
 
@@ -275,8 +323,8 @@ def gaussian_mixture(spark, sf_dir):
     from loomspark.plans.shipping import ship
 
     ship(spark)
-    v = vectors(spark, sf_dir).select("id", F.slice("features", 1, 3).alias("features"))
-    m = mixture.fit(v, "features", 2, 5)
+    v = vectors(spark, sf_dir)
+    m = mixture.fit(v, "features", 2, 30)
     return mixture.assign(v, m, "features", "id").groupBy("component").agg(F.count("*").alias("n"))
 
 
@@ -297,19 +345,35 @@ def knn_sweep(spark, sf_dir):
     return neighbours.sweep(v.where("id % 20 = 0"), v.where("id % 20 <> 0"), [1, 5, 11, 21]).select("k", F.round("accuracy", 6).alias("accuracy"))
 
 
-@register()
+_Z = "(SELECT e.vec_id, label, list(CASE WHEN s > 0 THEN (x - m) / s ELSE 0 END ORDER BY e.i) AS z FROM (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE {0}) e JOIN (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE {0}) GROUP BY 1) t USING (i) GROUP BY 1, 2)"
+
+
+def _voted(distance: str, a: str, b: str, k: int) -> str:
+    near = f"(SELECT a.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {distance}, b.vec_id) AS rn FROM {a} a, {b} b WHERE {distance} IS NOT NULL AND NOT isnan({distance}))"
+    return f"SELECT id, arg_max(label, (n, -label)) AS prediction FROM (SELECT id, label, count(*) AS n FROM {near} WHERE rn <= {k} GROUP BY 1, 2) GROUP BY id"
+
+
+@register(_voted("list_distance(a.z, b.z)", _Z.format("vec_id % 20 = 0"), _Z.format("vec_id % 20 <> 0"), 5))
 def knn_z_scored(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return neighbours.classify(neighbours.z_scored(v.where("id % 20 = 0")), neighbours.z_scored(v.where("id % 20 <> 0")), 5)
 
 
-@register()
+_ZEROED = "(SELECT vec_id, label, [CASE WHEN vec_id % 37 = 0 THEN 0 ELSE x END for x in embedding::DOUBLE[]] AS z FROM embeddings WHERE {0})"
+
+
+@register(_voted("CASE WHEN list_dot_product(a.z, a.z) * list_dot_product(b.z, b.z) > 0 THEN 1 - list_cosine_similarity(a.z, b.z) END", _ZEROED.format("vec_id % 20 = 0"), _ZEROED.format("vec_id % 20 <> 0"), 5))
 def knn_cosine(spark, sf_dir):
-    v = vectors(spark, sf_dir)
+    """Every 37th vector is zero: it is near to none, and none is near to it."""
+    v = vectors(spark, sf_dir).withColumn("features", F.when(F.col("id") % 37 == 0, F.transform("features", lambda x: x * 0)).otherwise(F.col("features")))
     return neighbours.classify(v.where("id % 20 = 0"), v.where("id % 20 <> 0"), 5, "cosine")
 
 
-@register()
+@register(
+    "WITH v AS (SELECT a.vec_id AS id, b.label, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.1 GROUP BY 1, 2), "
+    "w AS (SELECT id, arg_max(label, (n, -label)) AS p FROM v GROUP BY 1), o AS (SELECT arg_max(label, (n, -label)) AS every FROM (SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 20 <> 0 GROUP BY 1)) "
+    "SELECT e.vec_id AS id, coalesce(p, every) AS prediction FROM embeddings e LEFT JOIN w ON w.id = e.vec_id, o WHERE e.vec_id % 20 = 0"
+)
 def radius_classifier(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return neighbours.radius_classify(v.where("id % 20 = 0"), v.where("id % 20 <> 0"), 1.1)
@@ -323,27 +387,30 @@ def parzen_classifier(spark, sf_dir):
     return neighbours.parzen_classify(v.where("id % 20 = 0"), v.where("id % 20 <> 0"))
 
 
-@register()
+@register(
+    "WITH d AS (SELECT a.vec_id AS q, a.label = b.label AS same, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y, row_number() OVER (PARTITION BY a.vec_id, a.label = b.label ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) "
+    "SELECT CAST(i - 1 AS INT) AS feature, round(sum(CASE WHEN same THEN -1 ELSE 1 END * power(x[i] - y[i], 2)), 6) AS score FROM (SELECT same, x, y, unnest(range(1, len(x) + 1)) AS i FROM d WHERE rn = 1) GROUP BY 1"
+)
 def relief(spark, sf_dir):
     return neighbours.relief(vectors(spark, sf_dir)).select("feature", F.round("score", 6).alias("score"))
 
 
 @register()
 def relief_sampled(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", F.slice("features", 1, 8).alias("features"), F.least("label", F.lit(1)).alias("label"))
+    v = vectors(spark, sf_dir).withColumn("label", (F.col("label") > 4).cast("int"))
     return neighbours.relief_sampled(v, 500).select("feature", F.round("score", 6).alias("score"))
 
 
 @register()
 def filter_selection(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("id % 4 = 0").withColumn("label", (F.col("label") > 4).cast("int"))
-    return neighbours.filter_selection(v, 4).select("m", F.round("accuracy", 6).alias("accuracy"))
+    v = vectors(spark, sf_dir).withColumn("label", (F.col("label") > 4).cast("int"))
+    return neighbours.filter_selection(v, 64).select("m", F.round("accuracy", 6).alias("accuracy"))
 
 
 @register()
 def wrapper_selection(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("id % 8 = 0").withColumn("label", (F.col("label") > 4).cast("int"))
-    return spark.createDataFrame([(i, f) for i, f in enumerate(neighbours.wrapper_selection(v, 3))], "step int, feature int")
+    v = vectors(spark, sf_dir).withColumn("label", (F.col("label") > 4).cast("int"))
+    return spark.createDataFrame([(i, f) for i, f in enumerate(neighbours.wrapper_selection(v, 64))], "step int, feature int")
 
 
 _KMEANS = "(SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS x, arg_min(s.c, (round(list_distance(e.embedding::DOUBLE[], s.x), 9), s.c)) AS cluster FROM embeddings e, (SELECT vec_id - 1 AS c, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id BETWEEN 1 AND 3) s GROUP BY 1, 2)"
@@ -387,7 +454,7 @@ def one_against_one(spark, sf_dir):
 
 @register()
 def principal_components(spark, sf_dir):
-    return margins.principal_components(vectors(spark, sf_dir), 4).select("id", F.round(F.abs(F.col("components")[0]), 4).alias("first"))
+    return margins.principal_components(vectors(spark, sf_dir), 4).select("id", *[F.round(F.abs(F.col("components")[i]), 4).alias(f"c{i}") for i in range(4)])
 
 
 @register()

@@ -8,16 +8,17 @@ from loomspark.functions import text as X
 from loomspark.operators import decision as D
 from loomspark.operators import graph as G
 from loomspark.operators import nlp as N
+from loomspark.plans.queries_relational import _words_sql
 from loomspark.plans.registry import WEB_EDGES, read, register, web_links
 from loomspark.plans.shipping import ship
 
 # --- PageRank: four plans, one result ---
 
 
-def _pagerank_sql(rounds: int = 10, alpha: float = 0.15) -> str:
+def _pagerank_sql(rounds: int = 10, alpha: float = 0.15, edges: str = WEB_EDGES, pages: str = "SELECT src FROM e") -> str:
     parts = [
-        f"e AS MATERIALIZED (SELECT * FROM {WEB_EDGES})",
-        "n AS MATERIALIZED (SELECT src AS page FROM e UNION SELECT dst FROM e)",
+        f"e AS MATERIALIZED (SELECT * FROM {edges})",
+        f"n AS MATERIALIZED (SELECT src AS page FROM ({pages}) UNION SELECT dst FROM e)",
         "o AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY 1)",
         "r0 AS MATERIALIZED (SELECT page, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)",
     ]
@@ -57,34 +58,60 @@ def pagerank_shuffle(spark, sf_dir):
     return _ranks(spark, sf_dir, strategy="shuffle")
 
 
+@register(_RANKS)
+def pagerank_indexed(spark, sf_dir):
+    """By number: names become numbers, ranks are computed on these, and names are recovered at the end."""
+    nodes, edges = G.build(web_links(spark, sf_dir))
+    index = G.indexed(nodes)
+    ranks = G.pagerank(index.select(F.col("idx").alias("page")), G.linked(edges, index))
+    return G.recovered(ranks, index).select("page", F.round("rank", 9).alias("rank"))
+
+
+@register("SELECT count(*) AS columns, count(*) FILTER (WHERE t = 0) AS dangling, CAST(sum(t) AS BIGINT) AS entries, round(count(*) FILTER (WHERE t = 0) / count(*), 9) AS lost FROM (SELECT n.page, count(e.dst) AS t FROM (SELECT src AS page FROM " + WEB_EDGES + " UNION SELECT dst FROM " + WEB_EDGES + ") n LEFT JOIN " + WEB_EDGES + " e ON e.src = n.page GROUP BY 1)")
+def adjacency_matrix(spark, sf_dir):
+    """The matrix by columns, its dangling columns, and the mass that these hold of equal shares."""
+    nodes, edges = G.build(web_links(spark, sf_dir))
+    index = G.indexed(nodes)
+    columns, dangling = G.adjacency(G.linked(edges, index), index)
+    size = columns.agg(F.count("*").alias("columns"), F.count_if(F.size("targets") == 0).alias("dangling"), F.sum(F.size("targets")).alias("entries"))
+    ranks = index.select("idx", F.lit(1.0 / max(index.count(), 1)).alias("rank"))
+    return size.crossJoin(G.dangling_mass(ranks, dangling)).withColumn("lost", F.round("lost", 9))
+
+
 @register(f"SELECT page, rank FROM ({_RANKS}) ORDER BY rank DESC, page LIMIT 100")
 def pagerank_top(spark, sf_dir):
     return G.top_ranks(_ranks(spark, sf_dir))
 
 
-@register()
+_PAGE_EDGES = r"(SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1)) AS dst FROM pages)"
+
+
+@register(f"SELECT page, round(rank, 9) AS rank FROM ({_pagerank_sql(5, edges=_PAGE_EDGES, pages='SELECT DISTINCT url AS src FROM pages')}) ORDER BY rank DESC, page LIMIT 100")
 def pagerank_pages(spark, sf_dir):
     """Over the web pages themselves: links by any anchor, missing targets dangling."""
     ship(spark)
     p = read(spark, sf_dir, "pages").select(F.col("url").alias("page"), F.array_distinct(X.links_in(None)(F.col("html"))).alias("targets"))
-    return G.top_ranks(G.pagerank(*G.build(p), iterations=5))
+    return G.top_ranks(G.pagerank(*G.build(p), iterations=5).withColumn("rank", F.round("rank", 9)))
 
 
 # --- searches ---
 
-_LINKS = "(SELECT DISTINCT o_custkey % 200 AS src, o_orderkey % 200 AS dst, 1 + o_orderkey % 7 AS cost FROM orders WHERE o_custkey % 10 < 3)"
+#: Parts and suppliers, tied both ways by the order lines between them; the cost of a tie is that of its cheapest line.
+_TIES = "(SELECT p AS src, s AS dst, cost FROM t UNION ALL SELECT s, p, cost FROM t)"
+_TIED = "t AS MATERIALIZED (SELECT l_partkey AS p, -l_suppkey AS s, CAST(min(1 + l_quantity % 5) AS BIGINT) AS cost FROM lineitem GROUP BY 1, 2)"
 
 
 def _edges(spark, sf_dir):
-    return read(spark, sf_dir, "orders").where("o_custkey % 10 < 3").selectExpr("o_custkey % 200 AS src", "o_orderkey % 200 AS dst", "CAST(1 + o_orderkey % 7 AS DOUBLE) AS cost").distinct()
+    t = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p"), (-F.col("l_suppkey")).alias("s")).agg(F.min(1 + F.col("l_quantity") % 5).alias("cost"))
+    return t.select(F.col("p").alias("src"), F.col("s").alias("dst"), "cost").unionByName(t.select(F.col("s").alias("src"), F.col("p").alias("dst"), "cost"))
 
 
-@register(f"WITH RECURSIVE s(node, d) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, d + 1 FROM s JOIN {_LINKS} e ON e.src = s.node WHERE d < 20) SELECT node, min(d) AS distance FROM s GROUP BY node")
+@register(f"WITH RECURSIVE {_TIED}, r(node, d) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, d + 1 FROM r JOIN {_TIES} e ON e.src = r.node WHERE d < 8) SELECT node, min(d) AS distance FROM r GROUP BY node")
 def breadth_first(spark, sf_dir):
     return G.breadth_first(_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"))
 
 
-@register(f"WITH RECURSIVE s(node, c) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT dst, c + cost FROM s JOIN {_LINKS} e ON e.src = s.node WHERE c < 40) SELECT node, CAST(min(c) AS DOUBLE) AS cost FROM s GROUP BY node")
+@register(f"WITH RECURSIVE {_TIED}, r(node, c) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT dst, c + cost FROM r JOIN {_TIES} e ON e.src = r.node WHERE c + cost <= 24) SELECT node, CAST(min(c) AS DOUBLE) AS cost FROM r GROUP BY node")
 def cheapest_paths(spark, sf_dir):
     return G.cheapest(_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long")).select("node", "cost")
 
@@ -162,7 +189,8 @@ def board_score(spark, sf_dir):
 
 # --- decisions ---
 
-GRID = [[" ", " ", " ", 1], [" ", "#", " ", -1], ["S", " ", " ", " "]]
+#: Five by four: a good exit behind a wall, a bad one on the short way.
+GRID = [["S", " ", " ", "#", 5], [" ", "#", " ", " ", " "], [" ", " ", -3, "#", " "], [" ", " ", " ", " ", " "]]
 
 
 def _grid_mdp(spark):
@@ -171,14 +199,15 @@ def _grid_mdp(spark):
     return D.grid_transitions(grid_cells(spark, GRID), 0.2)
 
 
-def _values_sql(sweeps: int) -> str:
-    cells = "(SELECT * FROM (VALUES (0,0,'f',0.0),(1,0,'f',0.0),(2,0,'f',0.0),(3,0,'f',0.0),(0,1,'f',0.0),(2,1,'f',0.0),(3,1,'e',-1.0),(0,2,'f',0.0),(1,2,'f',0.0),(2,2,'f',0.0),(3,2,'e',1.0)) AS c(x, y, kind, reward))"
+def _values_sql(sweeps: int, then: str = "") -> str:
+    values = ",".join(f"({x},{y},'{'e' if isinstance(c, int) else 'f'}',{float(c) if isinstance(c, int) else 0.0})" for y, row in enumerate(reversed(GRID)) for x, c in enumerate(row) if c != "#")
+    cells = f"(SELECT * FROM (VALUES {values}) AS c(x, y, kind, reward))"
     dirs = "(VALUES ('north', 0, 1, 0.8), ('north', 1, 0, 0.1), ('north', -1, 0, 0.1), ('south', 0, -1, 0.8), ('south', 1, 0, 0.1), ('south', -1, 0, 0.1), ('east', 1, 0, 0.8), ('east', 0, 1, 0.1), ('east', 0, -1, 0.1), ('west', -1, 0, 0.8), ('west', 0, 1, 0.1), ('west', 0, -1, 0.1))"
     t = f"t AS MATERIALIZED (SELECT c.x || ',' || c.y AS state, action, CASE WHEN n.x IS NULL THEN c.x || ',' || c.y ELSE n.x || ',' || n.y END AS next, p, 0.0 AS reward FROM {cells} c, {dirs} AS d(action, dx, dy, p) LEFT JOIN {cells} n ON n.x = c.x + dx AND n.y = c.y + dy WHERE c.kind = 'f' UNION ALL SELECT x || ',' || y, 'exit', 'end', 1.0, reward FROM {cells} WHERE kind = 'e')"
     parts = [t, "s AS MATERIALIZED (SELECT state FROM t UNION SELECT next FROM t)", "v0 AS MATERIALIZED (SELECT state, 0.0::DOUBLE AS value FROM s)"]
     for i in range(sweeps):
         parts.append(f"v{i + 1} AS MATERIALIZED (SELECT s.state, coalesce(q.m, 0) AS value FROM s LEFT JOIN (SELECT state, max(q) AS m FROM (SELECT t.state, t.action, sum(t.p * (t.reward + 0.9 * v.value)) AS q FROM t JOIN v{i} v ON v.state = t.next GROUP BY 1, 2) GROUP BY 1) q USING (state))")
-    return f"WITH {', '.join(parts)} SELECT state, round(value, 6) AS value FROM v{sweeps}"
+    return f"WITH {', '.join(parts)} {then or f'SELECT state, round(value, 6) AS value FROM v{sweeps}'}"
 
 
 @register(_values_sql(10))
@@ -186,7 +215,10 @@ def value_iteration(spark, sf_dir):
     return D.value_iteration(_grid_mdp(spark), 10).select("state", F.round("value", 6).alias("value"))
 
 
-@register()
+_POLICY = "SELECT state, arg_min(action, (-q, action)) AS action FROM (SELECT t.state, t.action, round(sum(t.p * (t.reward + 0.9 * v.value)), 12) AS q FROM t JOIN v10 v ON v.state = t.next GROUP BY 1, 2) GROUP BY 1"
+
+
+@register(_values_sql(10, _POLICY))
 def greedy_policy(spark, sf_dir):
     t = _grid_mdp(spark)
     return D.greedy_policy(t, D.value_iteration(t, 10))
@@ -228,12 +260,14 @@ def particle_filter(spark, sf_dir):
     return D.belief_of(D.particle_filter(p, {str(i): (i + 1) / 5 for i in range(5)}, moves))
 
 
-@register()
+@register(
+    "SELECT CAST(distance AS INT) AS distance, CAST(greatest(1, distance - e) AS INT) AS reading, sum(CAST(4 - abs(e) AS DOUBLE) / 16) AS prob FROM (SELECT unnest([1, 3, 8]) AS distance), (SELECT unnest(range(-3, 4)) AS e) GROUP BY 1, 2"
+)
 def sonar_model(spark, sf_dir):
     return spark.createDataFrame([(d, r, float(p)) for d in (1, 3, 8) for r, p in sorted(D.sonar(d).items())], "distance int, reading int, prob double")
 
 
-@register()
+@register(f"WITH RECURSIVE s(dst, d) AS (SELECT '0,3', 0 UNION SELECT e.dst, d + 1 FROM s JOIN {_GRID_EDGES} e ON e.src = s.dst WHERE d < 14) SELECT target, pos, CAST(min(d) AS DOUBLE) AS cost FROM (VALUES ('a', '4,0'), ('b', '1,1')) AS b(target, pos) JOIN s ON s.dst = b.pos GROUP BY 1, 2")
 def greedy_hunt(spark, sf_dir):
     dist = G.all_pairs(G.grid_edges(_cells(spark)))
     belief = spark.createDataFrame([("a", "4,0", 0.6), ("a", "0,0", 0.4), ("b", "1,2", 0.5), ("b", "1,1", 0.5)], "target string, pos string, prob double")
@@ -242,6 +276,9 @@ def greedy_hunt(spark, sf_dir):
 
 # --- text programs ---
 
+#: SQL for documents without tags and opening brackets; they hold no entities.
+_MARKED = "replace(regexp_replace(coalesce(text, ''), '\\[(/[^\\]]+|[^\\]=/][^\\]=]*(?:=[^\\]]+)?)\\]', '', 'g'), '[', '')"
+
 GRAMMAR = "1 START S .\n3 S NP VP\n1 S S and S\n2 NP the N\n1 NP N\n1 VP V NP\n1 VP V\n2 N merchant\n1 N parcel\n1 V sells\n1 V ships\n0 V idles"
 
 
@@ -281,7 +318,7 @@ def transducer_composition(spark, sf_dir):
     return N.compose(a, b)
 
 
-@register()
+@register(f"SELECT doc_id, CAST(len(list_distinct(list_concat({_words_sql(_MARKED)}, ['#' || coalesce(lang, '')], ['@' || coalesce(source, '')]))) AS INT) AS n_terms FROM documents")
 def markup_terms(spark, sf_dir):
     ship(spark)
     d = read(spark, sf_dir, "documents").select("doc_id", X.bbcode_stripped()(F.concat(F.lit("[b]"), "text", F.lit("[/b] [nation=x][/nation]"))).alias("text"), F.array("lang").alias("tags"), F.array("source").alias("mentions"))

@@ -49,8 +49,8 @@ def mean_with_work(spark, sf_dir):
     FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2) GROUP BY station"""
 )
 def time_series(spark, sf_dir):
-    series = A.time_series(readings(spark, sf_dir), F.date_format("ts", "yyyy-MM-dd"), "view", "click")
-    show = lambda c: F.when(c.isNull(), "NaN").otherwise(F.format_string("%.3f", c))
+    series = A.time_series(readings(spark, sf_dir), F.date_format("ts", "yyyy-MM-dd"), "view", "click", digits=None)
+    show = lambda c: F.coalesce(V.fixed(c, 3), F.lit("NaN"))
     return series.select("station", F.size("series").cast("long").alias("n"), F.array_join(F.transform("series", lambda s: F.concat_ws(":", s["period"], show(s["min_avg"]), show(s["max_avg"]))), ",").alias("series"))
 
 
@@ -192,8 +192,7 @@ def page_counters(spark, sf_dir):
 
 @register("SELECT event_type, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def trial_summary(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+    return A.trials(read(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean")])
 
 
 @register("SELECT l_returnflag AS pos, round(sum(q) / (SELECT sum(l_quantity) FROM lineitem), 6) AS prob FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -227,9 +226,9 @@ def feature_subset(spark, sf_dir):
     return v.select("id", F.col("f")[0].alias("a"), F.col("f")[1].alias("b"))
 
 
-@register(f"SELECT id, CASE WHEN label = 0 THEN -1 ELSE 1 END AS label FROM {ITEMS} WHERE price > 0.9")
+@register(f"SELECT id, CASE WHEN label = 0 THEN -1 ELSE 1 END AS label FROM {ITEMS}")
 def label_map(spark, sf_dir):
-    return item_features(spark, sf_dir).where("price > 0.9").select("id", F.when(F.col("label") == 0, -1).otherwise(1).alias("label"))
+    return item_features(spark, sf_dir).select("id", F.when(F.col("label") == 0, -1).otherwise(1).alias("label"))
 
 
 @register("SELECT vec_id AS id, CAST(len(embedding) + 1 AS INT) AS width, round(list_sum([CAST(x AS DOUBLE) for x in embedding]) * CASE WHEN label % 2 = 0 THEN 1 ELSE -1 END, 4) AS total FROM embeddings")
@@ -364,12 +363,12 @@ def auc(spark, sf_dir):
 
 @register("SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_partkey) - 1) % 10 AS INT) AS fold FROM part")
 def fold_assignment(spark, sf_dir):
-    return R.dense_index(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", "_at").select("p_partkey", (F.col("_at") % 10).cast("int").alias("fold"))
+    return R.folds(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 10, by_hash=False)
 
 
 @register("SELECT size, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS total FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part), (SELECT unnest([50, 100, 150]) AS size) WHERE rn <= size GROUP BY size")
 def prefix_samples(spark, sf_dir):
-    p = R.dense_index(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", "_at").withColumn("size", F.explode(F.array(*map(F.lit, (50, 100, 150))))).where("_at < size")
+    p = R.prefix_samples(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", [50, 100, 150], seed=None)
     return p.groupBy("size").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("total"))
 
 
@@ -380,10 +379,8 @@ def prefix_samples(spark, sf_dir):
 def cdf_draws(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     d = e.select(F.col("event_type").alias("key")).distinct().withColumn("prob", F.rank().over(Window.orderBy("key")).cast("double") / 15)
-    w = Window.orderBy("key")
-    cdf = d.withColumn("hi", F.round(F.sum("prob").over(w), 6)).withColumn("lo", F.round(F.sum("prob").over(w) - F.col("prob"), 6))
     draws = e.select(F.col("event_id").alias("id"), ((F.col("event_id") % 1000) / 1000).alias("u"))
-    return draws.join(F.broadcast(cdf), (F.round("u", 6) >= F.col("lo")) & (F.round("u", 6) < F.col("hi"))).select("id", "key")
+    return R.draw(d, draws)
 
 
 # --- ranked ---
@@ -476,10 +473,17 @@ def page_anchors(spark, sf_dir):
     return p.select("page_id", F.size("h").cast("long").alias("n_links"), F.coalesce(F.get("h", F.lit(0)), F.lit("")).alias("first_link"))
 
 
-@register(r"SELECT conv_id, turn, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS INT) AS n FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]|[0-9_''-]')")
+def _words_sql(text: str) -> str:
+    """Distinct lower-case words: apostrophes of contractions (twice, as they may follow one another) become spaces first."""
+    letter = r"\p{L}\p{N}"
+    for _ in range(2):
+        text = f"regexp_replace({text}, '([{letter}])''((?i:d|ll|m|re|s|ve)[^{letter}_])', '\\1 \\2', 'g')"
+    return f"list_distinct([lower(x) for x in regexp_extract_all({text}, '[{letter}]+(?:[-_''][{letter}]+)*')])"
+
+
+@register(f"SELECT conv_id, turn, CAST(len({_words_sql('text')}) AS INT) AS n FROM conversations")
 def word_sets(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]|[0-9_'-]"))
-    return c.select("conv_id", "turn", F.size(X.word_set(F.col("text"))).alias("n"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(X.word_set(F.col("text"))).alias("n"))
 
 
 @register("SELECT r_regionkey, CAST(length(r_name) AS INT) AS n_arcs, substring(r_name, length(r_name), 1) AS last_symbol FROM region")

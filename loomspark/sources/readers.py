@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,7 +58,10 @@ def labelled_csv(spark: SparkSession, *paths: str, skip: int = 0, header: bool =
 
 
 def numbers(spark: SparkSession, *paths: str, sep: str = r"\s+", labelled: bool = True, bias: bool = False, label_map: dict | None = None) -> DataFrame:
-    """(features, label) of lines of numbers; blank lines are left out, `nan` and `?` are null, labels may be mapped."""
+    """(features, label) of lines of numbers; `nan` and `?` are null, labels may be mapped.
+
+    Blank lines are left out wherever they stand: lines have no order across the tasks that read them, so a blank one can't end the table.
+    """
     v = F.split(F.trim("value"), sep)
     x = F.transform(v, lambda s: F.when(~F.lower(F.trim(s)).isin("nan", "?", ""), s.try_cast("double")))
     out = spark.read.text(list(paths)).where("trim(value) <> ''").select(x.alias("x"))
@@ -82,10 +86,16 @@ def side_by_side(spark: SparkSession, left: str, right: str, names: tuple[str, s
     return a.withColumnRenamed("value", names[0]).join(b.withColumnRenamed("value", names[1]), "row")
 
 
-def arff(spark: SparkSession, *paths: str) -> DataFrame:
-    """(features, label): lines that don't start with @ or %, label last as text."""
+def arff(spark: SparkSession, *paths: str, keep: Callable[[Column], Column] | None = None, label: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(features, label): lines that don't start with @ or %, label last as text.
+
+    `keep` maps a line to whether it counts, instead of that rule; `label` maps the last field to the label.
+    """
     v = F.split("value", ",")
-    return spark.read.text(list(paths)).where(~F.col("value").rlike(r"^\s*(?:[@%]|$)")).select(F.transform(F.slice(v, 1, F.size(v) - 1), lambda s: F.trim(s).try_cast("double")).alias("features"), F.trim(F.element_at(v, -1)).alias("label"))
+    line = F.col("value")
+    wanted = keep(line) if keep else ~line.rlike(r"^\s*(?:[@%]|$)")
+    last = F.trim(F.element_at(v, -1))
+    return spark.read.text(list(paths)).where(wanted).select(F.transform(F.slice(v, 1, F.size(v) - 1), lambda s: F.trim(s).try_cast("double")).alias("features"), (label(last) if label else last).alias("label"))
 
 
 def uci(spark: SparkSession, config: str, data: str) -> DataFrame:
@@ -116,8 +126,9 @@ def sparse_vectors(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def idx_images(spark: SparkSession, images: str, labels: str, digits: list[int] | None = None) -> DataFrame:
-    """(id, rows, cols, pixels, label) of a pair of IDX files; only the digits asked for."""
-    met = spark.read.format("binaryFile").load(images).select(F.col("content").alias("a")).crossJoin(spark.read.format("binaryFile").load(labels).select(F.col("content").alias("b")))
+    """(id, rows, cols, pixels, label) of a pair of IDX files, one image file and its label file; only the digits asked for."""
+    one = lambda path, name: spark.read.format("binaryFile").load(path).limit(1).select(F.lit(1).alias("pair"), F.col("content").alias(name))
+    met = one(images, "a").join(one(labels, "b"), "pair")
 
     def run(parts):
         import pandas as pd
@@ -145,8 +156,10 @@ def tags_of(page):
     return F.regexp_extract_all(page, F.lit("(?i)<TAG>([^<]*)</TAG>"), F.lit(1))
 
 
-def unlabelled(rows: DataFrame, label: str = "label") -> DataFrame:
-    return rows.where(F.col(label).isNull())
+def unlabelled(rows: DataFrame, label: str = "label", margin: str | None = None) -> DataFrame:
+    """Rows without a label, and with a margin if a column of margins is named."""
+    out = rows.where(F.col(label).isNull())
+    return out.where(F.col(margin).isNotNull()) if margin else out
 
 
 def stop_words(spark: SparkSession, *paths: str) -> DataFrame:
@@ -154,10 +167,15 @@ def stop_words(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def translation_dictionary(spark: SparkSession, *paths: str) -> DataFrame:
-    """(src, tgt, score) of lines of two words and a negative number; others are left out, the last of equal pairs holds."""
-    p = r"^(.+)\s+(.+)\s+(-\d+\.\d+)$"
-    g = lambda i: F.regexp_extract("value", p, i)
-    return spark.read.text(list(paths)).where(F.col("value").rlike(p)).select(g(1).alias("src"), g(2).alias("tgt"), g(3).cast("double").alias("score"))
+    """(src, tgt, score) of lines that end on a target word and a negative decimal score, after white space each.
+
+    All before these two is the source. Other lines are left out; of lines with one source and target, the last of its file holds.
+    """
+    words = F.split(F.rtrim("value"), r"\s+")
+    raw = spark.read.text(list(paths)).select("value", F.monotonically_increasing_id().alias("at"), words.alias("w"))
+    raw = raw.where("size(w) >= 3").withColumn("last", F.element_at("w", -1)).where(F.col("last").startswith("-") & (F.instr("last", ".") > 2) & F.col("last").try_cast("double").isNotNull())
+    lines_ = raw.select(F.array_join(F.slice("w", 1, F.size("w") - 2), " ").alias("src"), F.element_at("w", -2).alias("tgt"), F.col("last").cast("double").alias("score"), "at").where("src <> ''")
+    return lines_.groupBy("src", "tgt").agg(F.max_by("score", "at").alias("score"))
 
 
 def grammar_rules(spark: SparkSession, *paths: str) -> DataFrame:
@@ -206,12 +224,26 @@ def grid_cells(spark: SparkSession, rows: list[list]) -> DataFrame:
     return spark.createDataFrame(out, "x int, y int, kind string, reward double")
 
 
-def zipped_csv(spark: SparkSession, archive: str, member: str, **options) -> DataFrame:
-    """A CSV member of a zip archive, read through Spark as bytes; its lines are then parsed in parallel."""
-    import io
-    import zipfile
+def zipped_csv(spark: SparkSession, archive: str, member: str, schema: str, header: bool = False, sep: str = ",") -> DataFrame:
+    """Rows of a CSV member of zip archives (any path pattern) by the schema; an archive is unpacked by the task that reads it, line by line."""
 
-    blob = spark.read.format("binaryFile").load(archive).select("content").first()["content"]
-    text = zipfile.ZipFile(io.BytesIO(bytes(blob))).read(member).decode()
-    rows = spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
-    return spark.read.csv(rows.rdd.map(lambda r: r[0]), **options)
+    def run(parts):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for part in parts:
+            for raw in part.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(raw)) as z, io.TextIOWrapper(z.open(member), "utf-8") as f:
+                    held: list[str] = []
+                    for i, line in enumerate(f):
+                        if i or not header:
+                            held.append(line.rstrip("\r\n"))
+                        if len(held) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(held)], ["value"])
+                            held = []
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
+
+    rows = spark.read.format("binaryFile").load(archive).select("content").mapInArrow(run, "value string")
+    return rows.where("value <> ''").select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
