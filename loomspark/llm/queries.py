@@ -69,9 +69,10 @@ w AS (SELECT q.*, f.original FROM q LEFT JOIN f ON f.conv_id = q.conv_id AND f.x
 s AS (SELECT w.*, coalesce(w.original, (SELECT max(f.original) FROM (SELECT unnest(string_split(w.body, chr(10))) AS b) JOIN f ON f.conv_id = w.conv_id AND f.x <> '' AND f.original < w.turn AND f.x = trim(regexp_replace(lower(b), '[^\p{L}\p{N}]+', ' ', 'g')))) AS source FROM w),
 k AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_max(source, (-level, source)) AS parent_turn FROM s GROUP BY 1, 2),
 t(conv_id, turn, up, steps) AS (SELECT conv_id, turn, parent_turn, 1 FROM k WHERE parent_turn IS NOT NULL UNION ALL SELECT t.conv_id, t.turn, k.parent_turn, steps + 1 FROM t JOIN k ON k.conv_id = t.conv_id AND k.turn = t.up WHERE k.parent_turn IS NOT NULL),
-e AS (SELECT conv_id, turn, arg_max(up, steps) AS thread_root, max(steps) AS reply_depth FROM t GROUP BY 1, 2)
-SELECT m.conv_id, m.turn, m.role, k.parent_turn, coalesce(e.thread_root, m.turn) AS thread_root, CAST(coalesce(e.reply_depth, 0) AS BIGINT) AS reply_depth, coalesce(k.n_quotes, 0) AS n_quotes, coalesce(k.n_linked, 0) AS n_linked, o.own AS own_text
-FROM m JOIN o USING (id) LEFT JOIN k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN e ON e.conv_id = m.conv_id AND e.turn = m.turn""",
+e AS (SELECT conv_id, turn, arg_max(up, steps) AS thread_root, max(steps) AS reply_depth FROM t GROUP BY 1, 2),
+d AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(thread_root, turn), turn) - 1 AS place FROM (SELECT DISTINCT conv_id, turn FROM conversations) LEFT JOIN e USING (conv_id, turn))
+SELECT m.conv_id, m.turn, m.role, k.parent_turn, coalesce(e.thread_root, m.turn) AS thread_root, CAST(coalesce(e.reply_depth, 0) AS BIGINT) AS reply_depth, d.place, coalesce(k.n_quotes, 0) AS n_quotes, coalesce(k.n_linked, 0) AS n_linked, o.own AS own_text
+FROM m JOIN o USING (id) LEFT JOIN k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN e ON e.conv_id = m.conv_id AND e.turn = m.turn LEFT JOIN d ON d.conv_id = m.conv_id AND d.turn = m.turn""",
     "op8_branch_and_bound_topk": """
 WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS z FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_contains([x IS NULL OR NOT isfinite(x) for x in embedding], true))
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.z, c.z) DESC, c.vec_id) AS rank

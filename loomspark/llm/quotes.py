@@ -8,7 +8,8 @@ if that is an earlier one. Where a whole passage finds no original, its lines ar
 
 The message that a message replies to is the latest one among the originals of its least nested linked
 quotations. Thread roots come from pointer jumping over these replies. Conversations are rebuilt from own
-text only, in the order (thread_root, turn), in which every message follows the one it replies to.
+text only, in the order (thread_root, turn), in which every message follows the one it replies to; `place` counts a
+conversation's messages in that order, from 0, by ranges of all messages rather than in a group of one conversation.
 
 Null or empty text has no passages and replies to nothing. Passages without letters or digits are not
 joined on. Rows that repeat a (conv_id, turn) give repeated rows with one parent and root; their quotations
@@ -75,21 +76,45 @@ def roots(links: DataFrame, most: int = 64) -> DataFrame:
     return now.select("conv_id", "turn", F.col("up").alias("thread_root"), F.col("steps").alias("reply_depth"))
 
 
+def places(messages: DataFrame, tree: DataFrame) -> DataFrame:
+    """(conv_id, turn, place) of every distinct (conv_id, turn): its place in the conversation's reply order.
+
+    All messages are dealt by ranges of (conversation, thread, turn) and numbered through: a range's rows from its
+    start, which is what the ranges before it hold (one number each); a conversation counts from its first number.
+    """
+    spark = messages.sparkSession
+    known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
+    order = [F.col("conv_id"), F.coalesce("thread_root", "turn"), F.col("turn")]
+    dealt = known.join(tree.select("conv_id", "turn", "thread_root"), ["conv_id", "turn"], "left")
+    dealt = dealt.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    dealt = materialise(dealt.select("conv_id", "turn", F.spark_partition_id().alias("p"), (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("i")), "places")
+    before, starts = 0, []
+    for p, n in sorted(tuple(r) for r in dealt.groupBy("p").agg(F.count("*")).collect()):
+        starts.append(f"({p}, {before}L)")
+        before += n
+    if not starts:
+        return dealt.select("conv_id", "turn", F.col("i").alias("place"))
+    start = spark.sql(f"SELECT * FROM VALUES {', '.join(starts)} AS t(p, o)")  # a row a range
+    numbered = dealt.join(F.broadcast(start), "p").select("conv_id", "turn", (F.col("o") + F.col("i")).alias("nr"))
+    first = numbered.groupBy("conv_id").agg(F.min("nr").alias("first"))
+    return numbered.join(first, "conv_id").select("conv_id", "turn", (F.col("nr") - F.col("first")).alias("place"))
+
+
 def thread(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, parent_turn, thread_root, reply_depth, n_quotes, n_linked, own_text."""
+    """One row per message: conv_id, turn, role, parent_turn, thread_root, reply_depth, place, n_quotes, n_linked, own_text."""
     parsed = parse(messages.select("conv_id", "turn", "role", "text"))
     links = materialise(link(parsed), "quotes")
     tree = roots(links)
-    out = parsed.join(links, ["conv_id", "turn"], "left").join(tree, ["conv_id", "turn"], "left")
+    out = parsed.join(links, ["conv_id", "turn"], "left").join(tree, ["conv_id", "turn"], "left").join(places(messages, tree), ["conv_id", "turn"], "left")
     zero = F.lit(0).cast("long")
-    return out.select("conv_id", "turn", "role", "parent_turn", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("reply_depth", zero).alias("reply_depth"), F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"), F.col("own").alias("own_text"))
+    return out.select("conv_id", "turn", "role", "parent_turn", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("reply_depth", zero).alias("reply_depth"), "place", F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"), F.col("own").alias("own_text"))
 
 
 def conversations(messages: DataFrame, span: int = 64) -> DataFrame:
-    """Threads as chat text in reply order, in blocks of `span` turns so that no group is unbounded.
+    """Threads as chat text in reply order, in blocks of `span` places so that no group is unbounded.
 
-    (conv_id, thread_root, block, messages array<struct<turn, role, text>>); messages without own text are left out.
+    (conv_id, thread_root, block, messages array<struct<place, turn, role, text>>); messages without own text are left out.
     """
     rows = thread(messages).where("conv_id IS NOT NULL AND turn IS NOT NULL AND own_text <> ''").dropDuplicates(["conv_id", "turn", "role", "own_text"])
-    one = F.struct("turn", "role", F.col("own_text").alias("text"))
-    return rows.groupBy("conv_id", "thread_root", F.expr(f"turn div {span}").alias("block")).agg(F.array_sort(F.collect_list(one)).alias("messages"))
+    one = F.struct("place", "turn", "role", F.col("own_text").alias("text"))
+    return rows.groupBy("conv_id", "thread_root", F.expr(f"place div {span}").alias("block")).agg(F.array_sort(F.collect_list(one)).alias("messages"))
