@@ -2,8 +2,11 @@
 
 `mux` stores a byte string losslessly as one track of fixed-size 8-bit samples; `demux` walks the nested
 boxes of any such file and `read_track` resolves the sample tables (stts, ctts, stsc, stsz or stz2, stco
-or co64, stss) to the byte range of every sample. Codec, duration and keyframe ranges come from these
-tables alone.
+or co64, stss) to the byte range of every sample; samples of movie fragments (moof, traf, tfhd, trun, with the
+defaults of trex) follow those. Codec, duration and keyframe ranges come from these tables alone.
+
+`tracks` does this for a column of files and `containers` for texts, which it stores as files first. Both give all
+keyframe ranges. A file that can't be read gives a row whose `error` says why, and nulls; it never ends the job.
 """
 
 from __future__ import annotations
@@ -92,8 +95,13 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
             at += size
 
 
+class Damaged(ValueError):
+    """A file whose boxes or tables don't hold what they say."""
+
+
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     handler: str = ""
     timescale: int = 0
@@ -117,6 +125,13 @@ class Track:
         return b"".join(data[a:b] for a, b in zip(self.offsets[np.r_[0, cut]].tolist(), ends[np.r_[cut - 1, len(ends) - 1]].tolist(), strict=True))
 
 
+def _held(data, count: int) -> int:
+    """A number of samples that a file of this length can hold."""
+    if not 0 <= count <= len(data):
+        raise ValueError(f"{count} samples in {len(data)} bytes")
+    return int(count)
+
+
 def _u32(data, at: int, n: int, kind: str = ">u4") -> np.ndarray:
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
@@ -124,6 +139,9 @@ def _u32(data, at: int, n: int, kind: str = ">u4") -> np.ndarray:
 def read_track(data, tables: dict[bytes, tuple[int, int]]) -> Track:
     """Resolve one track's tables to sample offsets, sizes, times and keyframes."""
     t = Track()
+    if b"tkhd" in tables:
+        at = tables[b"tkhd"][0]
+        t.number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
     if b"mdhd" in tables:
         at = tables[b"mdhd"][0]
         t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
@@ -134,7 +152,7 @@ def read_track(data, tables: dict[bytes, tuple[int, int]]) -> Track:
     if b"stsz" in tables:
         at = tables[b"stsz"][0]
         each, n = struct.unpack_from(">II", data, at + 4)
-        t.sizes = np.full(n, each, np.int64) if each else _u32(data, at + 12, n)
+        t.sizes = np.full(_held(data, n), each, np.int64) if each else _u32(data, at + 12, n)
     elif b"stz2" in tables:
         at = tables[b"stz2"][0]
         bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
@@ -151,6 +169,7 @@ def read_track(data, tables: dict[bytes, tuple[int, int]]) -> Track:
         at = tables[b"stsc"][0]
         runs = _u32(data, at + 8, 3 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 3)
         per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0] - 1, len(chunks)]))
+        _held(data, per.sum())
         chunk = np.repeat(np.arange(len(per)), per)[:n]
         n = len(chunk)
         t.sizes = t.sizes[:n]
@@ -160,33 +179,109 @@ def read_track(data, tables: dict[bytes, tuple[int, int]]) -> Track:
     if b"stts" in tables:
         at = tables[b"stts"][0]
         runs = _u32(data, at + 8, 2 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 2)
+        _held(data, runs[:, 0].sum())
         step = np.repeat(runs[:, 1], runs[:, 0])
         t.times = np.cumsum(step) - step
         if b"ctts" in tables:
             at = tables[b"ctts"][0]
             runs = _u32(data, at + 8, 2 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 2)
+            _held(data, runs[:, 0].sum())
             shift = np.repeat(runs[:, 1], runs[:, 0])[: len(t.times)]
             t.times[: len(shift)] += shift
     if b"stss" in tables:
         at = tables[b"stss"][0]
         t.keys = _u32(data, at + 8, struct.unpack_from(">I", data, at + 4)[0]) - 1
-        t.keys = t.keys[t.keys < n]
+        t.keys = t.keys[(t.keys >= 0) & (t.keys < n)]
     else:
         t.keys = np.arange(n)  # without the table every sample is one
     return t
 
 
+def _fragment(data, traf: dict[bytes, list[tuple[int, int]]], moof: int, defaults: dict[int, tuple], tracks: list[Track]) -> None:
+    """Add one track fragment's samples to its track."""
+    if b"tfhd" not in traf:
+        return
+    at = traf[b"tfhd"][0][0]
+    flags, number = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    at += 8
+    base, (span, size, kind) = moof, defaults.get(number, (0, 0, 0))
+    if flags & 0x1:
+        base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+    at += 4 * bool(flags & 0x2)
+    if flags & 0x8:
+        span, at = struct.unpack_from(">I", data, at)[0], at + 4
+    if flags & 0x10:
+        size, at = struct.unpack_from(">I", data, at)[0], at + 4
+    if flags & 0x20:
+        kind = struct.unpack_from(">I", data, at)[0]
+    track = next((t for t in tracks if t.number == number), None)
+    if track is None:
+        return
+    clock = int(track.times[-1]) + span if len(track.times) else 0
+    if b"tfdt" in traf:
+        at = traf[b"tfdt"][0][0]
+        clock = struct.unpack_from(">Q" if data[at] == 1 else ">I", data, at + 4)[0]
+    place = base
+    for run, _ in traf.get(b"trun", []):
+        flags, n = struct.unpack_from(">II", data, run)
+        flags, n = flags & 0xFFFFFF, _held(data, n)
+        at = run + 8
+        if flags & 0x1:
+            place, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+        first = None
+        if flags & 0x4:
+            first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        table = _u32(data, at, n * len(fields)).reshape(n, len(fields)) if fields else np.empty((n, 0), np.int64)
+        column = lambda bit, default: table[:, fields.index(bit)] if bit in fields else np.full(n, default, np.int64)  # noqa: B023, E731
+        spans, sizes, kinds, shift = column(0x100, span), column(0x200, size), column(0x400, kind), column(0x800, 0)
+        if first is not None and n:
+            kinds = np.r_[first, kinds[1:]]
+        shift = np.where(shift >= 1 << 31, shift - (1 << 32), shift)
+        old = len(track.sizes)
+        track.keys = np.r_[track.keys, old + np.flatnonzero(kinds & 0x10000 == 0)]
+        track.offsets = np.r_[track.offsets, place + np.cumsum(sizes) - sizes]
+        track.sizes = np.r_[track.sizes, sizes]
+        track.times = np.r_[track.times, clock + np.cumsum(spans) - spans + shift]
+        place, clock = place + int(sizes.sum()), clock + int(spans.sum())
+        track.duration = max(track.duration, clock)
+
+
 def demux(data: bytes) -> list[Track]:
-    """The tracks of a file, in order. A file without any gives an empty list."""
+    """The tracks of a file, in order. A file without any gives an empty list; tables that don't fit the file raise Damaged."""
     traks: list[tuple[int, int, dict]] = []
-    for path, a, b in walk(data):
-        if path == (b"moov", b"trak"):
-            traks.append((a, b, {}))
-        elif path[:2] == (b"moov", b"trak"):
-            for own in traks:
-                if own[0] <= a and b <= own[1]:
-                    own[2].setdefault(path[-1], (a, b))
-    return [read_track(data, own[2]) for own in traks]
+    trafs: list[tuple[int, int, int, dict]] = []
+    moofs: list[tuple[int, int, int]] = []
+    defaults: dict[int, tuple] = {}
+    try:
+        for path, a, b in walk(data):
+            if path == (b"moov", b"trak"):
+                traks.append((a, b, {}))
+            elif path[:2] == (b"moov", b"trak"):
+                for own in traks:
+                    if own[0] <= a and b <= own[1]:
+                        own[2].setdefault(path[-1], (a, b))
+            elif path == (b"moov", b"mvex", b"trex"):
+                number, _, *rest = struct.unpack_from(">5I", data, a + 4)
+                defaults[number] = tuple(rest)
+            elif path == (b"moof",):
+                moofs.append((a - 8 if struct.unpack_from(">I", data, a - 8)[0] != 1 else a - 16, a, b))
+            elif path == (b"moof", b"traf"):
+                trafs.append((next(m[0] for m in moofs if m[1] <= a and b <= m[2]), a, b, {}))
+            elif path[:2] == (b"moof", b"traf"):
+                for own in trafs:
+                    if own[1] <= a and b <= own[2]:
+                        own[3].setdefault(path[-1], []).append((a, b))
+        tracks = [read_track(data, own[2]) for own in traks]
+        for moof, _, _, traf in trafs:
+            _fragment(data, traf, moof, defaults, tracks)
+    except (struct.error, ValueError, IndexError, OverflowError, MemoryError, StopIteration) as e:
+        raise Damaged(f"a table doesn't fit the file: {e}") from e
+    for t in tracks:
+        if len(t.offsets) and (t.offsets.min() < 0 or int((t.offsets + t.sizes[: len(t.offsets)]).max()) > len(data)):
+            raise Damaged("samples lie beyond the file")
+    return tracks
 
 
 def features(track: Track) -> str:
@@ -201,7 +296,56 @@ def pad(raw: bytes) -> bytes:
     return raw.ljust(max(1, -(-len(raw) // SAMPLE)) * SAMPLE, b"\xff")
 
 
-COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_keyframes long, first_key_start long, first_key_end long, last_key_start long, last_key_end long"
+RANGES = "array<struct<start: long, end: long>>"
+COLUMNS = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_keyframes long, key_ranges {RANGES}"
+TRACKS = f"track int, codec string, handler string, timescale long, duration_s double, n_samples long, n_keyframes long, key_ranges {RANGES}, error string"
+
+
+def _ranges(lists: list):
+    """Arrow column of lists of (start, end)."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.array([r if r is None else [{"start": a, "end": b} for a, b in r] for r in lists], kind)
+
+
+def tracks(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
+    """(id, track, codec, handler, timescale, duration_s, n_samples, n_keyframes, key_ranges, error) of a binary column of files.
+
+    One row a track, numbered from 0, from boxes and tables alone. A null file, one without tracks or a damaged one gives
+    one row with an error and nulls. A narrow pass; repeated rows are read again.
+    """
+    import pyarrow as pa
+
+    from ._common import ship, tidied
+
+    ship(files.sparkSession)
+    names = [f.split()[0] for f in TRACKS.split(", key_ranges")[0].split(", ")]
+
+    def rows(data):
+        if data is None:
+            return [(None,) * 8 + ("no file",)]
+        try:
+            found = demux(data)
+        except Damaged as e:
+            return [(None,) * 8 + (str(e),)]
+        if not found:
+            return [(None,) * 8 + ("no tracks",)]
+        return [(i, t.codec, t.handler, t.timescale, t.duration / t.timescale if t.timescale else None, len(t.sizes), len(t.keys), t.key_ranges() if len(t.offsets) else [], None) for i, t in enumerate(found)]
+
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+
+    def run(parts):
+        for part in parts:
+            for start in range(0, part.num_rows, 50):
+                own = part.slice(start, 50)
+                made = [rows(d) for d in own.column(1).to_pylist()]
+                ids = own.column(0).take(pa.array(np.repeat(np.arange(own.num_rows), [len(m) for m in made])))
+                cols = list(zip(*[r for m in made for r in m], strict=True))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False)), _ranges(cols[7]), pa.array(cols[8], pa.string())], ["id", *names, "key_ranges", "error"])
+
+    kind = files.schema[id_col].dataType.simpleString()
+    return files.select(files[id_col].alias("id"), files[media_col].cast("binary").alias("media")).mapInArrow(tidied(run), f"id {kind}, {TRACKS}").withColumnRenamed("id", id_col)
 
 
 def containers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
@@ -211,11 +355,12 @@ def containers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     import pyarrow as pa
 
-    from ._common import ship
+    from ._common import ship, tidied
 
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_keyframes", pa.int64()), ("first_key_start", pa.int64()), ("first_key_end", pa.int64()), ("last_key_start", pa.int64()), ("last_key_end", pa.int64())] + [("media", pa.binary())] * keep_media)
+    schema = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_keyframes", pa.int64())]
+    names = ["id", *[n for n, _ in schema], "key_ranges", *["media"] * keep_media]
 
     def one(text: str | None) -> tuple:
         raw = (text or "").encode()
@@ -223,14 +368,13 @@ def containers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         track = demux(data)[0]
         back = track.payload(data)
         ranges = track.key_ranges()
-        row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(track), track.codec, track.duration / track.timescale, len(ranges), *ranges[0], *ranges[-1])
-        return (*row, data) if keep_media else row
+        return (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(track), track.codec, track.duration / track.timescale, len(ranges), ranges, data if keep_media else None)
 
     def run(parts):
         for part in parts:
             for start in range(0, part.num_rows, 500):
                 own = part.slice(start, 500)
                 cols = list(zip(*map(one, own.column(1).to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, f.type) for c, f in zip(cols, schema, strict=True))], ["id", *schema.names])
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=False)), _ranges(cols[10]), *[pa.array(cols[11], pa.binary())] * keep_media], names)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, {COLUMNS}" + ", media binary" * keep_media).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidied(run), f"id {id_type}, {COLUMNS}" + ", media binary" * keep_media).withColumnRenamed("id", id_col)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -195,3 +196,65 @@ def test_media_of_a_table(spark):
         assert r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
     assert media.containers(df.limit(0)).collect() == []
+
+
+def fragmented(payload, size=100, each=7):
+    """A file of samples of equal size in fragments of `each`, keyframes first in each, and their ranges by hand."""
+    box, full = media.box, media.full
+    entry = box(b"avc1", bytes(78))
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), entry), full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4)))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", struct.pack(">I4s", 0, b"vide"), bytes(13)), box(b"minf", stbl))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, 9, 0, 0), bytes(60)), mdia)
+    out = box(b"ftyp", b"isom", bytes(4)) + box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">IIIII", 9, 1, 40, size, 0x10000))))
+    samples = [payload[i : i + size] for i in range(0, len(payload), size)]
+    keys = []
+    for i in range(0, len(samples), each):
+        own = samples[i : i + each]
+        sizes = b"".join(struct.pack(">I", len(s)) for s in own)
+        for place in (0, 1):  # the offset of the data is known once the header's length is
+            head = box(b"moof", full(b"mfhd", struct.pack(">I", i)), box(b"traf", full(b"tfhd", struct.pack(">I", 9), flags=0x20000), full(b"tfdt", struct.pack(">I", 40 * i)), full(b"trun", struct.pack(">IiI", len(own), place, 0), sizes, flags=0x205)))
+            place = len(head) + 8
+            head = box(b"moof", full(b"mfhd", struct.pack(">I", i)), box(b"traf", full(b"tfhd", struct.pack(">I", 9), flags=0x20000), full(b"tfdt", struct.pack(">I", 40 * i)), full(b"trun", struct.pack(">IiI", len(own), place, 0), sizes, flags=0x205)))
+        keys.append((len(out) + len(head) + 8, len(out) + len(head) + 8 + len(own[0])))
+        out += head + box(b"mdat", *own)
+    return out, keys
+
+
+def test_fragments_are_resolved():
+    payload = bytes(i * 7 % 256 for i in range(2350))
+    data, keys = fragmented(payload)
+    (t,) = media.demux(data)
+    assert t.payload(data) == payload and t.key_ranges() == keys and t.codec == "avc1" and t.duration == 24 * 40
+
+
+def test_files_of_a_column(spark):
+    import random
+
+    payload = media.pad(b"abc" * 9000)
+    whole, (frag, keys) = media.mux(payload), fragmented(b"x" * 900)
+    start = whole.index(b"mdat") + 4
+    rows = [(1, whole), (2, frag), (3, None), (4, b""), (5, b"no media here"), (1, whole)]
+    rng = random.Random(5)
+    at = whole.index(b"moov")
+    for i in range(150):  # damaged: bytes of the tables changed, or the file cut
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(at, len(data))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        rows.append((100 + i, bytes(data[: rng.randrange(at, len(data) + 1)])))
+    df = spark.createDataFrame([(*r, "k") for r in rows], "id long, media binary, track string")
+    got = media.tracks(df, "id").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["id"], []).append(r)
+    assert set(by) == {r[0] for r in rows}
+    first = by[1][0]
+    assert len(by[1]) == 2 and first["codec"] == "raw " and first["error"] is None and first["duration_s"] == len(payload) / 576 / 25
+    assert [tuple(k) for k in first["key_ranges"]] == [(start + i * 576, start + (i + 1) * 576) for i in range(0, len(payload) // 576, 25)]
+    assert [tuple(k) for k in by[2][0]["key_ranges"]] == keys
+    assert by[3][0]["error"] == "no file" and by[4][0]["error"] == by[5][0]["error"] == "no tracks"
+    for r in got:
+        assert (r["codec"] is None) == (r["error"] is not None)
+        if r["error"] is None:
+            size = len(dict(rows)[r["id"]])
+            assert all(0 <= a <= b <= size for a, b in r["key_ranges"])
+    assert media.tracks(df.limit(0), "id").collect() == []
