@@ -1,12 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its words and of their beginnings, hashed to 2**20 buckets. A score is
-sigmoid(b * (w0 + sum of w_i + sum over pairs of <v_i, v_j>)); the pair term lets an insult with a
-group mention weigh more than either does alone. w0 is the log-odds of all labelled rows that may be learned
-from and isn't learned, and the sample's rows weigh as many of these as they stand for, so that scores mean the
-same at every size. Learning takes a bounded sample of labelled rows (MOST of
-each label) that aren't held out; of its buckets, the machine keeps those that tell the labels apart and
-the most frequent ones. The last fifth of the sample calibrates b. All documents are scored whole.
+sigmoid(b * (w0 + sum of w_i + mean over the document's pairable terms of their pairs' <v_i, v_j>)); the pair term lets
+an insult with a group mention weigh more than either does alone. w0 is the log-odds of all labelled rows that may be
+learned from and isn't learned, and the sample's rows weigh as many of these as they stand for, so that scores mean the
+same at every size. Learning takes a bounded sample of labelled rows (MOST of each label, TERMS buckets of each
+text, by hash) that aren't held out. Every bucket that LEAST rows of the sample hold has a weight, and factors if LEAST
+toxic ones do, whatever it tells alone; there is no selection before the learning. Weights follow the regularised leader
+with a penalty on their size (FTRL-proximal), which leaves those at zero whose gradients add up to no more than noise;
+factors take Adagrad steps and lose a little of their length each time, which ends those that no pair keeps alive. The
+last fifth of the sample calibrates b. All documents are scored whole.
 
 Null or empty text has no terms and scores as such. Labels that are null, or whose document is missing,
 teach nothing; a document labelled twice counts as toxic if one label says so. With one class only (or no
@@ -22,16 +25,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, held_out, ship
+from ._common import fresh, held_out, ship, tidied
 
 BITS = 20
 #: Bytes of the beginnings that are terms besides whole words: they catch inflected and compounded insults.
 BEGINNINGS = (4, 5, 6)
 #: Bound of the sample: labelled rows of each label.
 MOST = 6000
-#: Buckets kept: by how well they tell the labels apart, and by frequency; a bucket must be in so many rows.
-TELLING, FREQUENT, LEAST = 384, 128, 4
-FACTORS, EPOCHS, STEP, DECAY = 8, 30, 0.02, 1e-4
+#: Buckets of a sampled text that are learned from at most; rows of the sample that must hold a bucket.
+TERMS, LEAST = 2048, 3
+FACTORS, EPOCHS = 8, 12
+#: Of the weights: first step, penalty on their size (times the root of the rows) and on their square.
+RATE, SPARSE, RIDGE = 0.3, 0.45, 1.0
+#: Of the factors: step, loss of length (over the root of the rows), spread at first.
+STEP, SHRINK, SPREAD = 1.0, 0.45, 0.3
 
 _WORD = bytes(c if chr(c).isalnum() and c < 128 or c > 127 else 32 for c in range(256))
 
@@ -51,34 +58,18 @@ class Model:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    paired: np.ndarray  # whether a slot has had factors
     scale: float = 1.0
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        """Of rows of a 0/1 matrix over slots."""
-        s = x @ self.factors
-        return self.bias + x @ self.weights + 0.5 * ((s * s).sum(1) - x @ (self.factors**2).sum(1))
-
     def score(self, buckets: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.scale * self.raw(buckets), -40, 40))))
+
+    def raw(self, buckets: np.ndarray) -> float:
         own = self.slot[buckets]
         own = own[own >= 0]
-        s = self.factors[own].sum(0)
-        z = self.bias + self.weights[own].sum() + 0.5 * ((s * s).sum() - (self.factors[own] ** 2).sum())
-        return float(1 / (1 + np.exp(-np.clip(self.scale * z, -40, 40))))
-
-
-def _select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    mark = np.repeat(y, [len(r) for r in rows])
-    size = 1 << BITS
-    pos, all_ = np.bincount(flat, mark, size), np.bincount(flat, minlength=size)
-    p, q = (pos + 0.5) / (y.sum() + 1), (all_ - pos + 0.5) / (len(y) - y.sum() + 1)
-    z = np.log(p / (1 - p)) - np.log(q / (1 - q))
-    z /= np.sqrt(1 / (pos + 0.5) + 1 / (all_ - pos + 0.5))
-    z[all_ < LEAST] = 0
-    telling = np.argsort(-np.abs(z), kind="stable")[:TELLING]
-    telling = telling[np.abs(z[telling]) > 2]
-    frequent = np.argsort(-all_, kind="stable")[:FREQUENT]
-    return np.unique(np.r_[telling, frequent[all_[frequent] >= LEAST]])
+        v = self.factors[own].astype(np.float64)
+        s = v.sum(0)
+        return float(self.bias + self.weights[own].sum(dtype=np.float64) + 0.5 * ((s * s).sum() - (v * v).sum()) / max(1, self.paired[own].sum()))
 
 
 def train(rows: list[np.ndarray], labels: list[int], seed: int = 7, totals: tuple[int, int] | None = None) -> Model:
@@ -90,43 +81,60 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7, totals: tupl
     slot = np.full(1 << BITS, -1, np.int32)
     clean, toxic = totals or (len(y) - y.sum(), y.sum())
     rate = (toxic + 1) / (clean + toxic + 2)
+    bias = float(np.log(rate / (1 - rate)))
+    nothing = Model(slot, bias, np.zeros(1, np.float32), np.zeros((1, FACTORS), np.float32), np.zeros(1, bool))
     if len(set(labels)) < 2:
-        return Model(slot, float(np.log(rate / (1 - rate))), np.zeros(1), np.zeros((1, FACTORS)))
+        return nothing
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     rows, y = [rows[i] for i in order], y[order]
     weight = np.where(y == 1, toxic / y.sum(), clean / (len(y) - y.sum())) * (len(y) / (clean + toxic))  # 1 on average
     fit_n = len(y) - len(y) // 5
-    kept = _select(rows[:fit_n], y[:fit_n])
+    held = np.bincount(np.concatenate(rows[:fit_n]), minlength=1 << BITS)
+    kept = np.flatnonzero(held >= LEAST)
     if not len(kept):
-        return Model(slot, float(np.log(rate / (1 - rate))), np.zeros(1), np.zeros((1, FACTORS)))
+        return nothing
     slot[kept] = np.arange(len(kept))
-    x = np.zeros((len(y), len(kept)), np.float32)
-    for i, r in enumerate(rows):
-        own = slot[r]
-        x[i, own[own >= 0]] = 1
-    par = [np.full(1, np.log(rate / (1 - rate))), np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS))]
-    m, v, t = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par], 0
+    own = [s[s >= 0] for s in (slot[r] for r in rows[:fit_n])]
+    size = len(kept)
+    w, drift, seen = np.zeros(size), np.zeros(size), np.zeros(size)  # weights, and their gradients' corrected sum and squares
+    paired = np.bincount(np.concatenate([o for o, t in zip(own, y, strict=False) if t] or [np.empty(0, np.int32)]), minlength=size) >= LEAST
+    v = rng.normal(0, SPREAD, (size, FACTORS)) * paired[:, None]
+    moved = np.full(size, 1e-2)
+    sparse, shrink = SPARSE * fit_n**0.5, SHRINK / fit_n**0.5
     for _ in range(EPOCHS):
-        for own in np.array_split(rng.permutation(fit_n), max(1, fit_n // 256)):
-            a = x[own].astype(np.float64)
-            s = a @ par[2]
-            z = par[0] + a @ par[1] + 0.5 * ((s * s).sum(1) - a @ (par[2] ** 2).sum(1))
-            e = weight[own] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[own]) / len(own)
-            grads = [np.zeros(1), a.T @ e + DECAY * par[1], a.T @ (e[:, None] * s) - par[2] * (a.T @ e)[:, None] + DECAY * par[2]]
-            t += 1
-            for k, g in enumerate(grads):
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
-                par[k] -= STEP * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    model = Model(slot, float(par[0][0]), par[1], par[2])
-    z, w, u = model.raw(x[fit_n:].astype(np.float64)), y[fit_n:], weight[fit_n:]
+        for part in np.array_split(rng.permutation(fit_n), max(1, fit_n // 64)):
+            lens = np.array([len(own[i]) for i in part])
+            if not lens.any():
+                continue
+            flat = np.concatenate([own[i] for i in part])
+            row = np.repeat(np.arange(len(part)), lens)
+            at, inv = np.unique(flat, return_inverse=True)
+            sums = lambda x, where, n: np.stack([np.bincount(where, c, n) for c in x.T], 1)
+            f = v[flat]
+            s = sums(f, row, len(part))
+            share = 1 / np.maximum(1, np.bincount(row, paired[flat], len(part)))
+            z = bias + np.bincount(row, w[flat], len(part)) + 0.5 * share * ((s * s).sum(1) - np.bincount(row, (f * f).sum(1), len(part)))
+            e = weight[part] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part])
+            g = np.bincount(inv, e[row], len(at))
+            drift[at] += g - (np.sqrt(seen[at] + g * g) - np.sqrt(seen[at])) / RATE * w[at]
+            seen[at] += g * g
+            w[at] = -np.sign(drift[at]) * np.maximum(0, np.abs(drift[at]) - sparse) / ((0.1 + np.sqrt(seen[at])) / RATE + RIDGE)
+            g = sums((e * share)[row][:, None] * (s[row] - f), inv, len(at)) * paired[at][:, None]
+            moved[at] += (g * g).sum(1)
+            step = STEP / np.sqrt(moved[at])
+            new = v[at] - step[:, None] * g
+            length = np.sqrt((new * new).sum(1)) + 1e-12
+            v[at] = new * np.maximum(0, 1 - step * shrink * np.bincount(inv, minlength=len(at)) / length)[:, None]
+    w, v = w.astype(np.float32), v.astype(np.float32)
+    model = Model(slot, bias, w, v, paired)
+    z, t, u = np.array([model.raw(r) for r in rows[fit_n:]]), y[fit_n:], weight[fit_n:]
     b = 1.0  # Newton's steps on the held part of the sample, with a weak prior at 1
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(b * z, -40, 40)))
-        b -= ((u * (p - w) * z).sum() + (b - 1)) / ((u * p * (1 - p) * z * z).sum() + 1)
+        b -= ((u * (p - t) * z).sum() + (b - 1)) / ((u * p * (1 - p) * z * z).sum() + 1)
         b = min(max(b, 0.2), 5.0)
-    return Model(slot, model.bias, model.weights, model.factors, float(b))
+    return Model(slot, bias, w, v, paired, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
@@ -138,17 +146,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
 
     import pyarrow as pa
 
+    def few(found: np.ndarray) -> np.ndarray:  # buckets are hashes, so those that are least in another order are a sample
+        return found if len(found) <= TERMS else np.sort(found[np.argsort((found.astype(np.uint32) * np.uint32(2654435761)) & np.uint32(0xFFFFFFFF), kind="stable")[:TERMS]])
+
     def run(parts):
         for part in parts:
-            own = [terms(t).tobytes() for t in part.column(2).to_pylist()]
+            own = [few(terms(t)).tobytes() for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], ["h", "toxic", "terms"])
 
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")  # 2 * most rows
-    found = sorted((r["h"], r["toxic"], r["terms"]) for r in sample.select("h", "toxic", "text").mapInArrow(run, "h long, toxic int, terms binary").collect())
-    totals = None
-    if max((r["count"] for r in told.groupBy("toxic").count().collect()), default=0) > most:  # else the sample is all there is
-        all_ = {r["toxic"]: r["count"] for r in docs.where("text IS NOT NULL").select("doc_id").join(told, "doc_id").groupBy("toxic").count().collect()}
-        totals = (all_.get(0, 0), all_.get(1, 0))
+    learned = sample.select("h", "toxic", "text").mapInArrow(tidied(run), "h long, toxic int, terms binary")
+    # rows that repeat an id count once for each different text, and never more of them than the sample may hold: 2 * most * TERMS * 4 bytes
+    found = sorted((r["h"], r["toxic"], r["terms"]) for r in learned.distinct().orderBy(F.xxhash64("h", "terms")).limit(2 * most).collect())
+    all_ = {r["toxic"]: r["count"] for r in docs.where("text IS NOT NULL").select("doc_id").join(told, "doc_id").groupBy("toxic").count().collect()}
+    totals = (all_.get(0, 0), all_.get(1, 0))
     return train([np.frombuffer(t, np.int32) for _, _, t in found], [y for _, y, _ in found], totals=totals)
 
 
@@ -158,7 +169,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
 
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # 4 MB for the slots, a row for each of 512 buckets
+    shared = spark.sparkContext.broadcast(model)  # 4 MB for the slots, 36 bytes for each learned bucket, of which there are 2**20 at most
     carried = keep or ["doc_id"]
 
     def run(parts):
@@ -171,7 +182,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
 
     types = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
     out = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(carried)], docs[text_col].alias("text"))
-    return out.mapInArrow(run, f"{types}, score double").toDF(*carried, fresh("score", carried))
+    return out.mapInArrow(tidied(run), f"{types}, score double").toDF(*carried, fresh("score", carried))
 
 
 #: From this score on a document is predicted toxic.
