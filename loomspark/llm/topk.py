@@ -6,8 +6,10 @@ remaining norms (Cauchy-Schwarz), and candidates whose bound stays below every q
 far are compacted away. The first such scores come from the queries themselves, which are candidates of one
 another. Nothing is pruned that could enter a result, so results are exact.
 
-Queries come in blocks of QUERY_BLOCK rows (a proven bound): each block is broadcast and meets every
-candidate in one pass without a shuffle of the candidates; a partition returns at most k rows a query.
+Up to QUERY_BLOCK queries (counted first) are broadcast and meet every candidate in one pass without a shuffle of
+the candidates. More queries are dealt by row over blocks of about half that many, and the candidates over slices;
+all cells of a block and a slice are met in one job, each by a task that holds the block and reads the slice as it
+streams by. A cell returns at most k rows a query, and these are ranked in the end.
 
 Components become floor(256 * x), x as double. Vectors that are null, empty, or hold null or non-finite
 components take no part, nor do rows without id. Of vectors of different lengths, the shorter counts as
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, ship
+from ._common import ship, tidied
 
 QUERY_BLOCK = 4096
 #: Dimensions added at a time; queries and candidates that meet at once.
@@ -117,42 +119,75 @@ class Best:
 
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of every row that `is_query` selects."""
-    import pyarrow as pa
-
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    wanted = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    blocks = max(1, -(-wanted.count() // (block // 2)))  # half of the bound on average, so that hashing stays below it
-    found = None
-    for b in range(blocks):
-        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        got = own.toArrow()
-        keep, x = quantised(got.column(1).combine_chunks())
-        ids = got.column(0).to_numpy()[keep].astype(np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        first = Best(ids, x, k)
-        if len(ids):
-            first.scan(ids, x)
-        # in a partition, a row that only ties with this floor may still win by its id, so it passes
-        shared = spark.sparkContext.broadcast((ids, x, first.least))
-
-        def run(parts, shared=shared):
-            ids, x, least = shared.value
-            best = Best(ids, x, k)
-            best.floor, best.least = least, least.copy()
-            for part in parts:
-                keep, c = quantised(part.column(1))
-                if len(keep) and len(ids):
-                    best.scan(part.column(0).to_numpy()[keep], c)
-            flat = [(q, int(ids[q]), i, max(-_LONG - 1, min(_LONG, -s))) for q, own in enumerate(best.rows) for s, i in own]
-            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], pa.int64()) for j in range(4)], ["q", "query_id", "vec_id", "score"])
-
-        part = rows.mapInArrow(run, "q long, query_id long, vec_id long, score long").withColumn("q", F.col("q") * blocks + b)
-        if blocks > 1:
-            part = materialise(part, "topk")
-            shared.unpersist()
-        found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    wanted = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    n = wanted.count()
+    found = _broadcast(rows, wanted, k) if n <= block else _celled(rows, wanted, n, k, block)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _batch(best: Best, q: np.ndarray):
+    """Arrow rows (q, query_id, vec_id, score) of what is best, by the queries' own numbers."""
+    import pyarrow as pa
+
+    flat = [(int(q[n]), int(best.ids[n]), i, max(-_LONG - 1, min(_LONG, -s))) for n, own in enumerate(best.rows) for s, i in own]
+    return pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], pa.int64()) for j in range(4)], ["q", "query_id", "vec_id", "score"])
+
+
+_SCHEMA = "q long, query_id long, vec_id long, score long"
+
+
+def _broadcast(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    got = wanted.toArrow()
+    keep, x = quantised(got.column(1).combine_chunks())
+    ids = got.column(0).to_numpy()[keep].astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    first = Best(ids, x, k)
+    if len(ids):
+        first.scan(ids, x)
+    # in a partition, a row that only ties with this floor may still win by its id, so it passes
+    shared = rows.sparkSession.sparkContext.broadcast((ids, x, first.least))
+
+    def run(parts):
+        ids, x, least = shared.value
+        best = Best(ids, x, k)
+        best.floor, best.least = least, least.copy()
+        for part in parts:
+            keep, c = quantised(part.column(1))
+            if len(keep) and len(ids):
+                best.scan(part.column(0).to_numpy()[keep], c)
+        yield _batch(best, np.arange(len(ids)))
+
+    return rows.mapInArrow(tidied(run), _SCHEMA)
+
+
+def _celled(rows: DataFrame, wanted: DataFrame, n: int, k: int, block: int) -> DataFrame:
+    down = -(-n // max(1, block // 2))
+    across = max(1, -(-rows.sparkSession.sparkContext.defaultParallelism // down))
+    place = F.monotonically_increasing_id()  # rows that repeat an id are dealt apart
+    q = wanted.withColumn("r", place).select(F.pmod(F.xxhash64("r"), F.lit(down)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("j"), F.lit(0).alias("side"), "r", "id", "v")
+    c = rows.withColumn("r", place).select(F.explode(F.expr(f"sequence(0L, {down - 1}L)")).alias("i"), F.pmod(F.xxhash64("r"), F.lit(across)).cast("int").alias("j"), F.lit(1).alias("side"), "r", "id", "v")
+    cell = (F.col("i") * across + F.col("j")).cast("int")
+    dealt = q.unionByName(c).repartitionById(down * across, cell).sortWithinPartitions("side").select("side", "r", "id", "v")
+
+    def run(parts):
+        numbers, ids, xs, best = [], [], [], None
+        for part in parts:
+            side = part.column(0).to_numpy()
+            keep, x = quantised(part.column(3))
+            side, r, own = side[keep], part.column(1).to_numpy()[keep], part.column(2).to_numpy()[keep].astype(np.int64)
+            head = side == 0
+            if head.any():
+                numbers.append(r[head]), ids.append(own[head]), xs.append(x[head])
+            if not head.all() and ids:
+                if best is None:
+                    width = max(a.shape[1] for a in xs)
+                    best = Best(np.concatenate(ids), np.concatenate([_fit(a, width) for a in xs]), k)
+                best.scan(own[~head], x[~head])
+        if best is not None:
+            yield _batch(best, np.concatenate(numbers))
+
+    return dealt.mapInArrow(tidied(run), _SCHEMA)
