@@ -52,6 +52,25 @@ def ship(spark: SparkSession) -> None:
     sc._loomspark_shipped = True
 
 
+def tidied(run):
+    """For mapInArrow: run over a partition, then give the worker's free memory back, as workers outlive their tasks."""
+
+    def whole(parts):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder that the cluster names; a local default only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -129,7 +129,7 @@ class ByteBpe:
     SPACED, SPACED_FAST = regex.compile(r"\s*\S+|\s+"), re.compile(r"\s*\S+|\s+")
     SOLID = regex.compile(r"\S+")
     #: Distinct pieces whose encodings a worker keeps; beyond it only those of the batch at hand stay, so memory is bounded.
-    KEEP = 1_000_000
+    KEEP = 400_000
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -251,7 +251,7 @@ def digests(docs, vocab_path: str, id_col: str = "doc_id", text_col: str = "text
 
     import pyarrow as pa
 
-    from ._common import ship
+    from ._common import ship, tidied
 
     spark = docs.sparkSession
     ship(spark)
@@ -271,7 +271,7 @@ def digests(docs, vocab_path: str, id_col: str = "doc_id", text_col: str = "text
                     b.append(hashlib.sha256(enc.decode(own).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, {DIGEST}").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidied(run), f"id {id_type}, {DIGEST}").withColumnRenamed("id", id_col)
 
 
 def encode(docs, vocab_path: str, id_col: str = "doc_id", text_col: str = "text"):
@@ -280,7 +280,7 @@ def encode(docs, vocab_path: str, id_col: str = "doc_id", text_col: str = "text"
 
     import pyarrow as pa
 
-    from ._common import ship
+    from ._common import ship, tidied
 
     spark = docs.sparkSession
     ship(spark)
@@ -294,7 +294,7 @@ def encode(docs, vocab_path: str, id_col: str = "doc_id", text_col: str = "text"
                 ids = pa.array([np.frombuffer(x, "<i4") for x in enc.encode_batch(texts)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(start, len(texts)), ids], ["id", "ids"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidied(run), f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids"):
@@ -303,7 +303,7 @@ def decode(encoded, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids
 
     import pyarrow as pa
 
-    from ._common import ship
+    from ._common import ship, tidied
 
     spark = encoded.sparkSession
     ship(spark)
@@ -316,4 +316,4 @@ def decode(encoded, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids
             texts = [None if x is None else enc.decode(x) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(tidied(run), f"id {id_type}, text string").withColumnRenamed("id", id_col)

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, release, ship
+from ._common import discard, materialise, release, ship, tidied
 from .graph import components
 
 #: Ratio of a band's limits, and how many segments there are for each that linked sketches may differ in.
@@ -230,7 +230,7 @@ def _measured(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig binary, published long, slots int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n long, sig binary, published long, slots int, counts binary")
 
 
 def _ranks(measured: DataFrame) -> np.ndarray:
@@ -249,7 +249,7 @@ def _ranks(measured: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["slots", "counts"])
 
     rows = measured.where("slots IS NOT NULL").select("slots", "counts").repartition(16, "slots")
-    found = rows.mapInArrow(run, "slots int, counts binary").collect()  # 4 * SLOTS bytes
+    found = rows.mapInArrow(tidied(run), "slots int, counts binary").collect()  # 4 * SLOTS bytes
     # levels of about 1 %, of which 255 are kept that part the slots evenly, and evenly by size beyond 98 % of them
     level = lambda raw: (64 * np.log2(np.frombuffer(raw, np.uint32).astype(np.float32) + 1)).astype(np.int32)
     spread = np.zeros(64 * 33, np.int64)
@@ -322,7 +322,7 @@ def _published(docs: DataFrame, k: int, num: int, den: int, ranks: np.ndarray, b
         if waiting:
             yield from sent(found, names, int.from_bytes(names[0][:8]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, names binary, pivots binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "bucket int, keys binary, names binary, pivots binary")
 
 
 def _met(published: DataFrame, buckets: int) -> DataFrame:
@@ -377,7 +377,7 @@ def _met(published: DataFrame, buckets: int) -> DataFrame:
             k, name = np.concatenate(group_keys), np.concatenate(group_names).astype(">u8")
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), _names(np.ascontiguousarray(name).view(np.uint8)), pa.nulls(len(k), pa.binary())], names)
 
-    return published.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "key long, a binary, b binary")
+    return published.repartitionById(buckets, F.col("bucket")).mapInArrow(tidied(run), "key long, a binary, b binary")
 
 
 def _with_sketches(rows: DataFrame, k: int) -> DataFrame:
@@ -396,7 +396,7 @@ def _with_sketches(rows: DataFrame, k: int) -> DataFrame:
                 cols = list(zip(*found, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.string()), strict=True)], ["node", "n", "bits", "text"])
 
-    return rows.mapInArrow(run, "node binary, n long, bits binary, text string")
+    return rows.mapInArrow(tidied(run), "node binary, n long, bits binary, text string")
 
 
 def _near(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -411,7 +411,7 @@ def _near(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
 
     one = texts.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
     other = texts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    return pairs.join(other, "b").join(one, "a").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.join(other, "b").join(one, "a").select("a", "b", "n", "x", "m", "y").mapInArrow(tidied(run), "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -433,7 +433,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "s", "t").mapInArrow(tidied(run), "a binary, b binary")
 
 
 def _cells(parts):
@@ -505,9 +505,9 @@ def _settled(left: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     met = dealt(cells.join(texts.select("node", "n", "bits"), "node").select("key", "i", "j", "node", "component", "outer", "n", "bits"))
-    some = materialise(met.mapInArrow(partners, "key long, i int, j int, node binary, component binary, outer boolean"), "partners")
+    some = materialise(met.mapInArrow(tidied(partners), "key long, i int, j int, node binary, component binary, outer boolean"), "partners")
     exact = dealt(some.join(texts.select("node", "text"), "node").select("key", "i", "j", "node", "component", "outer", "text"))
-    out = materialise(exact.mapInArrow(links, "a binary, b binary"), "links")
+    out = materialise(exact.mapInArrow(tidied(links), "a binary, b binary"), "links")
     discard(some)
     return out
 

@@ -132,7 +132,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = 2048
     import pyarrow as pa
 
     from . import bpe
-    from ._common import ship
+    from ._common import ship, tidied
 
     spark = docs.sparkSession
     ship(spark)
@@ -162,4 +162,4 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = 2048
             yield rows(found, kind)
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.spark_partition_id().cast("long").alias("part"))
-    return out.mapInArrow(run, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidied(run), f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)

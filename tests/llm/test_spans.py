@@ -188,6 +188,8 @@ def test_threads(spark):
     )
     talk = {(r["conv_id"], r["thread_root"]): [m["turn"] for m in r["messages"]] for r in quotes.conversations(df).collect()}
     assert talk[1, 0] == [0, 1, 2, 3, 7]
+    places = {(r["conv_id"], r["turn"], r["place"]) for r in quotes.thread(df).collect()}
+    assert places == {(1, t, p) for p, t in enumerate([0, 1, 2, 3, 7, 4, 5, 6])} | {(None, 1, None), (2, 0, 0), (2, 1, 1), (3, 0, 0)}
     assert quotes.thread(df.limit(0)).collect() == []
 
 
