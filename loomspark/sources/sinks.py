@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.aggregates import trials
+from loomspark.operators.relational import prefix_samples
 
-def tab_separated(rows: DataFrame, path: str, single: bool = False) -> None:
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep="\t")
+
+def tab_separated(rows: DataFrame, path: str, single: bool = False, header: bool = False) -> None:
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep="\t", header=header)
+
+
+def trial_report(results: DataFrame, runs: DataFrame, path: str, value: str = "elapsed_ms") -> None:
+    """Results as tab-separated lines in `results`, and least, largest and mean time of the runs in `times`, with names on top."""
+    tab_separated(results, f"{path}/results")
+    tab_separated(trials(runs, value), f"{path}/times", single=True, header=True)
 
 
 def keyed_text(rows: DataFrame, key: str, value: Column, path: str) -> None:
@@ -45,9 +54,18 @@ def fold_files(rows: DataFrame, path: str, fold: str = "fold") -> None:
 
 
 def heads(rows: DataFrame, order: str, sizes: list[int], path: str) -> None:
-    """The first n rows for each n."""
-    for n in sizes:
-        rows.orderBy(order).limit(n).write.mode("overwrite").parquet(f"{path}/head={n}")
+    """The first n rows for each n, in folders head=n: the rows are put in order once."""
+    prefix_samples(rows, order, sizes, seed=None).withColumnRenamed("size", "head").write.mode("overwrite").partitionBy("head").parquet(path)
+
+
+def alignment_text(trees: DataFrame, path: str) -> None:
+    """Derivations as lines, in folder `trees`, and their counts as `name<TAB>count` lines in `counts`."""
+    from loomspark.operators.nlp import alignment_counts
+
+    trees.where("tree IS NOT NULL").select("tree").write.mode("overwrite").text(f"{path}/trees")
+    counts = alignment_counts(trees)
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in counts.columns])).alias("s")).select("s.*")
+    keyed_text(long, "name", F.col("n").cast("string"), f"{path}/counts")
 
 
 def upserted(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +73,66 @@ def test_streams_equal_batches(spark, tmp_path):
     want = {r["user_id"]: (r["n"], round(r["m"], 6)) for r in spark.read.parquet(f"file://{tmp_path}/in").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()}
     assert got == want
     fit = E.StreamedDescent(["value"], "value", 0.0001)
-    q = stream.writeStream.foreachBatch(fit).start()
+    batches = []
+    q = stream.writeStream.foreachBatch(lambda b, i: (batches.append([r["value"] for r in b.select("value").collect()]), fit(b, i))).start()
     q.processAllAvailable()
     q.stop()
-    assert fit.weights["value"] == pytest.approx(fit.weights["value"]) and fit.weights["value"] > 0
+    w = np.zeros(2)  # a step for each batch, by hand
+    for own in batches:
+        x = np.c_[np.ones(len(own)), own]
+        w -= 0.0001 * x.T @ (x @ w - own) / len(own)
+    assert [fit.weights["bias"], fit.weights["value"]] == pytest.approx(w.tolist()) and len(batches) == 3
+
+
+def test_session_stream_equals_batch(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(2).write.parquet(f"file://{tmp_path}/in")
+    stream = E.source(spark, f"file://{tmp_path}/in", events.schema)
+    q = E.sessions(stream, "2 days", "60 days").writeStream.outputMode("complete").format("memory").queryName("sessions").start()
+    q.processAllAvailable()
+    q.stop()
+    show = lambda df: sorted((r["user_id"], str(r["start"]), str(r["end"]), r["n"]) for r in df.collect())
+    assert show(spark.table("sessions")) == show(E.sessions(events, "2 days"))
+
+
+def test_more_readers(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in.csv", "x,y\n" + "".join(f"{i},{i / 2}\n" for i in range(25_000)))
+        z.writestr("other.csv", "1,2\n")
+    got = S.zipped_csv(spark, f"file://{tmp_path}/a.zip", "in.csv", "x int, y double", header=True)
+    assert got.count() == 25_000 and got.agg(F.sum("x"), F.sum("y")).first() == (312487500, 156243750.0)
+    df = spark.range(100).withColumnRenamed("id", "k")
+    assert sorted(r["k"] for r in S.row_range(df, "k", 10, 13).collect()) == [10, 11, 12]
+    for i in range(3):
+        df.where(f"k % 3 = {i}").write.parquet(f"file://{tmp_path}/iter{i}")
+    assert S.part_files(spark, f"file://{tmp_path}/iter*").count() == 100
+    assert spark.createDataFrame([("<TAGS><TAG>a</TAG><tag>b</tag></TAGS>",)], "t string").select(S.tags_of(F.col("t")).alias("x")).first()["x"] == ["a", "b"]
+    assert S.unlabelled(spark.createDataFrame([(None, 1.0), (None, None), (1, 2.0)], "label int, margin double"), margin="margin").count() == 1
+    lines = put(tmp_path / "a.arff", "@relation x\n0.1,0.5,car\n0.2,0.6,van\n")
+    assert S.arff(spark, lines, keep=lambda c: c.endswith("car"), label=lambda c: (c == "car").cast("int")).collect() == [([0.1, 0.5], 1)]
+    pairs = put(tmp_path / "pairs", "a b\tja\t-1.5\nx\ty\t-2.0\na b\tja\t-0.5\nx\ty\t3.0\nx y z\n")
+    assert sorted(map(tuple, S.translation_dictionary(spark, pairs).collect())) == [("a b", "ja", -0.5), ("x", "y", -2.0)]
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", [1.0, 2.5], 1, 0), ("b", [3.0, 4.0], 0, 1)], "k string, x array<double>, y int, fold int")
+    at = f"file://{tmp_path}"
+    K.tab_separated(df.select("k", "y"), f"{at}/tsv", single=True, header=True)
+    assert sorted(r["value"] for r in spark.read.text(f"{at}/tsv").collect()) == ["a\t1", "b\t0", "k\ty"]
+    K.columnar(df, f"{at}/col", ["fold"])
+    assert spark.read.parquet(f"{at}/col/fold=1").first()["k"] == "b"
+    K.fold_files(df, f"{at}/folds")
+    assert spark.read.parquet(f"{at}/folds").where("fold = 0").count() == 1
+    K.single_file(df.select("k"), f"{at}/one")
+    assert sorted(r["value"] for r in spark.read.text(f"{at}/one").collect()) == ["a", "b"]
+    K.delimited(df, "x", "y", f"{at}/d")
+    assert sorted(r["value"] for r in spark.read.text(f"{at}/d").collect()) == ["1.0,2.5,1", "3.0,4.0,0"]
+    K.heads(spark.range(50).withColumnRenamed("id", "k"), "k", [2, 5], f"{at}/heads")
+    assert sorted(r["k"] for r in spark.read.parquet(f"{at}/heads/head=5").collect()) == [0, 1, 2, 3, 4]
+    K.trial_report(df.select("k", "y"), spark.createDataFrame([(1.0,), (3.0,)], "elapsed_ms double"), f"{at}/trial")
+    assert {r["value"] for r in spark.read.text(f"{at}/trial/times").collect()} == {"least\tmost\tmean", "1.0\t3.0\t2.0"}
+    trees = spark.createDataFrame([(1, "[ a/b < c/EPSILON EPSILON/and/or > ]"), (2, None)], "id long, tree string")
+    K.alignment_text(trees, f"{at}/align")
+    assert {r["value"] for r in spark.read.text(f"{at}/align/counts").collect()} == {"alignments\t1", "translations\t1", "source_only\t1", "target_only\t1", "in_order\t1", "reversed\t1"}
