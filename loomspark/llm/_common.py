@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,7 +39,7 @@ def fresh(name: str, taken: list[str]) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors once, so that their Python workers can import it."""
+    """Send this package's source to the executors once, so that their Python workers can import it; the driver serves it while it lives."""
     sc = spark.sparkContext
     if getattr(sc, "_loomspark_shipped", False):
         return
@@ -46,27 +48,34 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(blob, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    where = os.path.join(tempfile.mkdtemp(), f"loomspark_{uuid.uuid4().hex[:8]}.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)
+    where = os.path.join(folder, f"loomspark_{uuid.uuid4().hex[:8]}.zip")
     Path(where).write_bytes(blob.getvalue())
     sc.addPyFile(where)
     sc._loomspark_shipped = True
 
 
+def trim() -> None:
+    """Give this process's free memory back to the system, where Arrow and the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def tidied(run):
     """For mapInArrow: run over a partition, then give the worker's free memory back, as workers outlive their tasks."""
 
     def whole(parts):
-        import ctypes
-
-        import pyarrow as pa
-
         try:
             yield from run(parts)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
-            if trim:
-                trim(0)
+            trim()
 
     return whole
 
@@ -104,6 +113,7 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of tables that nothing refers to any more, now rather than some time later."""
+    """Let Spark drop the shuffle files of tables that nothing refers to any more, and the driver its free memory, now rather than some time later."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()

@@ -532,6 +532,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     rows, sent = seen.agg(F.count("*"), F.coalesce(F.sum("published"), F.lit(0))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sent * 25 // TASK))
     met = materialise(_met(_published(docs, words, num, den, _ranks(measured), buckets), buckets), "met")
+    release(spark)
     own = seen.where("n > 0 AND doc_id IS NOT NULL")
     sets = own.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     # sets that share a doc_id are linked by it
@@ -546,6 +547,7 @@ def classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> D
     if not own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         found = found.dropDuplicates(["sig", "text"])  # rows that repeat an id
     texts = materialise(_with_sketches(found, words), "texts")
+    release(spark)
 
     links, merged, left, turn = None, None, groups, 0
     while True:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
+from ._common import release
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive groups match what the plain ones do and keep long runs linear; an address
@@ -273,6 +274,7 @@ def train(docs: DataFrame, text: str = "text", n: int = EXAMPLES, documents: int
         right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
         good = np.flatnonzero(right >= PRECISION)
         limits.append(float(max(z[own][order][good[-1]], 0.0)) if len(good) else 1e9)
+    release(spark)
     return start, grown, tuple(limits)
 
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, held_out, ship, tidied
+from ._common import fresh, held_out, release, ship, tidied
 
 BITS = 20
 #: Bytes of the beginnings that are terms besides whole words: they catch inflected and compounded insults.
@@ -99,33 +99,36 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7, totals: tupl
     size = len(kept)
     w, drift, seen = np.zeros(size), np.zeros(size), np.zeros(size)  # weights, and their gradients' corrected sum and squares
     paired = np.bincount(np.concatenate([o for o, t in zip(own, y, strict=False) if t] or [np.empty(0, np.int32)]), minlength=size) >= LEAST
+    share = 1 / np.maximum(1, np.array([paired[o].sum() for o in own]))
     v = rng.normal(0, SPREAD, (size, FACTORS)) * paired[:, None]
     moved = np.full(size, 1e-2)
     sparse, shrink = SPARSE * fit_n**0.5, SHRINK / fit_n**0.5
+    sums = lambda x, where, n: np.stack([np.bincount(where, c, n) for c in x.T], 1)
     for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(fit_n), max(1, fit_n // 64)):
-            lens = np.array([len(own[i]) for i in part])
-            if not lens.any():
-                continue
+        live = np.flatnonzero(v.any(1))
+        place = np.full(size, -1, np.int32)
+        place[live] = np.arange(len(live))
+        for part in np.array_split(rng.permutation(fit_n), max(1, min(fit_n // 16, max(32, fit_n // 256)))):
             flat = np.concatenate([own[i] for i in part])
-            row = np.repeat(np.arange(len(part)), lens)
-            at, inv = np.unique(flat, return_inverse=True)
-            sums = lambda x, where, n: np.stack([np.bincount(where, c, n) for c in x.T], 1)
-            f = v[flat]
-            s = sums(f, row, len(part))
-            share = 1 / np.maximum(1, np.bincount(row, paired[flat], len(part)))
-            z = bias + np.bincount(row, w[flat], len(part)) + 0.5 * share * ((s * s).sum(1) - np.bincount(row, (f * f).sum(1), len(part)))
+            row = np.repeat(np.arange(len(part)), [len(own[i]) for i in part])
+            at = place[flat]
+            among = at >= 0
+            at, near = at[among], row[among]  # terms with factors
+            f = v[live][at]
+            s = sums(f, near, len(part))
+            z = bias + np.bincount(row, w[flat], len(part)) + 0.5 * share[part] * ((s * s).sum(1) - np.bincount(near, (f * f).sum(1), len(part)))
             e = weight[part] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part])
-            g = np.bincount(inv, e[row], len(at))
-            drift[at] += g - (np.sqrt(seen[at] + g * g) - np.sqrt(seen[at])) / RATE * w[at]
-            seen[at] += g * g
-            w[at] = -np.sign(drift[at]) * np.maximum(0, np.abs(drift[at]) - sparse) / ((0.1 + np.sqrt(seen[at])) / RATE + RIDGE)
-            g = sums((e * share)[row][:, None] * (s[row] - f), inv, len(at)) * paired[at][:, None]
-            moved[at] += (g * g).sum(1)
-            step = STEP / np.sqrt(moved[at])
-            new = v[at] - step[:, None] * g
-            length = np.sqrt((new * new).sum(1)) + 1e-12
-            v[at] = new * np.maximum(0, 1 - step * shrink * np.bincount(inv, minlength=len(at)) / length)[:, None]
+            g = np.bincount(flat, e[row], size)
+            drift += g - (np.sqrt(seen + g * g) - np.sqrt(seen)) / RATE * w
+            seen += g * g
+            w = -np.sign(drift) * np.maximum(0, np.abs(drift) - sparse) / ((0.1 + np.sqrt(seen)) / RATE + RIDGE)
+            if len(live):
+                g = sums((e * share[part])[near][:, None] * (s[near] - f), at, len(live))
+                moved[live] += (g * g).sum(1)
+                step = STEP / np.sqrt(moved[live])
+                new = v[live] - step[:, None] * g
+                length = np.sqrt((new * new).sum(1)) + 1e-12
+                v[live] = new * np.maximum(0, 1 - step * shrink * np.bincount(at, minlength=len(live)) / length)[:, None]
     w, v = w.astype(np.float32), v.astype(np.float32)
     model = Model(slot, bias, w, v, paired)
     z, t, u = np.array([model.raw(r) for r in rows[fit_n:]]), y[fit_n:], weight[fit_n:]
@@ -160,7 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     found = sorted((r["h"], r["toxic"], r["terms"]) for r in learned.distinct().orderBy(F.xxhash64("h", "terms")).limit(2 * most).collect())
     all_ = {r["toxic"]: r["count"] for r in docs.where("text IS NOT NULL").select("doc_id").join(told, "doc_id").groupBy("toxic").count().collect()}
     totals = (all_.get(0, 0), all_.get(1, 0))
-    return train([np.frombuffer(t, np.int32) for _, _, t in found], [y for _, y, _ in found], totals=totals)
+    model = train([np.frombuffer(t, np.int32) for _, _, t in found], [y for _, y, _ in found], totals=totals)
+    del found
+    release(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
