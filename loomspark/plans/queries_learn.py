@@ -433,9 +433,30 @@ def kmeans_step(spark, sf_dir):
     return kmeans.update(kmeans.assign(v, s), s).select("cluster", F.posexplode("centre").alias("i", "m")).select("cluster", "i", F.round("m", 6).alias("m"))
 
 
-@register()
+#: Rows that the trials begin with, by rule: twelve a trial.
+SEEDS = [[1 + (37 * t + 11 * j) % 400 for j in range(12)] for t in range(5)]
+
+
+def _trials_sql(ks: list[int], rounds: int) -> str:
+    seeds = ", ".join(f"({k}, {t}, {j}, {s})" for k in ks for t, own in enumerate(SEEDS) for j, s in enumerate(own[:k]))
+    parts = [f"c0 AS MATERIALIZED (SELECT k, t, c, embedding::DOUBLE[] AS x FROM (VALUES {seeds}) AS v(k, t, c, s) JOIN embeddings ON vec_id = s)"]
+    near = "SELECT k, t, e.vec_id, arg_min(c, (list_distance(e.embedding::DOUBLE[], c.x), c)) AS c, min(power(list_distance(e.embedding::DOUBLE[], c.x), 2)) AS d, any_value(e.embedding::DOUBLE[]) AS y FROM embeddings e, c{} c GROUP BY 1, 2, 3"
+    for r in range(rounds):
+        mean = f"SELECT k, t, c, list(m ORDER BY i) AS x FROM (SELECT k, t, c, i, avg(v) AS m FROM (SELECT k, t, c, unnest(y) AS v, generate_subscripts(y, 1) AS i FROM ({near.format(r)})) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT o.k, o.t, o.c, coalesce(n.x, o.x) AS x FROM c{r} o LEFT JOIN ({mean}) n USING (k, t, c))")
+    sse = f"(SELECT k, t, sum(d) AS sse FROM ({near.format(rounds)}) GROUP BY 1, 2)"
+    return f"WITH {', '.join(parts)} SELECT CAST(k AS INT) AS k, round(avg(sse), 6) AS mean, round(avg(sse) - 2 * stddev_samp(sse), 6) AS low, round(avg(sse) + 2 * stddev_samp(sse), 6) AS high FROM {sse} GROUP BY k"
+
+
+@register(_trials_sql([1, 2, 3, 4], 8))
 def kmeans_trials(spark, sf_dir):
-    return kmeans.trials(vectors(spark, sf_dir), [[1, 2, 3], [11, 12, 13]], [1, 2], 5)
+    return kmeans.trials(vectors(spark, sf_dir), SEEDS, [1, 2, 3, 4], 8).select("k", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@register()
+def kmeans_all_trials(spark, sf_dir):
+    """All numbers of clusters up to twelve, to where the centres stay."""
+    return kmeans.trials(vectors(spark, sf_dir), SEEDS, list(range(1, 13)), 50).select("k", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 # --- margins ---

@@ -9,7 +9,7 @@ from loomspark.functions import text as X
 from loomspark.functions import vectors as V
 from loomspark.operators import aggregates as A
 from loomspark.operators import relational as R
-from loomspark.plans.registry import FEATURES, ITEMS, WEB_EDGES, item_features, read, readings, register, vectors, web_links
+from loomspark.plans.registry import FEATURES, ITEMS, WEB_EDGES, item_features, read, readings, register, spread, vectors, web_links
 from loomspark.streaming import events as S
 
 # --- aggregates ---
@@ -56,12 +56,12 @@ def time_series(spark, sf_dir):
 
 @register(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY word")
 def word_count(spark, sf_dir):
-    return A.word_count(read(spark, sf_dir, "documents"))
+    return A.word_count(spread(read(spark, sf_dir, "documents").select("text")))
 
 
 @register(r"SELECT match, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b([a-z]+ing)\b', 1)) AS match FROM documents) GROUP BY match ORDER BY n DESC, match DESC LIMIT 50")
 def regex_top50(spark, sf_dir):
-    return A.regex_count(read(spark, sf_dir, "documents"), r"\b([a-z]+ing)\b")
+    return A.regex_count(spread(read(spark, sf_dir, "documents").select("text")), r"\b([a-z]+ing)\b")
 
 
 @register(

@@ -25,6 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores, dealt over these before costly work on each row; others stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as station readings: views are lows, clicks are highs."""
     return read(spark, sf_dir, "events").selectExpr("user_id AS station", "ts", "event_type AS type", "value")

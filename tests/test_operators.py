@@ -463,3 +463,42 @@ def test_bigram_grammar_samples_its_corpus(spark):
 def test_alignment_counts_by_hand(spark):
     got = N.alignment_counts(spark.createDataFrame([(1, "[ a/b < c/EPSILON EPSILON/and/or > ]"), (2, None), (3, "<num>/<num>")], "id long, tree string")).first().asDict()
     assert got == {"alignments": 2, "translations": 2, "source_only": 1, "target_only": 1, "in_order": 1, "reversed": 1}
+
+
+def test_small_functions(spark):
+    from loomspark.functions import text as X
+
+    df = spark.createDataFrame([("A:b:c", "Don't  Stop\n1x!", ["x", "y"], 1, 2)], "a string, b string, c array<string>, i int, j int")
+    r = df.select(X.split_once(F.col("a")).alias("s"), X.plain_letters(F.col("b")).alias("p"), X.prefixed(F.col("c"), "#").alias("m"), V.manhattan(F.col("i"), F.col("j"), F.lit(4), F.lit(0)).alias("d"), V.normal_pdf(F.lit(1.0), F.lit(0.0), F.lit(4.0)).alias("n")).first()
+    assert (r["s"], r["p"], r["m"], r["d"]) == (["A", "b:c"], "dont stop x", ["#x", "#y"], 5) and r["n"] == pytest.approx(math.exp(-1 / 8) / math.sqrt(8 * math.pi))
+    rows = spark.range(60).repartition(3)
+    assert sum(x["n"] for x in A.partition_counts(rows).collect()) == 60
+    assert R.union_all(rows, rows, rows).count() == 180
+    folds = {x["id"]: x["fold"] for x in R.hash_folds(rows, "id", 4).collect()}
+    assert folds == {x["id"]: x["fold"] for x in R.hash_folds(rows.coalesce(1), "id", 4).collect()} and set(folds.values()) == {0, 1, 2, 3}
+
+
+def test_digits_by_rectangles_and_output_codes(spark):
+    """Two strokes, upright and lying, as pictures of 28 x 28: rectangle features and output codes tell them apart."""
+    from loomspark.operators.ml import images
+
+    rng = np.random.default_rng(7)
+    rows, boxes = [], images.rectangles(28, 28, 8)
+    assert all(130 <= (b - t) * (r - l) <= 170 for t, l, b, r in boxes)
+    for i in range(80):
+        p = (rng.random((28, 28)) < 0.05) * 255
+        kind = i % 3
+        if kind == 0:
+            p[:, 10:14] = 255
+        elif kind == 1:
+            p[20:24, :] = 255
+        rows.append((i, 28, 28, bytearray(p.astype(np.uint8).tobytes()), kind))
+    df = images.haar(spark.createDataFrame(rows, "id long, rows int, cols int, pixels binary, label int"), boxes)
+    first = df.orderBy("id").first()
+    black = np.frombuffer(bytes(rows[0][3]), np.uint8).reshape(28, 28) > 127
+    t, l, b, r = boxes[0]
+    y, x = (t + b) // 2, (l + r) // 2
+    assert first["features"][:2] == [black[t:y, l:r].sum() - black[y:b, l:r].sum(), black[t:b, l:x].sum() - black[t:b, x:r].sum()]
+    v = df.select("label", *[F.col("features")[i].alias(f"f{i}") for i in range(16)]).cache()
+    said = trees.output_codes(v, [f"f{i}" for i in range(16)], "label", [0, 1, 2], bits=3, rounds=2)
+    assert v.where(said == F.col("label")).count() >= 72
