@@ -80,6 +80,17 @@ def tidied(run):
     return whole
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows from the driver. As an Arrow table it needs no Python worker on the executors."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder that the cluster names; a local default only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

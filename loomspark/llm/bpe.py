@@ -128,6 +128,8 @@ class ByteBpe:
     WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     SPACED, SPACED_FAST = regex.compile(r"\s*\S+|\s+"), re.compile(r"\s*\S+|\s+")
     SOLID = regex.compile(r"\S+")
+    #: A mark that ends a word: a word of its own to the pattern, so the word before it can be one piece wherever it stands.
+    CLOSED = re.compile(r"(?<=[a-z0-9])([,.])(?=\s)")
     #: Distinct pieces whose encodings a worker keeps; beyond it only those of the batch at hand stay, so memory is bounded.
     KEEP = 400_000
 
@@ -153,7 +155,7 @@ class ByteBpe:
         if self.special and "<|" in text and self.any_special.search(text):
             out: list[str] = []
             for part in self.any_special.split(text):
-                out += [part] if part in self.special else self._runs(part)
+                out += [f" {part}"] if part in self.special else self._runs(part)  # no run begins so
             return out
         return self._runs(text)
 
@@ -163,17 +165,14 @@ class ByteBpe:
             return (self.SPACED if odd else self.SPACED_FAST).findall(text)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        return self.SOLID.findall(text) if odd else text.split()
+        low = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # str.lower looks around that letter
+        low = self.CLOSED.sub(r" \1", low)
+        return self.SOLID.findall(low) if odd else low.split()
 
     def _words(self, piece: str) -> list[bytes]:
-        """The piece's words; the first two cases are what the pattern gives for most pieces of prose."""
+        """The piece's words; the simple cases are what the pattern gives for most pieces of prose."""
         if self.words:
-            low = piece.lower() if "Σ" not in piece else "".join(c.lower() for c in piece)  # str.lower looks around that letter
-            if low.isalpha():
-                return [low.encode()]
-            if low[-1] in ",." and low[:-1].isalpha():
-                return [low[:-1].encode(), low[-1].encode()]
-            return [w.encode() for w in self.WORD.findall(low)]
+            return [piece.encode()] if piece.isalpha() else [w.encode() for w in self.WORD.findall(piece)]
         if piece[0] == " ":
             if piece[1:].isalpha():
                 return [piece.encode()]
@@ -188,7 +187,7 @@ class ByteBpe:
             self.known = {m: self.known[m] for m in now & self.known.keys()}
         known = self.known
         missing = list(now - known.keys())
-        split = [self._words(m) if m not in self.special else [] for m in missing]
+        split = [self._words(m) if m[1:] not in self.special or m[0] != " " else [] for m in missing]
         order = dict.fromkeys([w for ws in split for w in ws])
         ids, counts = self.merges.encode(list(order))
         blob = ids.astype("<u4").tobytes()
@@ -197,8 +196,9 @@ class ByteBpe:
             order[w] = blob[first:last]
         for m, ws in zip(missing, split, strict=True):
             known[m] = order[ws[0]] if len(ws) == 1 else b"".join([order[w] for w in ws])
-        for m in self.special.keys() & known.keys():
-            known[m] = np.array([self.special[m]], "<u4").tobytes()
+        for m, i in self.special.items():
+            if f" {m}" in known:
+                known[f" {m}"] = np.array([i], "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from ._common import release
+from ._common import release, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive groups match what the plain ones do and keep long runs linear; an address
@@ -258,7 +258,7 @@ def train(docs: DataFrame, text: str = "text", n: int = EXAMPLES, documents: int
     spark = docs.sparkSession
     seen, mails = _from_documents(docs, text, documents, proposals)
     made = examples(n) + [rewritten(b, v, a, h) for b, v, a, h in mails]
-    df = spark.createDataFrame([(i, t, a, b, y) for i, (t, a, b, y) in enumerate(made)], "i int, text string, a int, b int, y int")
+    df = small(spark, [(i, t, a, b, y) for i, (t, a, b, y) in enumerate(made)], "i int, text string, a int, b int, y int")
     found = _with_proposals(_with_base(df, "text")).select("i", "y", "a", "b", F.explode("_more").alias("x"))
     rows = found.select("i", (F.expr("x.s < b AND a < x.e").cast("int") * F.col("y")).alias("label"), *[f"x.f.{f}" for f in FEATURES]).collect()
     rows = sorted(map(tuple, rows)) + [(len(made) + i, 0, *r[1:]) for i, r in enumerate(seen)]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pii, trees
+from ._common import small
 
 #: Generators, in order: pattern, and what a text must hold for it to be worth trying. Secrets have no greatest
 #: length; possessive groups keep long runs linear.
@@ -140,7 +141,7 @@ def train(docs: DataFrame, text: str = "text", n: int = EXAMPLES) -> tuple[list,
     """The forest, the least share of its votes, and the dictionary."""
     words = vocabulary(docs, text)
     made = examples(n, words=words)
-    df = docs.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(made)], "i int, path string, text string, a int, b int, y int")
+    df = small(docs.sparkSession, [(i, *r) for i, r in enumerate(made)], "i int, path string, text string, a int, b int, y int")
     found = _with_candidates(df, "text", "path", words).select("i", "y", "a", "b", F.explode("_found").alias("x"))
     rows = found.select("i", (F.expr("x.s < b AND a < x.e").cast("int") * F.col("y")).alias("label"), *[f"x.f.{f}" for f in FEATURES]).collect()
     rows.sort(key=tuple)

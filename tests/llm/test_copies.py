@@ -131,3 +131,63 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up if root(x) != x}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def beyond_the_threshold(n, pairs, seed=9):
+    """Texts of one passage, each with edits of its own that take it beyond the threshold of all others, and near copies of some."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for j in range(5):
+            own[60 * j + rng.randrange(50)] = f"e{i}x{j}"
+        rows.append(own)
+    for i in range(pairs):
+        own = list(rows[rng.randrange(n)])
+        own[rng.randrange(300)] = f"c{i}"
+        rows.append(own)
+    return [(f"d{i:05d}", " ".join(w)) for i, w in enumerate(rows)]
+
+
+def brute_by_matrix(rows, k, num, den):
+    """Least reachable id, from the intersections of all sets as one product of matrices."""
+    import numpy as np
+
+    sets = [jaccard.shingles(t, k) for _, t in rows]
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    shared = every[counts > 1]
+    x = np.zeros((len(sets), len(shared)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(shared, s)
+        at[at == len(shared)] = 0
+        x[i, at[shared[at] == s]] = 1
+    common = x @ x.T
+    n = np.array([len(s) for s in sets])
+    up = {i: i for i, _ in rows}
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i, j in np.argwhere(np.triu(den * common >= num * (n[:, None] + n[None] - common), 1)):
+        a, b = root(rows[i][0]), root(rows[j][0])
+        up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in up}
+
+
+def test_text_ids_and_a_large_group_beyond_the_threshold(spark):
+    rows = beyond_the_threshold(700, 120)
+    want = brute_by_matrix(rows, 5, 80, 100)
+    assert 600 < len(set(want.values())) < 710
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.classes(df, 5, 80, 100).collect()} == want
+    kept = jaccard.keep_first(df)
+    assert {r["doc_id"] for r in kept.collect()} == set(want.values())
+
+
+def test_which_row_of_an_id_stays(spark):
+    rows = [("a", "the first text of this id is the least one", 2), ("a", "zebras come last in the order of texts here", 1), ("b", "the first text of this id is the least one", 3), ("c", None, 1), ("c", "", 1), ("c", None, 0), ("d", "x y", 5), ("d", "x y", 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n int")
+    assert sorted(map(tuple, jaccard.keep_first(df).collect())) == [("a", "the first text of this id is the least one", 2), ("c", "", 1), ("d", "x y", 4)]
