@@ -105,12 +105,25 @@ class _Links(HTMLParser):
             self.depth -= 1
 
 
-def links_in(container: tuple[str, str] | None = ("div", "bodyContent")):
-    """Arrow UDF: hrefs of a page in order; null for null. State never outlives a page."""
+def well_formed(page: str) -> bool:
+    """Whether an XML parser takes the page to its end; names of HTML's entities are known to it."""
+    from xml.parsers import expat
+
+    parser = expat.ParserCreate()
+    parser.UseForeignDTD(True)  # entities that aren't declared are skipped
+    try:
+        parser.Parse(page, True)
+    except expat.ExpatError:
+        return False
+    return True
+
+
+def links_in(container: tuple[str, str] | None = ("div", "bodyContent"), strict: bool = False):
+    """Arrow UDF: hrefs of a page in order; null for null, and for pages that aren't well-formed if strict. State never outlives a page."""
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def walk(pages: pd.Series) -> pd.Series:
         def one(page):
-            if page is None:
+            if page is None or strict and not well_formed(page):
                 return None
             p = _Links(container)
             p.feed(page)

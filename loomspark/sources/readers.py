@@ -41,11 +41,12 @@ def named_pages(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths)).where(F.instr("value", ":") > 0).select(s[0].alias("name"), s[1].alias("html")).where(F.col("name").rlike("^[^~]+$"))
 
 
-def page_links(pages: DataFrame, container: tuple[str, str] | None = ("div", "bodyContent"), pattern: str | None = None, dedupe: bool = True) -> DataFrame:
-    """(page, targets) of pages (name, html)."""
+def page_links(pages: DataFrame, container: tuple[str, str] | None = ("div", "bodyContent"), pattern: str | None = None, dedupe: bool = True, strict: bool = False) -> DataFrame:
+    """(page, targets) of pages (name, html). Pages without html are left out, as are those that aren't well-formed if strict."""
     from loomspark.functions import text as X
 
-    hrefs = X.links_in(container)(F.col("html"))
+    pages = pages.select("name", X.links_in(container, strict)(F.col("html")).alias("_hrefs")).where("_hrefs IS NOT NULL")
+    hrefs = F.col("_hrefs")
     named = F.filter(F.transform(hrefs, lambda h: X.page_of(h, pattern or X.PAGE_LINK)), lambda h: h.isNotNull())
     return pages.select(F.col("name").alias("page"), (F.array_distinct(named) if dedupe else named).alias("targets"))
 

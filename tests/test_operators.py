@@ -502,3 +502,14 @@ def test_digits_by_rectangles_and_output_codes(spark):
     v = df.select("label", *[F.col("features")[i].alias(f"f{i}") for i in range(16)]).cache()
     said = trees.output_codes(v, [f"f{i}" for i in range(16)], "label", [0, 1, 2], bits=3, rounds=2)
     assert v.where(said == F.col("label")).count() >= 72
+
+
+def test_pages_that_do_not_parse_are_left_out(spark):
+    from loomspark.plans.shipping import ship
+    from loomspark.sources import readers as S
+
+    ship(spark)
+    link = '<div id="bodyContent"><a href="../b/B.html">x&nbsp;y</a></div>'
+    pages = spark.createDataFrame([("A", f"<html>{link}</html>"), ("C", f"<html>{link}<p></html>"), ("D", None)], "name string, html string")
+    assert {r["page"]: r["targets"] for r in S.page_links(pages, strict=True).collect()} == {"A": ["B"]}
+    assert {r["page"] for r in S.page_links(pages).collect()} == {"A", "C"}
