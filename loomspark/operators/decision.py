@@ -194,6 +194,10 @@ def joint_positions(places: DataFrame, targets: int) -> DataFrame:
     return out
 
 
+def _at_jail(places, target: int, jail):
+    return F.transform(places, lambda p, i: F.when(i == target, F.lit(jail)).otherwise(p))
+
+
 def joint_particle_filter(particles: DataFrame, emissions: list[dict | None], moves: dict, seed: int = 1, jail: str | None = None) -> DataFrame:
     """One tick for particles (particle, places array) of several targets: weigh, resample over all particles, move.
 
@@ -211,7 +215,7 @@ def joint_particle_filter(particles: DataFrame, emissions: list[dict | None], mo
     spots = F.col("places")
     for t, e in enumerate(emissions):
         if e is None:
-            spots = F.transform(spots, lambda p, i, t=t: F.when(i == t, F.lit(jail)).otherwise(p))
+            spots = _at_jail(spots, t, jail)
             continue
         table = F.create_map(*[F.lit(v) for kv in sorted(e.items()) for v in (kv[0], float(kv[1]))]) if e else None
         weight = weight * (F.coalesce(table[F.col("places")[t]], F.lit(0.0)) if table is not None else F.lit(0.0))

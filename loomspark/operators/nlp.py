@@ -162,9 +162,8 @@ def align(pairs: DataFrame, dictionary: DataFrame, swap: bool = True) -> DataFra
 def alignment_counts(trees: DataFrame) -> DataFrame:
     """Word pairs, words against nothing on either side, and both kinds of brackets, from the tokens of the derivations."""
     token = trees.select("tree", F.explode_outer(F.split("tree", " ")).alias("x"))
-    left, right = F.regexp_extract("x", "^(.*)/", 1), F.substring_index("x", "/", -1)
-    word = F.instr("x", "/") > 0
-    kind = F.when(F.col("x") == "[", "in_order").when(F.col("x") == "<", "reversed").when(word & (left == NOTHING), "target_only").when(word & (right == NOTHING), "source_only").when(word, "translations")
+    x = F.col("x")
+    kind = F.when(x == "[", "in_order").when(x == "<", "reversed").when(x.startswith(f"{NOTHING}/"), "target_only").when(x.endswith(f"/{NOTHING}"), "source_only").when(F.instr("x", "/") > 0, "translations")
     counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("translations", "source_only", "target_only", "in_order", "reversed")]
     return trees.agg(F.count("tree").alias("alignments")).crossJoin(token.select(kind.alias("kind")).agg(*counts))
 

@@ -42,10 +42,11 @@ def named_pages(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def page_links(pages: DataFrame, container: tuple[str, str] | None = ("div", "bodyContent"), pattern: str | None = None, dedupe: bool = True, strict: bool = False) -> DataFrame:
-    """(page, targets) of pages (name, html). Pages without html are left out, as are those that aren't well-formed if strict."""
+    """(page, targets) of pages (name, html); null without html. If strict, pages that aren't well-formed are left out, and those without html."""
     from loomspark.functions import text as X
 
-    pages = pages.select("name", X.links_in(container, strict)(F.col("html")).alias("_hrefs")).where("_hrefs IS NOT NULL")
+    pages = pages.select("name", X.links_in(container, strict)(F.col("html")).alias("_hrefs"))
+    pages = pages.where("_hrefs IS NOT NULL") if strict else pages
     hrefs = F.col("_hrefs")
     named = F.filter(F.transform(hrefs, lambda h: X.page_of(h, pattern or X.PAGE_LINK)), lambda h: h.isNotNull())
     return pages.select(F.col("name").alias("page"), (F.array_distinct(named) if dedupe else named).alias("targets"))
