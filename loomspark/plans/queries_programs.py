@@ -156,9 +156,9 @@ def box_heuristic(spark, sf_dir):
 
 def _tour_sql(start: str, dots: list[str]) -> str:
     far = f"d AS MATERIALIZED (SELECT src, dst, min(n) AS n FROM w GROUP BY 1, 2), v AS (SELECT unnest({dots}) AS dot)"
-    steps = [f"s0 AS (SELECT '{start}' AS at, []::VARCHAR[] AS seen)"]
+    steps = [f"s0 AS (SELECT '{start}' AS here, []::VARCHAR[] AS seen)"]
     for i in range(len(dots)):
-        steps.append(f"s{i + 1} AS (SELECT dot AS at, list_append(seen, dot) AS seen FROM s{i}, v JOIN d ON d.dst = dot WHERE d.src = at AND NOT list_contains(seen, dot) ORDER BY n, dot LIMIT 1)")
+        steps.append(f"s{i + 1} AS (SELECT dot AS here, list_append(seen, dot) AS seen FROM s{i}, v JOIN d ON d.dst = dot WHERE d.src = here AND NOT list_contains(seen, dot) ORDER BY n, dot LIMIT 1)")
     return f"WITH RECURSIVE w(src, dst, n) AS (SELECT x || ',' || y, x || ',' || y, 0 FROM {_GRID} UNION SELECT w.src, e.dst, n + 1 FROM w JOIN {_GRID_EDGES} e ON e.src = w.dst WHERE n < 14), {far}, {', '.join(steps)} SELECT CAST(i - 1 AS INT) AS step, seen[i] AS node FROM (SELECT seen, unnest(range(1, len(seen) + 1)) AS i FROM s{len(dots)})"
 
 
