@@ -100,10 +100,10 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7, totals: tupl
     w, drift, seen = np.zeros(size), np.zeros(size), np.zeros(size)  # weights, and their gradients' corrected sum and squares
     paired = np.bincount(np.concatenate([o for o, t in zip(own, y, strict=False) if t] or [np.empty(0, np.int32)]), minlength=size) >= LEAST
     share = 1 / np.maximum(1, np.array([paired[o].sum() for o in own]))
-    v = rng.normal(0, SPREAD, (size, FACTORS)) * paired[:, None]
-    moved = np.full(size, 1e-2)
+    v = rng.normal(0, SPREAD, (size, FACTORS)).astype(np.float32) * paired[:, None]
+    moved = np.full(size, 1e-2, np.float32)
     sparse, shrink = SPARSE * fit_n**0.5, SHRINK / fit_n**0.5
-    sums = lambda x, where, n: np.stack([np.bincount(where, c, n) for c in x.T], 1)
+    sums = lambda x, where, n: np.stack([np.bincount(where, c, n).astype(np.float32) for c in x.T], 1)
     for _ in range(EPOCHS):
         live = np.flatnonzero(v.any(1))
         place = np.full(size, -1, np.int32)
@@ -114,7 +114,7 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7, totals: tupl
             at = place[flat]
             among = at >= 0
             at, near = at[among], row[among]  # terms with factors
-            f = v[live][at]
+            f = v[live[at]]
             s = sums(f, near, len(part))
             z = bias + np.bincount(row, w[flat], len(part)) + 0.5 * share[part] * ((s * s).sum(1) - np.bincount(near, (f * f).sum(1), len(part)))
             e = weight[part] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part])
@@ -123,7 +123,7 @@ def train(rows: list[np.ndarray], labels: list[int], seed: int = 7, totals: tupl
             seen += g * g
             w = -np.sign(drift) * np.maximum(0, np.abs(drift) - sparse) / ((0.1 + np.sqrt(seen)) / RATE + RIDGE)
             if len(live):
-                g = sums((e * share[part])[near][:, None] * (s[near] - f), at, len(live))
+                g = sums((e * share[part]).astype(np.float32)[near][:, None] * (s[near] - f), at, len(live))
                 moved[live] += (g * g).sum(1)
                 step = STEP / np.sqrt(moved[live])
                 new = v[live] - step[:, None] * g
@@ -160,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")  # 2 * most rows
     learned = sample.select("h", "toxic", "text").mapInArrow(tidied(run), "h long, toxic int, terms binary")
     # rows that repeat an id count once for each different text, and never more of them than the sample may hold: 2 * most * TERMS * 4 bytes
-    found = sorted((r["h"], r["toxic"], r["terms"]) for r in learned.distinct().orderBy(F.xxhash64("h", "terms")).limit(2 * most).collect())
+    # (the condition after the limit keeps the limit in the plan, so that one task holds the rows and not the driver's queue of jobs)
+    found = sorted(tuple(r) for r in learned.distinct().limit(2 * most).where("terms IS NOT NULL").collect())
+    release(docs.sparkSession)
     all_ = {r["toxic"]: r["count"] for r in docs.where("text IS NOT NULL").select("doc_id").join(told, "doc_id").groupBy("toxic").count().collect()}
     totals = (all_.get(0, 0), all_.get(1, 0))
     model = train([np.frombuffer(t, np.int32) for _, _, t in found], [y for _, y, _ in found], totals=totals)
