@@ -129,9 +129,9 @@ class ByteBpe:
     SPACED, SPACED_FAST = regex.compile(r"\s*\S+|\s+"), re.compile(r"\s*\S+|\s+")
     SOLID = regex.compile(r"\S+")
     #: A mark that ends a word: a word of its own to the pattern, so the word before it can be one piece wherever it stands.
-    CLOSED = re.compile(r"(?<=[a-z0-9])([,.])(?=\s)")
+    CLOSED = re.compile(r"(?<=[^\W_])([,.;:!?])(?=\s)")
     #: Distinct pieces whose encodings a worker keeps; beyond it only those of the batch at hand stay, so memory is bounded.
-    KEEP = 400_000
+    KEEP = 1_000_000
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -169,16 +169,11 @@ class ByteBpe:
         low = self.CLOSED.sub(r" \1", low)
         return self.SOLID.findall(low) if odd else low.split()
 
-    def _words(self, piece: str) -> list[bytes]:
-        """The piece's words; the simple cases are what the pattern gives for most pieces of prose."""
-        if self.words:
-            return [piece.encode()] if piece.isalpha() else [w.encode() for w in self.WORD.findall(piece)]
-        if piece[0] == " ":
-            if piece[1:].isalpha():
-                return [piece.encode()]
-            if piece[-1] in ",." and piece[1:-1].isalpha():
-                return [piece[:-1].encode(), piece[-1].encode()]
-        return [w.encode() for w in self.GPT.findall(piece)]
+    def _words(self, piece: str) -> list[str]:
+        """The words of a piece that is more than one run of letters; a special token has none."""
+        if piece[0] == " " and piece[1:] in self.special:
+            return []
+        return (self.WORD if self.words else self.GPT).findall(piece)
 
     def learn(self, texts: Iterable[list[str]]) -> None:
         """Encode all pieces of the batch that are not kept yet, together."""
@@ -187,15 +182,17 @@ class ByteBpe:
             self.known = {m: self.known[m] for m in now & self.known.keys()}
         known = self.known
         missing = list(now - known.keys())
-        split = [self._words(m) if m[1:] not in self.special or m[0] != " " else [] for m in missing]
-        order = dict.fromkeys([w for ws in split for w in ws])
-        ids, counts = self.merges.encode(list(order))
+        # most pieces are one word; the words of the others are kept as well, as each is a piece of its own
+        one = str.isalpha if self.words else lambda m: m[0] == " " and m[1:].isalpha()
+        need = [m for m in missing if one(m)]
+        split = [(m, self._words(m)) for m in missing if not one(m)]
+        need += list({w for _, ws in split for w in ws if w not in known}.difference(need))
+        ids, counts = self.merges.encode([w.encode() for w in need])
         blob = ids.astype("<u4").tobytes()
         end = (4 * np.cumsum(counts)).tolist()
-        for w, first, last in zip(order, [0, *end[:-1]] if end else [], end, strict=True):
-            order[w] = blob[first:last]
-        for m, ws in zip(missing, split, strict=True):
-            known[m] = order[ws[0]] if len(ws) == 1 else b"".join([order[w] for w in ws])
+        known.update(zip(need, [blob[first:last] for first, last in zip([0, *end[:-1]], end, strict=True)] if end else [], strict=True))
+        for m, ws in split:
+            known[m] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
         for m, i in self.special.items():
             if f" {m}" in known:
                 known[f" {m}"] = np.array([i], "<u4").tobytes()
@@ -224,7 +221,7 @@ def loaded(blob: bytes) -> ByteBpe:
     return _LOADED[key]
 
 
-def batches(texts: list[str | None], most: int = 6_000_000) -> Iterable[tuple[int, list[str]]]:
+def batches(texts: list[str | None], most: int = 10_000_000) -> Iterable[tuple[int, list[str]]]:
     """Slices of a column with about `most` characters; a longer text is a slice of its own."""
     start, size, own = 0, 0, []
     for i, t in enumerate(texts):
