@@ -16,15 +16,16 @@ from .relational import dense_index
 # --- PageRank ---
 
 
-def build(links: DataFrame, dedupe: bool = True, missing: str = "dangling") -> tuple[DataFrame, DataFrame]:
+def build(links: DataFrame, dedupe: bool = True, missing: str = "dangling", repeated: str = "richest") -> tuple[DataFrame, DataFrame]:
     """(nodes(page), edges(src, dst)) of links(page, targets array).
 
-    Targets that are no page become dangling nodes, or are dropped. A page given twice keeps its richest list.
+    Targets that are no page become dangling nodes, or are dropped. A page given twice keeps its `richest` list, or the
+    `union` of its lists.
     """
-    one = richest_links(links)
+    one = richest_links(links) if repeated == "richest" else links
     edges = one.select(F.col("page").alias("src"), F.explode("targets").alias("dst")).where("dst IS NOT NULL")
     edges = edges.distinct() if dedupe else edges
-    pages = one.select("page")
+    pages = one.select("page") if repeated == "richest" else one.select("page").distinct()
     if missing == "drop":
         return pages, edges.join(pages.select(F.col("page").alias("dst")), "dst", "left_semi").select("src", "dst")
     return pages.union(edges.select("dst")).distinct(), edges
