@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,14 +39,21 @@ def mean_with_work(readings: DataFrame, kind: str, n: int = 17, digits: int = 6)
     return mean_by(readings.where(F.col("type") == kind).withColumn("value", busy_fibonacci(n)(F.col("value").cast("double"))), kind, digits)
 
 
-def time_series(readings: DataFrame, period: Column, low: str = "TMIN", high: str = "TMAX", digits: int | None = 6) -> DataFrame:
+def time_series(readings: DataFrame, period: Column, low: str = "TMIN", high: str = "TMAX", digits: int | None = 6, order: list[str] | None = None) -> DataFrame:
     """Per station, its periods in order with the mean low and high of each: array<struct<period, min_avg, max_avg>>.
 
-    Means are taken before the lists are built, so a list holds a row for each period, not for each reading.
+    Means are taken before the lists are built, so a list holds a row for each period, not for each reading. With `order`
+    the readings of a mean add up in the order of these columns, so its last bit doesn't hang on how rows are split; they
+    stream by and spill in a window, and none is gathered.
     """
+    own = readings.where(F.col("type").isin(low, high)).withColumn("period", period)
+    if order:
+        w = Window.partitionBy("station", "period", "type").orderBy(*order)
+        own = own.withColumn("nr", F.row_number().over(w)).withColumn("total", F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        own = own.groupBy("station", "period", "type").agg((F.max_by("total", "nr") / F.nullif(F.count("value"), F.lit(0))).alias("value"))
     exact = lambda kind: F.avg(F.when(F.col("type") == kind, F.col("value")))
     mean = lambda kind: exact(kind) if digits is None else F.round(exact(kind), digits)
-    by = readings.where(F.col("type").isin(low, high)).groupBy("station", period.alias("period")).agg(mean(low).alias("min_avg"), mean(high).alias("max_avg"))
+    by = own.groupBy("station", "period").agg(mean(low).alias("min_avg"), mean(high).alias("max_avg"))
     return by.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("period", "min_avg", "max_avg"))).alias("series"))
 
 
