@@ -71,3 +71,10 @@ def test_selection_of_repeated_rows_by_hand(spark):
     df = spark.createDataFrame(rows, "id long, features array<double>, label long").repartition(5)
     assert neighbours.wrapper_selection(df, 2) == [0]
     assert {r["m"]: r["accuracy"] for r in neighbours.leave_one_out(df, [[0], [1]]).collect()}[0] == 1.0
+
+
+def test_workers_get_the_package(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(blocks, "ship", called.append)
+    df = spark.createDataFrame([(i, [float(i)], i % 2) for i in range(6)], "id long, features array<double>, label long")
+    assert neighbours.leave_one_out(df, [[0]], 1).count() == 1 and called
