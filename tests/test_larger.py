@@ -78,3 +78,10 @@ def test_workers_get_the_package(spark, monkeypatch):
     monkeypatch.setattr(blocks, "ship", called.append)
     df = spark.createDataFrame([(i, [float(i)], i % 2) for i in range(6)], "id long, features array<double>, label long")
     assert neighbours.leave_one_out(df, [[0]], 1).count() == 1 and called
+
+
+def test_selection_by_filter_ranks_no_pairs_in_a_window(spark):
+    df = spark.createDataFrame([(i, [float(i % 5), float(i)], int(i % 5 > 2)) for i in range(40)], "id long, features array<double>, label long")
+    found = neighbours.filter_selection(df, 2, 3)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["m"]: r["accuracy"] for r in found.collect()}[0] == 1.0
