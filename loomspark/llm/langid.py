@@ -5,28 +5,32 @@ blocks of 1 KB with each language's dictionary: block by block, because a long t
 dictionary. The language with the fewest bytes in all wins; where the relative margin to the second is narrow, the
 document counts as rejected.
 
-The dictionaries are fitted on a bounded sample: about SAMPLE distinct texts of each of the LANGUAGES most frequent
-languages among the rows that may be learned from, a slice of each, up to SIZE bytes a language. How narrow a margin
-must be is learned from about CHECKED further such texts: margins are rejected from zero up to where that takes away
-most wrong predictions, each worth COST right ones that go with them. Every document is then scored whole. Null text,
-or text without a letter, gives `und` with score 0 and is rejected; so does every text where nothing could be learned.
-Ties go to the language that sorts first, and are rejected.
+Every row that may be learned from teaches. A dictionary holds the words that cover most bytes of all texts of its
+language, as many as SIZE bytes take, the most telling last, where zstandard refers to them most cheaply. How narrow a
+margin must be is learned from the same rows, each judged by dictionaries of those texts only that fall into the other
+half by hash: margins, in steps of 1 / STEPS, are rejected from zero up to where that takes away most wrong predictions,
+each worth COST right ones that go with them. Repeated rows count one by one. Null text, or text without a letter, gives
+`und` with score 0 and is rejected; so does every text where nothing could be learned. Ties go to the language that sorts
+first, and are rejected.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fresh, held_out, release, ship, small, tidied
 
-#: Bounds of the sample: texts a language (about), least characters taken of each, bytes of a dictionary.
-SAMPLE, SLICE, SIZE = 240, 600, 65_536
+#: Bytes of a dictionary, and of a word in it at most (a longer one counts by its beginning).
+SIZE, WORD = 65_536, 48
 LEVEL, BLOCK = 6, 1024
-#: Languages that are learned at most; texts (about) that the margin is learned from, and what a wrong prediction weighs.
-LANGUAGES, CHECKED, COST = 256, 4000, 2.0
+#: Languages that are learned at most, steps of the margin, and what a wrong prediction weighs.
+LANGUAGES, STEPS, COST = 256, 10_000, 2.0
+#: Words that a task counts before it hands them on.
+COUNTED = 200_000
 
 #: Letters of ASCII and bytes of longer characters stay; all else is a space.
 _KEEP = bytes(c if chr(c).isalpha() and c < 128 or c > 127 else 32 for c in range(256))
@@ -44,47 +48,87 @@ class Model:
     narrow: float = 0.0
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, size: int = SIZE) -> Model:
-    """Dictionaries from rows with text and language; the caller leaves out held-out rows."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int | None = None, size: int = SIZE) -> Model:
+    """Dictionaries and margin from all rows with text and language; the caller leaves out held-out rows. `sample` has no effect."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     by_lang = rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in by_lang.collect()}
-    if not counts:
+    langs = [r["lang"] for r in by_lang.collect()]
+    if not langs:
         return Model(())
     spark = docs.sparkSession
-    keep = small(spark, [(k, min(1.0, 2.0 * sample / n), max(SLICE, 2 * size // n)) for k, n in counts.items()], "lang string, share double, most int")
-    h = F.xxhash64("text")
-    picked = (
-        rows.join(F.broadcast(keep), "lang")  # a row for each language
-        .where(F.pmod(h, F.lit(1_000_003)) < F.col("share") * 1_000_003)
-        .select("lang", h.alias("h"), F.expr("substring(text, 1 + CAST(pmod(xxhash64(text) div 1000003, greatest(1, char_length(text) - most)) AS INT), most)").alias("part"))
-        .dropDuplicates(["lang", "h"])
-    )
-    parts: dict[str, list] = {}
-    for r in picked.collect():
-        parts.setdefault(r["lang"], []).append((r["h"], normal(r["part"])))
-    out = []
-    for lang in sorted(parts):
-        text = b" ".join(p for _, p in sorted(parts[lang]) if p)[:size]
-        if len(text) >= 8:  # zstandard takes no smaller dictionary
-            out.append((lang, text))
-    model = Model(tuple(out))
-    if len(out) < 2:
+    keep = small(spark, [(k,) for k in langs], "lang string")  # a row for each language
+    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int")).join(F.broadcast(keep), "lang")
+    halves = dictionaries(rows, size)
+    model = Model(halves.get(None, ()))
+    if len(model.dictionaries) < 2:
         return model
-    share = min(1.0, CHECKED / sum(counts.values()))
-    # texts of another hash than the dictionaries' own; those that are in both only make the margin safer
-    others = rows.where(F.pmod(F.xxhash64(F.lit("margin"), "text"), F.lit(1_000_003)) < share * 1_000_003).dropDuplicates(["text"])
-    said = classify(others, model, "lang").select("margin", (F.col("lang_pred") == F.col("lang")).alias("right")).where("lang_pred <> 'und'")
-    seen = sorted((r["margin"], r["right"]) for r in said.limit(4 * CHECKED).collect())
+    seen: dict[tuple[int, bool], int] = {}
+    for half in (0, 1):
+        other = Model(halves.get(1 - half, ()))
+        if len(other.dictionaries) < 2:
+            continue
+        said = classify(rows.where(F.col("half") == half), other, "lang").where(F.col("lang").isin([k for k, _ in other.dictionaries]))
+        found = said.where("lang_pred <> 'und'").groupBy(_step().alias("step"), (F.col("lang_pred") == F.col("lang")).alias("right")).count()
+        for r in found.collect():  # two rows a step at most
+            seen[r["step"], r["right"]] = seen.get((r["step"], r["right"]), 0) + r["count"]
     release(spark)
-    return Model(model.dictionaries, narrow_of(seen))
+    return Model(model.dictionaries, narrow_of([(step / STEPS, right, n) for (step, right), n in sorted(seen.items())]))
+
+
+def _step():
+    """The margin in whole steps, upwards: only a tie has 0."""
+    return F.ceil(F.col("margin") * STEPS).cast("int")
+
 
+def dictionaries(rows: DataFrame, size: int = SIZE) -> dict[int | None, tuple[tuple[str, bytes], ...]]:
+    """Of (text, lang, half): each half's dictionaries by language, and under None those of all rows."""
+    import pyarrow as pa
+
+    ship(rows.sparkSession)
+    names = ["lang", "half", "word", "n"]
+
+    def run(parts):
+        counts: dict[tuple[str, int], Counter] = {}
 
-def narrow_of(seen: list[tuple[float, bool]]) -> float:
-    """The margin up to which rejecting (margin, right) pays most: COST for each wrong prediction, less one for each right one."""
+        def made():
+            cols = [[k[0] for k, c in counts.items() for _ in c], [k[1] for k, c in counts.items() for _ in c], [w for c in counts.values() for w in c], [n for c in counts.values() for n in c.values()]]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names)
+
+        for part in parts:
+            for text, lang, half in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                own = counts.setdefault((lang, half), Counter())
+                own.update(w[:WORD] for w in normal(text).split())
+                if len(own) > COUNTED or len(counts) * 1000 > COUNTED and sum(map(len, counts.values())) > COUNTED:
+                    yield made()
+        if counts:
+            yield made()
+
+    found = rows.select("text", "lang", "half").mapInArrow(tidied(run), "lang string, half int, word binary, n long")
+    found = found.groupBy("lang", "half", "word").agg(F.sum("n").alias("n"))
+    whole = F.explode(F.array(F.col("half"), F.lit(-1)))
+    weight = found.select("lang", whole.alias("half"), "word", "n").groupBy("lang", "half", "word").agg((F.sum("n") * (F.length("word") + 1)).alias("n"))
+    by = Window.partitionBy("lang", "half").orderBy(F.desc("n"), "word")
+    # a word and its space take two bytes at least: what lies beyond is dropped where it is counted
+    some = weight.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= size // 2)
+    some = some.withColumn("end", F.sum(F.length("word") + 1).over(by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("end") <= size)
+    lists = some.groupBy("lang", "half").agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "word"))).alias("words"))  # SIZE bytes
+    out: dict[int | None, list] = {}
+    for r in lists.collect():
+        text = b" ".join(bytes(w["word"]) for w in r["words"])
+        if len(text) >= 8:  # zstandard takes no smaller dictionary
+            out.setdefault(None if r["half"] < 0 else r["half"], []).append((r["lang"], text))
+    return {k: tuple(sorted(v)) for k, v in out.items()}
+
+
+def narrow_of(seen: list[tuple]) -> float:
+    """The margin up to which rejecting pays most: COST for each wrong prediction, less one for each right one.
+
+    Of (margin, right) or (margin, right, number of them), sorted.
+    """
     best, value, gain = 0.0, 0.0, 0.0
-    for i, (margin, right) in enumerate(seen):
-        gain += -1.0 if right else COST
+    for i, (margin, right, *n) in enumerate(seen):
+        gain += (-1.0 if right else COST) * (n[0] if n else 1)
         if gain > value and (i + 1 == len(seen) or seen[i + 1][0] > margin):
             best, value = margin, gain
     return best

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.llm import langid, topk, toxicity
 
@@ -54,6 +55,20 @@ def test_copies_leave_the_sample_of_a_language_whole(spark):
     assert [k for k, _ in once.dictionaries] == sorted(WORDS) and copied == once
 
 
+def test_all_texts_teach_languages_and_margin(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"{prose(rng, lang, 12)} {''.join(chr(97 + int(c)) for c in f'{i:05}')}{lang}", lang) for lang in WORDS for i in range(1500)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    judged, narrow_of = [], langid.narrow_of
+    monkeypatch.setattr(langid, "narrow_of", lambda seen: (judged.append(sum(s[2] if len(s) > 2 else 1 for s in seen)), narrow_of(seen))[1])
+    model = langid.fit(df)
+    words = {k: set(d.decode().split()) for k, d in model.dictionaries}
+    assert all(text.split()[-1] in words[lang] for text, lang in rows) and judged == [len(rows)]
+    copied = langid.dictionaries(df.withColumn("half", F.lit(0)).unionByName(df.withColumn("half", F.lit(0))))
+    assert copied[None] == copied[0] == model.dictionaries
+    assert langid.narrow_of([(0.0, False, 2), (0.1, True, 5), (0.2, False, 1)]) == 0.0
+
+
 # --- toxicity ---
 
 
