@@ -6,11 +6,12 @@ which may overlap one another and the base. Boosted trees score each proposal by
 around it; per kind, a threshold calibrated on held-back examples selects. Proposals that overlap a base
 span, or a better proposal of any kind, give way; of equals, the earlier one stays, then the kind listed first.
 
-Trees are trained on a bounded sample, scored by the same SQL as the documents: cases written by rule (EXAMPLES
-of each), e-mail addresses of the documents themselves rewritten in the loose forms between their own words (they
-are surely personal data), and what the generators propose in documents, which counts as not personal, as loose forms
-are rare in running text. A held-back share of all three calibrates the thresholds. DOCUMENTS and PROPOSALS bound
-what is taken from the documents, by hash of the text; scoring covers all documents whole.
+Trees are trained on proposals that the same SQL makes: in cases written by rule (EXAMPLES of each), in all e-mail addresses
+of all documents, rewritten in the loose forms between their own words (they are surely personal data), and in all documents
+as they are, which counts as not personal, as loose forms are rare in running text. Equal proposals of a text count once.
+Those of documents are counted by their features, so what the driver gets is bounded by the kinds of proposals, not by their number;
+where there are more than VECTORS of them, large numbers are counted in coarser steps. However many there are, either kind weighs
+no more than PROPOSALS cases. A held-back share of all three calibrates the thresholds.
 
 All positions are code points, end exclusive. Null text is empty: no spans. Everything happens in the row
 that holds the text: no shuffle, no explode, and time grows with the length and the spans of a text, not with their
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from ._common import release, small
+from ._common import discard, materialise, release, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive groups match what the plain ones do and keep long runs linear; an address
@@ -172,9 +173,10 @@ def _with_proposals(docs: DataFrame) -> DataFrame:
 
 #: Labelled examples of each case, the share of them that calibrates the thresholds, and the precision these must reach there.
 EXAMPLES, HELD_BACK, PRECISION = 60, 0.3, 0.98
-#: Documents (about) and proposals or addresses in them that are learned from at most.
-DOCUMENTS, PROPOSALS = 4000, 3000
-#: Distinct texts that a sample must hold to tell that what it proposes is rare; a smaller one teaches nothing.
+#: Cases that all proposals in documents weigh together at most, and the rewritten addresses; from where on a feature's size makes
+#: no difference, and how many feature vectors the driver takes before they are counted more coarsely.
+PROPOSALS, CLIP, VECTORS = 3000, 64, 50_000
+#: Distinct texts that there must be to tell that what they propose is rare; fewer teach nothing.
 ENOUGH = 100
 #: Curvature of the loss (a quarter an example at most) that a leaf must have.
 LEAF = 2.0
@@ -228,52 +230,67 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, int, int, int]
     return out
 
 
-def rewritten(before: str, address: str, after: str, h: int) -> tuple[str, int, int, int]:
-    """An example (text, start, end, 1): an address in one of the loose forms, between the words that stood around it."""
-    name, _, host = address.partition("@")
-    at = (" (at) ", "(at)", " [at] ", " at ", " at ", " {at} ")[h % 6]
-    dot = (" (dot) ", "[dot]", ".", " dot ", ".", " {dot} ")[h % 6]
-    form = name + at + host.replace(".", dot)
-    return f"{before}{form}{after}", len(before), len(before) + len(form), 1
+def _rewritten(addresses: DataFrame) -> DataFrame:
+    """(_o, text, _from, _to) of (b, v, a, _o): each address in one of the loose forms, between the words that stood around it."""
+    at = "element_at(array(' (at) ', '(at)', ' [at] ', ' at ', ' at ', ' {at} '), CAST(pmod(_o, 6) AS INT) + 1)"
+    dot = "element_at(array(' (dot) ', '[dot]', '.', ' dot ', '.', ' {dot} '), CAST(pmod(_o, 6) AS INT) + 1)"
+    form = f"concat(substring_index(v, '@', 1), {at}, replace(substring_index(v, '@', -1), '.', {dot}))"
+    out = addresses.withColumn("_form", F.expr(form))
+    return out.selectExpr("_o", "concat(b, _form, a) AS text", "char_length(b) AS _from", "char_length(b) + char_length(_form) AS _to")
+
+
+def _counted(rows: DataFrame) -> list[tuple]:
+    """(held, label, n, features...) of (_o, label, features...): held back by hash, counted by features."""
+    held = (F.pmod(F.xxhash64(F.lit("held"), "_o"), F.lit(1000)) < int(1000 * HELD_BACK)).alias("held")
+    keys = ["held", "label", *FEATURES]
+    counts = materialise(rows.select(held, "label", *[F.least(F.col(f), F.lit(float(CLIP))).alias(f) for f in FEATURES]).groupBy(*keys).agg(F.count("*").alias("n")), "proposals")
+    found, step = counts, 1
+    while step < CLIP and found.limit(VECTORS + 1).count() > VECTORS:
+        step *= 2
+        coarse = [F.when(F.col(f) >= 8, F.floor(F.col(f) / step) * step).otherwise(F.col(f)).cast("double").alias(f) for f in FEATURES]
+        found = counts.select("held", "label", *coarse, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
+    out = sorted(tuple(r) for r in found.select("held", "label", "n", *FEATURES).collect())
+    discard(counts)
+    return out
 
 
-def _from_documents(docs: DataFrame, text: str, documents: int, proposals: int) -> tuple[list, list]:
-    """Of a sample of documents: (hash, features...) of what the generators propose, and (before, address, after, hash) of e-mail addresses."""
+def _from_documents(docs: DataFrame, text: str) -> tuple[list, list]:
+    """Of all documents, counted by features: what the generators propose, and what they propose for rewritten e-mail addresses."""
     texts = docs.select(F.col(text).alias("x")).where("x IS NOT NULL").withColumn("h", F.xxhash64("x"))
-    n = texts.count()
-    if n < ENOUGH:
-        return [], []
-    own = texts.where(F.pmod("h", F.lit(1_000_003)) < min(1.0, documents / n) * 1_000_003).dropDuplicates(["h"])
-    if own.limit(ENOUGH).count() < ENOUGH:
+    if texts.select("h").distinct().limit(ENOUGH).count() < ENOUGH:
         return [], []
-    made = _with_proposals(_with_base(own, "x"))
-    rows = made.select("h", F.explode("_more").alias("x")).select(F.xxhash64("h", "x.s", "x.k").alias("o"), *[f"x.f.{f}" for f in FEATURES])
+    made = _with_proposals(_with_base(texts, "x"))
+    rows = made.select("h", F.explode("_more").alias("x")).select(F.xxhash64("h", "x.s", "x.k").alias("_o"), F.lit(0).alias("label"), *[f"x.f.{f}" for f in FEATURES])
     address = F.expr(f"transform({spans('_t', BASE['email'], True)}, x -> struct(x.b, x.v, x.a, x.s))")
-    mails = made.where("exists(_base, x -> x.k = 0)").select("h", F.explode(address).alias("x")).select("x.b", "x.v", "x.a", F.xxhash64("h", "x.s").alias("o"))
-    return [tuple(r) for r in rows.orderBy("o").limit(proposals).collect()], [tuple(r) for r in mails.orderBy("o").limit(proposals).collect()]
+    mails = texts.withColumn("_t", _clean("x")).where(NEEDS["email"]).select("h", F.explode(address).alias("x")).select("x.b", "x.v", "x.a", F.xxhash64("h", "x.s").alias("_o"))
+    found = _with_proposals(_with_base(_rewritten(mails.dropDuplicates(["_o"])), "text")).select("_o", "_from", "_to", F.explode("_more").alias("x"))
+    loose = found.select("_o", F.expr("CAST(x.s < _to AND _from < x.e AS INT)").alias("label"), *[f"x.f.{f}" for f in FEATURES])
+    return _counted(rows.dropDuplicates(["_o"])), _counted(loose)
 
 
-def train(docs: DataFrame, text: str = "text", n: int = EXAMPLES, documents: int = DOCUMENTS, proposals: int = PROPOSALS) -> tuple[float, list, tuple[float, ...]]:
+def train(docs: DataFrame, text: str = "text", n: int = EXAMPLES, proposals: int = PROPOSALS) -> tuple[float, list, tuple[float, ...]]:
     """Log odds to begin with, trees, and the least score of each kind."""
     spark = docs.sparkSession
-    seen, mails = _from_documents(docs, text, documents, proposals)
-    made = examples(n) + [rewritten(b, v, a, h) for b, v, a, h in mails]
+    made = examples(n)
     df = small(spark, [(i, t, a, b, y) for i, (t, a, b, y) in enumerate(made)], "i int, text string, a int, b int, y int")
     found = _with_proposals(_with_base(df, "text")).select("i", "y", "a", "b", F.explode("_more").alias("x"))
-    rows = found.select("i", (F.expr("x.s < b AND a < x.e").cast("int") * F.col("y")).alias("label"), *[f"x.f.{f}" for f in FEATURES]).collect()
-    rows = sorted(map(tuple, rows)) + [(len(made) + i, 0, *r[1:]) for i, r in enumerate(seen)]
-    x = np.array([r[2:] for r in rows], float)
-    y = np.array([r[1] for r in rows], float)
-    held = np.array([(r[0] * 2654435761 % 1000) < 1000 * HELD_BACK for r in rows])
-    start, grown = trees.boost(x[~held], y[~held], least=LEAF)  # single examples, which may be wrong, get no leaf of their own
+    own = found.select("i", (F.expr("x.s < b AND a < x.e").cast("int") * F.col("y")).alias("label"), *[F.least(F.col(f"x.f.{f}"), F.lit(float(CLIP))).alias(f) for f in FEATURES]).collect()
+    rows = [((r[0] * 2654435761 % 1000) < 1000 * HELD_BACK, r[1], 1.0, *r[2:]) for r in sorted(map(tuple, own))]
+    for some in _from_documents(docs, text):
+        share = min(1.0, proposals / max(1, sum(r[2] for r in some)))
+        rows += [(r[0], r[1], r[2] * share, *r[3:]) for r in some]
+    held = np.array([r[0] for r in rows])
+    y, w = (np.array([r[c] for r in rows], float) for c in (1, 2))
+    x = np.array([r[3:] for r in rows], float)
+    start, grown = trees.boost(x[~held], y[~held], least=LEAF, weight=w[~held])  # single examples, which may be wrong, get no leaf of their own
     z = start + sum(trees.values(t, x) for t in grown)
     limits = []
     for k in range(len(KINDS)):  # the lowest score from which held-back proposals of the kind are right often enough
         own = held & (x[:, 0] == k)
-        order = np.argsort(-z[own], kind="stable")
-        right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        limits.append(float(max(z[own][order][good[-1]], 0.0)) if len(good) else 1e9)
+        order = np.flatnonzero(own)[np.argsort(-z[own], kind="stable")]
+        right = np.cumsum((w * y)[order]) / np.cumsum(w[order])
+        good = np.flatnonzero((right >= PRECISION) & (np.diff(z[order], append=-np.inf) < 0))  # equal scores stay or go together
+        limits.append(float(max(z[order][good[-1]] - 1e-4, 0.0)) if len(good) else 1e9)  # the SQL's numbers are rounded
     release(spark)
     return start, grown, tuple(limits)
 

@@ -57,9 +57,10 @@ def values(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.3, ridge: float = 1.0, least: float = 0.5) -> tuple[float, list]:
-    """Logistic boosting: the first log-odds and the trees, whose leaves already hold the rate. `least` is the curvature that a leaf must have."""
-    p = (y.sum() + 1) / (len(y) + 2)
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.3, ridge: float = 1.0, least: float = 0.5, weight: np.ndarray | None = None) -> tuple[float, list]:
+    """Logistic boosting: the first log-odds and the trees, whose leaves already hold the rate. `least` is the curvature that a leaf must have, `weight` how many rows each one stands for."""
+    w = np.ones(len(y)) if weight is None else weight
+    p = ((w * y).sum() + 1) / (w.sum() + 2)
     start = float(np.log(p / (1 - p)))
     z, cuts, out = np.full(len(y), start), cuts_of(x), []
 
@@ -68,7 +69,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate:
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-z))
-        tree = scaled(grow(x, p - y, p * (1 - p), cuts, depth, least, ridge))
+        tree = scaled(grow(x, w * (p - y), w * p * (1 - p), cuts, depth, least, ridge))
         out.append(tree)
         z += values(tree, x)
     return start, out

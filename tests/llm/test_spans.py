@@ -279,3 +279,12 @@ def test_findings_of_equal_score_and_overlap(spark):
     one = sorted(set(got))
     assert sorted(got) == sorted(one * 2)  # each row gives the same findings
     assert len(one) == 2 and one[0][1] <= one[1][0]
+
+
+def test_proposals_of_all_documents_teach(spark):
+    rows = [(i, f"met at {'x' * (i % 7 + 2)}{i}. es {'w ' * (i % 3)}and wrote to a{i}@b{i}.org") for i in range(12_000)]
+    df = spark.createDataFrame(rows + rows[:500], "doc_id long, text string")
+    seen, mails = pii._from_documents(df, "text")
+    assert sum(r[2] for r in seen) == 12_000 and {r[1] for r in seen} == {0}
+    assert sum(r[2] for r in mails if r[1] == 1) >= 12_000 and len(seen) + len(mails) < 2000
+    assert 0.27 < sum(r[2] for r in seen if r[0]) / 12_000 < 0.33
