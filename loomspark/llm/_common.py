@@ -123,8 +123,34 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def trim_jvm(spark: SparkSession) -> None:
+    """Give the driver JVM's free native memory (of compilations and buffers that are over) back to the system, where it has a command for that.
+
+    The C library keeps it otherwise, and a driver of many jobs gathers hundreds of MB of it beside its heap.
+    """
+    from py4j.protocol import Py4JError
+
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kind = jvm.java.lang.Class.forName
+
+    def array(of, *items):
+        out = gateway.new_array(of, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    try:  # by reflection on the interface, as the server's own class isn't open to callers
+        types = array(jvm.java.lang.Class, *map(kind, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args = array(jvm.java.lang.Object, bean, "systemTrimNativeHeap", array(jvm.java.lang.Object), array(jvm.java.lang.String))
+        kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass  # a JVM without the command
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of tables that nothing refers to any more, and the driver its free memory, now rather than some time later."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     trim()
+    trim_jvm(spark)

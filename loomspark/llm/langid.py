@@ -59,6 +59,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     keep = small(spark, [(k,) for k in langs], "lang string")  # a row for each language
     rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int")).join(F.broadcast(keep), "lang")
     halves = dictionaries(rows, size)
+    release(spark)
     model = Model(halves.get(None, ()))
     if len(model.dictionaries) < 2:
         return model

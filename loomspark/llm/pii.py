@@ -251,6 +251,7 @@ def _counted(rows: DataFrame) -> list[tuple]:
         found = counts.select("held", "label", *coarse, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
     out = sorted(tuple(r) for r in found.select("held", "label", "n", *FEATURES).collect())
     discard(counts)
+    release(rows.sparkSession)
     return out
 
 
@@ -276,6 +277,7 @@ def train(docs: DataFrame, text: str = "text", n: int = EXAMPLES, proposals: int
     found = _with_proposals(_with_base(df, "text")).select("i", "y", "a", "b", F.explode("_more").alias("x"))
     own = found.select("i", (F.expr("x.s < b AND a < x.e").cast("int") * F.col("y")).alias("label"), *[F.least(F.col(f"x.f.{f}"), F.lit(float(CLIP))).alias(f) for f in FEATURES]).collect()
     rows = [((r[0] * 2654435761 % 1000) < 1000 * HELD_BACK, r[1], 1.0, *r[2:]) for r in sorted(map(tuple, own))]
+    release(spark)
     for some in _from_documents(docs, text):
         share = min(1.0, proposals / max(1, sum(r[2] for r in some)))
         rows += [(r[0], r[1], r[2] * share, *r[3:]) for r in some]

@@ -18,6 +18,7 @@ label at all) every score is the smoothed share of toxic labels.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass
 
@@ -157,16 +158,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
             own = [few(terms(t)).tobytes() for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], ["h", "toxic", "terms"])
 
+    all_ = {r["toxic"]: r["count"] for r in docs.where("text IS NOT NULL").select("doc_id").join(told, "doc_id").groupBy("toxic").count().collect()}
+    totals = (all_.get(0, 0), all_.get(1, 0))
+
+    def learn(parts):
+        found = sorted(r for part in parts for r in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
+        if found:
+            model = train([np.frombuffer(t, np.int32) for _, _, t in found], [y for _, y, _ in found], totals=totals)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")  # 2 * most rows
     learned = sample.select("h", "toxic", "text").mapInArrow(tidied(run), "h long, toxic int, terms binary")
     # rows that repeat an id count once for each different text, and never more of them than the sample may hold: 2 * most * TERMS * 4 bytes
-    # (the condition after the limit keeps the limit in the plan, so that one task holds the rows and not the driver's queue of jobs)
-    found = sorted(tuple(r) for r in learned.distinct().limit(2 * most).where("terms IS NOT NULL").collect())
-    release(docs.sparkSession)
-    all_ = {r["toxic"]: r["count"] for r in docs.where("text IS NOT NULL").select("doc_id").join(told, "doc_id").groupBy("toxic").count().collect()}
-    totals = (all_.get(0, 0), all_.get(1, 0))
-    model = train([np.frombuffer(t, np.int32) for _, _, t in found], [y for _, y, _ in found], totals=totals)
-    del found
+    # (one task holds them and learns, so that the driver gets nothing but the model)
+    found = learned.distinct().limit(2 * most).coalesce(1).mapInArrow(tidied(learn), "model binary").collect()
+    model = pickle.loads(found[0]["model"]) if found else train([], [], totals=totals)
     release(docs.sparkSession)
     return model
 

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 
@@ -132,6 +133,17 @@ def test_bias_is_the_share_of_all_labels(labelled):
     assert m.score(toxicity.terms("")) < 0.3 and m.score(toxicity.terms("a nitwit, indeed")) > 0.7
 
 
+def test_a_task_learns_and_not_the_driver(labelled, monkeypatch):
+    docs, labels = labelled
+    monkeypatch.setattr(toxicity, "train", lambda rows, labels, totals: (os.getpid(), sorted((y, r.tolist()) for r, y in zip(rows, labels, strict=True)), totals))
+    learner, rows, totals = toxicity.fit(docs, labels)
+    told = {r["doc_id"]: int(r["doc_id"] % 4 == 0) for r in docs.collect() if r["doc_id"] < 900}
+    # document 1 stands there twice with one text
+    assert rows == sorted((told[r["doc_id"]], toxicity.terms(r["text"]).tolist()) for r in docs.dropDuplicates(["doc_id"]).collect() if r["doc_id"] in told)
+    assert totals == (676, 225) and learner != os.getpid()
+    assert toxicity.fit(docs.limit(0), labels)[1:] == ([], (0, 0))
+
+
 def test_a_weighted_sample_is_calibrated_to_the_share():
     rng = np.random.default_rng(4)
     rows = [np.unique(np.array([int(rng.random() < (0.7 if i % 2 else 0.3)), *rng.integers(2, 20, 3)], np.int32)) for i in range(4000)]
