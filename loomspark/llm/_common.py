@@ -126,7 +126,7 @@ def discard(df: DataFrame) -> None:
 def trim_jvm(spark: SparkSession) -> None:
     """Give the driver JVM's free native memory (of compilations and buffers that are over) back to the system, where it has a command for that.
 
-    The C library keeps it otherwise, and a driver of many jobs gathers hundreds of MB of it beside its heap.
+    The C library keeps it otherwise, and a driver of many jobs gathers much of it beside its heap.
     """
     from py4j.protocol import Py4JError
 
