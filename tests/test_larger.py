@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loomspark.operators import blocks
+from loomspark.operators import blocks, boxes
 from loomspark.operators.ml import neighbours
 from loomspark.plans import registry
 
@@ -118,3 +118,51 @@ def test_screening_by_products_loses_no_near_point(monkeypatch):
     for s in range(0, 3000, 500):
         blocks._screen(near, [[0, 1, 2, 3]], (ids[:200], far[:200], far[:200].astype(np.float32)), (ids[s : s + 500], labels[s : s + 500], far[s : s + 500], far[s : s + 500].astype(np.float32)), s)
     assert not met  # no block is worked out whole in double precision
+
+
+@pytest.mark.parametrize("prefix", [[], [2], [2, 0]])
+def test_boxes_lose_no_near_point(monkeypatch, prefix):
+    """Lists that share all but their last position meet few pairs, with the neighbours of all pairs: ties, copies and non-finite values included."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(6000, 5)), 2)
+    x[:60], x[70, 2], x[71, 2], x[72, 3] = x[60], np.nan, np.inf, np.nan
+    ids, labels = rng.permutation(6000), rng.integers(0, 3, 6000)
+    lists = [[*prefix, i] for i in (1, 3, 4)]
+    block, met = boxes.Block(ids[:300], x[:300], lists, 7), []
+    nearest = boxes._nearest_of
+    monkeypatch.setattr(boxes, "_nearest_of", lambda d, k: (met.append(d.size), nearest(d, k))[1])
+    search = boxes.Search(block, prefix, [0, 1, 2]) if prefix else None
+    with np.errstate(all="ignore"):
+        for s, e in ((0, 5), (5, 6000)):
+            if search:
+                search.scan(ids[s:e], labels[s:e], x[s:e])
+            else:
+                for m in range(3):
+                    boxes.line(block, m, ids[s:e], labels[s:e], x[s:e])
+        for m, positions in enumerate(lists):
+            d = blocks.squares(x[:300], x, positions)
+            d[np.arange(300), np.arange(300)] = np.nan
+            for i in range(300):
+                some = [j for j in np.lexsort((ids, d[i]))[:7] if np.isfinite(d[i, j])]
+                assert block.p[m, i][: len(some)].tolist() == ids[some].tolist() and block.y[m, i][: len(some)].tolist() == labels[some].tolist()
+                assert np.isfinite(block.d[m, i]).sum() == len(some)
+    assert sum(met) < 3 * 300 * 6000 / 3
+
+
+def test_selection_by_wrapper_screens_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.normal(size=(300, 4)), 1), rng.integers(0, 2, 300)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "id long, features array<double>, label long")
+    lists = [[2, 0], [2, 1], [2, 3]]
+    folds = []
+    monkeypatch.setattr(blocks, "meet", lambda q, p, fold, schema, **how: (folds.append(fold), q.sparkSession.createDataFrame([], schema))[1])
+    blocks.voted(*neighbours._sides(df, df), 7, lists).count()
+    monkeypatch.setattr(blocks, "_screen", lambda *a: pytest.fail("all pairs are screened"))
+    scan, rows = folds[0](np.arange(300), y, x)
+    scan(np.arange(300), y, x)
+    got = next(iter(rows())).to_pydict()
+    for m, positions in enumerate(lists):
+        d = blocks.squares(x, x, positions)
+        np.fill_diagonal(d, np.inf)
+        said = [np.bincount(y[np.lexsort((np.arange(300), r))[:7]], minlength=2).argmax() for r in d]
+        assert (got["n"][m], got["good"][m]) == (300, int((said == y).sum()))
